@@ -11,10 +11,9 @@ are merged exactly, rule by rule.
 from __future__ import annotations
 
 import json
-import unicodedata
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
@@ -24,10 +23,9 @@ END = "</w>"
 MEMORY = 800_000
 #: Characters of text that are worked on at once.
 BLOCK_CHARS = 2_000_000
-#: Separators for str.split() that are no white space to the vocabulary's pattern.
-ODD_SPACES = regex.compile("[\x1c-\x1f]")
-#: Beyond Latin letters and general punctuation, Unicode versions may differ between libraries.
-UNUSUAL = regex.compile("[^\u0000-\u024f\u2010-\u2027]")
+#: Letters, digits and signs that every library sees alike: no marks to compose, one lower
+#: case, plain white space.  Texts with others are normalised by the tokenizers library.
+UNUSUAL = "[^\\x00-\\x1b -~\u00a1-\u012f\u0131-\u017e\u2010-\u2027]"
 SPACES = regex.compile(r"[^\S\x1c-\x1f]+")
 
 
@@ -54,7 +52,8 @@ class WordBpe:
             spec = json.load(f)
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words_or_break, self.unusual = regex.compile(pattern + "|\n"), regex.compile(UNUSUAL)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         size = max([*vocab.values(), *self.special.values()]) + 1
@@ -143,8 +142,10 @@ class WordBpe:
             place = np.cumsum(keep) - 1
             at = place[at]
             sym, own, rank = sym[keep], own[keep], rank[keep]
-            change = np.unique(np.concatenate([at, at[at > 0] - 1]))
-            change = change[change < len(sym) - 1]
+            changed = np.zeros(len(sym), bool)
+            changed[at] = True
+            changed[at[at > 0] - 1] = True
+            change = np.flatnonzero(changed[:-1])
             rank[change] = np.where(own[change] == own[change + 1], self.ranks(sym[change], sym[change + 1]), self.none)
             rank[-1] = self.none
         sym, own = np.concatenate(done_sym), np.concatenate(done_own)
@@ -243,17 +244,26 @@ class WordBpe:
         self.ids = np.empty(0, np.uint32)
         self.ids_start, self.ids_len = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _learn(self, chunks: set[str]) -> None:
+    def _split(self, chunks: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """(words of all chunks on end in UTF-8, words of each chunk)."""
+        joined = "\n".join(chunks)
+        if not self.unusual.search(joined):
+            found = self.words_or_break.findall(joined)
+            breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+            per = np.diff(np.concatenate([[-1], breaks, [len(found)]])) - 1
+            return [w.encode() for w in found if w != "\n"], per
+        cut = [[bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(c)] for c in chunks]
+        return [w for ws in cut for w in ws], np.fromiter(map(len, cut), np.int64, len(cut))
+
+    def _learn(self, chunks: list[str]) -> None:
         if len(self.index) + len(chunks) > MEMORY:
             self._forget()
-        chunks = list(chunks)
-        split = [self._words(c) for c in chunks]
-        words = list({w for s in split for w in s})
-        place = {w: i for i, w in enumerate(words)}
-        ids, counts = (self.encode_words if self.speculate else self.merge_exactly)(words) if words else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        every, per = self._split(chunks)
+        words = list(set(every))
+        place = dict(zip(words, range(len(words))))
+        ids, counts = (self.encode_words if self.speculate else self.merge_exactly)(words) if words else (np.empty(0, np.int64), np.empty(0, np.int64))
         begin = np.cumsum(counts) - counts
-        which = np.fromiter((place[w] for s in split for w in s), np.int64)
-        per = np.fromiter(map(len, split), np.int64, len(split))
+        which = np.fromiter(map(place.__getitem__, every), np.int64, len(every))
         lens = counts[which] if len(which) else np.empty(0, np.int64)
         new = ids[_ragged(begin[which], lens)].astype(np.uint32) if len(which) else np.empty(0, np.uint32)
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(per)])]
@@ -263,49 +273,38 @@ class WordBpe:
         self.ids_len = np.concatenate([self.ids_len, np.diff(ends)])
         self.index.update(zip(chunks, range(known, known + len(chunks))))
 
-    def _chunks(self, text: str) -> list[str]:
-        if not text.isascii() and UNUSUAL.search(text):
-            return [c for c in SPACES.split(self.library.normalizer.normalize_str(text)) if c]
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            if "Σ" in text:  # letters are lowered one by one: no final form of sigma
-                text = text.replace("Σ", "σ")
-        text = text.lower()
-        return [c for c in SPACES.split(text) if c] if ODD_SPACES.search(text) else text.split()
-
-    def _words(self, chunk: str) -> list[bytes]:
-        """Words of a chunk in UTF-8; beyond the common scripts the library's own pattern decides."""
-        if chunk.isascii() or not UNUSUAL.search(chunk):
-            return [w.encode() for w in self.words.findall(chunk)]
-        return [bytes(map(self.byte_of.__getitem__, w)) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
-
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        chunked = [self._chunks(t) for t in texts]
-        every = set().union(*chunked)
-        new = every.difference(self.index)
-        if new:
-            if len(self.index) + len(new) > MEMORY:
-                self._forget()
-                new = every
-            self._learn(new)
-        per = np.fromiter(map(len, chunked), np.int64, len(chunked))
-        get = self.index.__getitem__
-        which = np.fromiter(map(get, chain.from_iterable(chunked)), np.int64, int(per.sum()))
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, UNUSUAL)
+        usual = pc.utf8_split_whitespace(pc.utf8_lower(texts.filter(pc.invert(odd))))
+        normal = self.library.normalizer.normalize_str
+        rest = pa.array([[c for c in SPACES.split(normal(t)) if c] for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))
+        per = np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in (usual, rest)]).astype(np.int64)
+        coded = pa.chunked_array([usual.flatten(), rest.flatten()], pa.string()).combine_chunks().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if len(self.index) + len(distinct) > MEMORY and any(c not in self.index for c in distinct):
+            self._forget()
+        new = [c for c in distinct if c not in self.index]
+        for a in range(0, len(new), MEMORY // 2):
+            self._learn(new[a : a + MEMORY // 2])
+        which = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy(zero_copy_only=False)]
+        # back to the order of the texts
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        begin = np.cumsum(per) - per
+        which, per = which[_ragged(begin[place], per[place])], per[place]
         lens = self.ids_len[which]
         ids = self.ids[_ragged(self.ids_start[which], lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[np.concatenate([[0], np.cumsum(per)])]
         return ids, ends
 
-    def encode_block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts on end, text i has ids[ends[i]:ends[i + 1]]).
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts on end, text i has ids[ends[i]:ends[i + 1]]); no text is null.
 
         Strings of special tokens in a text become their ids, as in the tokenizers library.
         """
-        if self.special_cut is None or not any("<|" in t and self.special_cut.search(t) for t in texts):
+        if not self.special or not pc.any(pc.match_substring_regex(texts, self.special_cut.pattern)).as_py():
             return self._plain(texts)
-        pieces = [self.special_cut.split(t) if "<|" in t else [t] for t in texts]
-        plain = [p for ps in pieces for p in ps if p not in self.special]
-        ids, ends = self._plain(plain)
+        pieces = [self.special_cut.split(t) for t in texts.to_pylist()]
+        ids, ends = self._plain(pa.array([p for ps in pieces for p in ps if p not in self.special], pa.string()))
         out, sizes, at = [], [], 0
         for ps in pieces:
             total = 0
@@ -348,9 +347,9 @@ def encoded_blocks(batches, path: str, speculate: bool = True, id_column: str =
     for batch in batches:
         texts = batch.column(text_column)
         keys = batch.column(id_column)
-        sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
-        for a, b in slices(sizes, BLOCK_CHARS):
-            ids, ends = bpe.encode_block([t or "" for t in texts.slice(a, b - a).to_pylist()])
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        for a, b in slices(pc.utf8_length(texts).to_pylist(), BLOCK_CHARS):
+            ids, ends = bpe.encode_block(texts.slice(a, b - a))
             yield keys.slice(a, b - a), ids, ends
 
 
