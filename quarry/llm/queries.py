@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, packing, quality
+from . import encoding, fingerprints, packing, quality, secrets
 from .common import documents
 
 
@@ -19,13 +19,27 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = lambda name: (F.col("fingerprint") == F.col(name)).cast("double")
+    made = fingerprints.edited(documents(spark, sf_dir))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = secrets.find(docs.select("doc_id", "text"), secrets.train(docs))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encoding.encode(documents(spark, sf_dir), decode=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op8_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_fingerprints, op7_secrets, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
