@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, fingerprints, packing, quality, secrets
+from . import encoding, fingerprints, flatfiles, language, near_duplicates, packing, quality, secrets, substrings, training_order
 from .common import documents
 
 
@@ -19,12 +19,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatfiles.count_tokens(documents(spark, sf_dir))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = lambda name: (F.col("fingerprint") == F.col(name)).cast("double")
     made = fingerprints.edited(documents(spark, sf_dir))
     return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", same("edited_fingerprint").alias("near_edited"), same("next_fingerprint").alias("near_next"))
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.find(documents(spark, sf_dir))
+
+
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.write_shards(documents(spark, sf_dir))[0]
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = secrets.find(docs.select("doc_id", "text"), secrets.train(docs))
@@ -38,8 +50,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).select("doc_id", "language", "confidence", "kept")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.find(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op4_fingerprints, op7_secrets, op8_bpe)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op4_fingerprints, op5_substrings, op6_training_order, op7_secrets, op8_bpe, op9_language_id, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
