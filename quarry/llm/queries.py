@@ -34,7 +34,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return training_order.write_shards(documents(spark, sf_dir))[0]
+    return training_order.write_shards(documents(spark, sf_dir), from_files=True)[0]
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

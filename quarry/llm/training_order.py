@@ -39,18 +39,20 @@ def slots(numbers: np.ndarray, total: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def write_shards(docs: DataFrame, key: int = 20, length: int = 4096, shard_slots: int = 2048) -> tuple[DataFrame, str]:
+def write_shards(docs: DataFrame, key: int = 20, length: int = 4096, shard_slots: int = 2048, from_files: bool = False) -> tuple[DataFrame, str]:
     """Write all rows' byte-level ids in training order; (manifest, folder).
 
     The manifest has a row for each sequence and document in it: (doc_id, slot, shard, offset
     (byte in the shard's file), sequence, start (byte of the document's ids), n_tokens, place (in the sequence)).
     Files are written under another name and renamed when whole, so a task that is run
-    again leaves the same file.  The second pass fails if a partition does not match
-    the first.  Null and empty texts have the end alone; rows with equal or null doc_ids
+    again leaves the same file.  Both passes must see the same partitions: ``docs`` is stored
+    first unless it is read ``from_files`` as it is, and the second pass fails on a partition
+    that does not match the first.  Null and empty texts have the end alone; rows with equal or null doc_ids
     are documents each; an empty table writes nothing.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts if from_files else stored(texts)
     sums = texts.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text") + 1).alias("n")).collect()  # a row for each partition
     base, total = {}, 0
     for r in sorted(sums, key=lambda r: r["p"]):

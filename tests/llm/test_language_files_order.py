@@ -29,7 +29,7 @@ def test_fusion(spark, sf):
     model = language.train(spark.read.parquet(f"{sf}/documents.parquet"))
     german = next(d["text"] for d in pq.read_table(f"{sf}/documents.parquet").to_pylist() if d["lang"] == "de")
     rows = [(i, german, "https://seite.example.de/a") for i in range(30)]
-    rows += [(100, "on an in", "https://seite.example.de/b"), (101, '<html lang="fr"> on an', "x"), (102, "12345 !!! ###", "y"), (103, None, None), (104, "漢字 仮名 漢字", "z")]
+    rows += [(100, "a b c d", "https://seite.example.de/b"), (101, '<html lang="fr"> a b', "x"), (102, "12345 !!! ###", "y"), (103, None, None), (104, "漢字 仮名 漢字", "z")]
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, source string"), model).collect()}
     assert got[0].language == "de" and got[0].kept
     assert got[100].language == "de" and got[101].language == "fr"
