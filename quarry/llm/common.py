@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a fixed-width table that may be broadcast (about 10 MB at 200 bytes a row).
 BROADCAST_ROWS = 50_000
+#: The same for tables of two or three numbers.
+NARROW_ROWS = 300_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,14 +52,23 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_small(df: DataFrame, table: DataFrame, key: str, how: str = "left") -> DataFrame:
+def with_small(df: DataFrame, table: DataFrame, key: str | list[str], how: str = "left", most: int = BROADCAST_ROWS) -> DataFrame:
     """Join the stored fixed-width ``table`` (one row per key) to ``df``.
 
-    It is broadcast only when its counted rows are at most ``BROADCAST_ROWS``; beyond
+    It is broadcast only when its counted rows are at most ``most``; beyond
     that it is a sort-merge join, whose hot keys adaptive execution splits.
     """
     rows = table.count()
-    return df.join(F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge"), key, how)
+    return df.join(F.broadcast(table) if rows <= most else table.hint("merge"), key, how)
+
+
+def gathered(table: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
+    """The stored narrow ``table`` in as few partitions as its counted rows need.
+
+    Up to ``most`` rows are one partition, on which grouping needs no shuffle; a larger table
+    stays as it is.
+    """
+    return table.coalesce(1) if table.count() <= most else table
 
 
 def partitions(spark: SparkSession) -> int:

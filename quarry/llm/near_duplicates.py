@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import stored, with_small
+from .common import NARROW_ROWS, gathered, stored, with_small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -93,17 +93,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label around every node, then the label of its label; each is
     cut off as a stored table, so a round costs the same and survives lost executors.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    edges = gathered(edges)
+    both = gathered(stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))))
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        step = stored(step)
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        after = stored(step.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label"), "old"))
-        labels = after.select("node", "label")
-        if after.where("label <> old").isEmpty():
+        around = with_small(both, labels.withColumnRenamed("node", "b"), "b", "inner", NARROW_ROWS).groupBy("a").agg(F.min("label").alias("near"))
+        step = with_small(around.withColumnRenamed("a", "node"), labels, "node", "inner", NARROW_ROWS)
+        step = stored(step.select("node", F.least("label", "near").alias("label"), F.col("label").alias("old")))
+        if step.where("label <> old").isEmpty():
             return labels
+        jump = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        labels = stored(with_small(step, jump, "label", "left", NARROW_ROWS).select("node", F.least("label", F.coalesce("up", "label")).alias("label")))
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -112,8 +112,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     Sets are made anew from the texts of the nodes that have a pair; a hot centre's
     set meets its many partners in a sort-merge join that adaptive execution splits.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(classes.join(nodes, "node").select("node", F.col("first").alias("doc_id"), "k1", "k2"))
+    nodes = stored(gathered(pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = stored(with_small(classes, nodes, "node", "inner", NARROW_ROWS).select("node", F.col("first").alias("doc_id"), "k1", "k2"))
 
     def make(batches):
         for batch in batches:
@@ -178,29 +178,40 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ordered = lambda p: p.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     tried = stored(ordered(pairs))
     edges = verified(docs, exact, tried, similarity)
-    while True:
-        if edges.isEmpty():
-            labels = None
-            break
-        labels = components(edges)
+    labels, rest = None, placed.select("node", "bucket")
+    while not edges.isEmpty():
+        # links found so far are contracted: later rounds join labels only
+        step = components(edges)
+        if labels is None:
+            labels = step
+        else:
+            moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            known = with_small(labels, moved, "label", "left", NARROW_ROWS).select("node", F.coalesce("to", "label").alias("label"))
+            fresh = with_small(step, labels.select("node"), "node", "left_anti", NARROW_ROWS)
+            labels = stored(gathered(stored(known.unionByName(fresh))))
         # buckets that hold several classes: their members against the centres of the first and the last class
-        own = stored(placed.select("node", "bucket").join(labels, "node", "left").select("node", "bucket", F.coalesce("label", "node").alias("label")))
+        own = with_small(rest, labels, "node", "left", NARROW_ROWS).select("node", "bucket", F.coalesce("label", "node").alias("label"))
         mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("n_low"), F.max_by("node", "label").alias("n_high")).where("low < high")
-        more = own.join(mixed, "bucket")
-        more = more.select("node", "label", F.explode(F.array(F.struct(F.col("n_low").alias("centre"), F.col("low").alias("at")), F.struct(F.col("n_high").alias("centre"), F.col("high").alias("at")))).alias("c")).where("label <> c.at").select("node", "c.centre")
-        new = stored(ordered(more).join(tried, ["a", "b"], "left_anti"))
+        mixed = stored(mixed)
+        if mixed.isEmpty():
+            break
+        more = stored(with_small(own, mixed, "bucket", "inner"))
+        rest = gathered(more.select("node", "bucket"))
+        more = gathered(more).select("node", "label", F.explode(F.array(F.struct(F.col("n_low").alias("centre"), F.col("low").alias("at")), F.struct(F.col("n_high").alias("centre"), F.col("high").alias("at")))).alias("c")).where("label <> c.at").select("node", "c.centre")
+        new = stored(with_small(ordered(more), tried, ["a", "b"], "left_anti", NARROW_ROWS))
         if new.isEmpty():
             break
+        tried = stored(gathered(tried.unionByName(new)))
         found = verified(docs, exact, new, similarity)
-        if found.isEmpty():
-            break
-        tried, edges = stored(tried.unionByName(new)), stored(edges.unionByName(found))
+        named = with_small(found, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left", NARROW_ROWS)
+        named = with_small(named, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left", NARROW_ROWS)
+        edges = stored(gathered(stored(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))))
     if labels is None:
         classes = exact.withColumn("class_id", F.col("first"))
     else:
-        named = exact.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        least = stored(labels.join(exact, "node").groupBy("label").agg(F.min("first").alias("class_id")))
-        classes = named.join(least, "label", "left").withColumn("class_id", F.coalesce("class_id", "first"))
+        named = with_small(exact, labels, "node", "left", NARROW_ROWS).withColumn("label", F.coalesce("label", "node"))
+        least = stored(with_small(exact, labels, "node", "inner", NARROW_ROWS).groupBy("label").agg(F.min("first").alias("class_id")))
+        classes = with_small(named, least, "label", "left", NARROW_ROWS).withColumn("class_id", F.coalesce("class_id", "first"))
     classes = stored(classes.select("k1", "k2", "class_id", F.col("first").alias("copy_of")))
     whole = mark.select("doc_id", "k1", "k2", (F.size("bands") > 0).alias("some")).distinct()
     joined = whole.join(classes, ["k1", "k2"], "left")
