@@ -62,5 +62,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op4_fingerprints, op5_substrings, op6_training_order, op7_secrets, op8_bpe, op9_language_id, op10_near_duplicates)}
 
 
+def _op2_sql() -> str:
+    rules = quality.RULES
+    fails = ", ".join(f"({c}) AS f_{r}" for r, c in rules.items())
+    sums = ", ".join(f"CAST(sum(CAST(f_{r} AS INTEGER)) AS DOUBLE) AS x_{r}" for r in rules)
+    prior = ", ".join(f"avg(x_{r} / n) AS m_{r}, var_pop(x_{r} / n) AS v_{r}, sum(x_{r}) / sum(n) AS all_{r}" for r in rules)
+    k = {r: f"CASE WHEN v_{r} > 0 THEN greatest(1.0, least(1000.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0 END" for r in rules}
+    strict = ", ".join(f"(x_{r} + m_{r} * ({k[r]})) / (n + ({k[r]})) > greatest({quality.LEAST_RATE}, {quality.EXCESS} * all_{r}) AS strict_{r}" for r in rules)
+    gone = " OR ".join(f"(f_{r} AND strict_{r})" for r in rules)
+    return rf"""WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+    pos AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
+    tri AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    twice AS (SELECT doc_id, i FROM tri WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, a, b, c) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+    m AS (SELECT doc_id, host, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN rep USING (doc_id)),
+    f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {fails} FROM m),
+    h AS (SELECT host, count(*) AS n, {sums} FROM f GROUP BY 1), p AS (SELECT {prior} FROM h), v AS (SELECT host, {strict} FROM h, p)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({gone}) AS kept FROM f JOIN v USING (host)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": _op2_sql()}
