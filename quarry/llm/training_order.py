@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import partitions, shared_dir, stored
 
 ROUNDS = 6
+#: Shards of a task on large inputs.
+SHARDS_A_TASK = 16
 #: Byte-level ids: UTF-8 bytes, 255 (never a byte of UTF-8) after each document, 254 as padding.
 END_BYTE, PAD_BYTE = 255, 254
 
@@ -112,7 +114,9 @@ def write_shards(docs: DataFrame, key: int = 20, length: int = 4096, shard_slots
                 yield out
 
     sequences = texts.mapInArrow(cut, "sequence long, slot long, shard long, ids binary, docs array<struct<doc_id:long,start:long,n_tokens:long,place:long>>")
-    dealt = sequences.repartition(max(1, min(4 * partitions(spark), -(-total // shard_slots))), "shard").sortWithinPartitions("slot")
+    shards = max(1, -(-total // shard_slots))
+    tasks = min(shards, max(4 * partitions(spark), shards // SHARDS_A_TASK))  # a task's share does not grow with the input
+    dealt = sequences.repartition(tasks, "shard").sortWithinPartitions("slot")
 
     def write(batches):
         import uuid
