@@ -20,9 +20,9 @@ from tokenizers import Tokenizer
 
 END = "</w>"
 #: Chunks that one worker remembers; beyond this the memory starts anew.
-MEMORY = 800_000
+MEMORY = 500_000
 #: Characters of text that are worked on at once.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_500_000
 #: Letters, digits and signs that every library sees alike: no marks to compose, one lower
 #: case, plain white space.  Texts with others are normalised by the tokenizers library.
 UNUSUAL = "[^\\x00-\\x1b -~\u00a1-\u012f\u0131-\u017e\u2010-\u2027]"

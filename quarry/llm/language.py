@@ -25,7 +25,7 @@ DECLARED_RIGHT, SMOOTHING = 0.9, 20.0
 TEMPER, MOST_TRIGRAMS = 0.3, 300
 #: Below these a document is rejected: the posterior, log-likelihood a trigram, trigrams.
 LEAST_CONFIDENCE, LEAST_FIT, LEAST_TRIGRAMS = 0.6, -11.0, 3
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 MARKUP = r"(?i)<html[^>]{0,200}?\slang\s*=\s*[\"']?([a-z]{2,3})\b"
 
 

@@ -69,7 +69,7 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, slots: int) -
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, k2, bands) of every row: 128 bits of its words, and its hash for each band.
+    """(doc_id, text_hash, k1, k2, bands) of every row: 128 bits of its words, and its hash for each band.
 
     Equal word sequences have equal keys.  A text without words has no bands.
     """
@@ -82,9 +82,9 @@ def marked(docs: DataFrame) -> DataFrame:
                 sig = signatures(*shingles(hashes, ends), n, BANDS * ROWS)
                 bands = words.rolling_rows(sig.reshape(n, BANDS, ROWS)).view(np.int64)
                 some = np.diff(ends) > 0
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "k1": keys[:, 0].view(np.int64), "k2": keys[:, 1].view(np.int64), "bands": pa.array([b if s else [] for b, s in zip(bands, some)], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "text_hash": part.column("text_hash"), "k1": keys[:, 0].view(np.int64), "k2": keys[:, 1].view(np.int64), "bands": pa.array([b if s else [] for b, s in zip(bands, some)], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
 
 
 def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, copy_of, k1, k2) of every distinct (doc_id, words) of the table.
+    """(doc_id, class_id, copy_of, k1, k2, text_hash) of every distinct (doc_id, text) of the table.
 
     ``class_id`` is the least doc_id of the near-duplicate class, ``copy_of`` the least of
     the exact copies (equal words).  Rows without words, null texts too, are classes of their own; rows
@@ -213,10 +213,10 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         least = stored(with_small(exact, labels, "node", "inner", NARROW_ROWS).groupBy("label").agg(F.min("first").alias("class_id")))
         classes = with_small(named, least, "label", "left", NARROW_ROWS).withColumn("class_id", F.coalesce("class_id", "first"))
     classes = stored(classes.select("k1", "k2", "class_id", F.col("first").alias("copy_of")))
-    whole = mark.select("doc_id", "k1", "k2", (F.size("bands") > 0).alias("some")).distinct()
+    whole = mark.select("doc_id", "text_hash", "k1", "k2", (F.size("bands") > 0).alias("some")).distinct()
     joined = whole.join(classes, ["k1", "k2"], "left")
     alone = ~F.col("some") | F.col("doc_id").isNull()
-    return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), "k1", "k2")
+    return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("copy_of")).alias("copy_of"), "k1", "k2", "text_hash")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -224,16 +224,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Rows without words or doc_id stay; of rows that repeat a kept document's id and text all stay.
     """
-    classes = find(docs, similarity).where("doc_id IS NOT NULL AND class_id <> doc_id").select("doc_id", "k1", "k2").distinct()
-    gone = stored(classes)
-
-    def key(batches):
-        for batch in batches:
-            for part, hashes, ends in words.blocks(batch):
-                keys = np.array([[xxhash.xxh64_intdigest(hashes[a:b].tobytes(), seed=s) for s in (2, 3)] for a, b in zip(ends, ends[1:])], np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=[*part.schema.names, "_k1", "_k2"])
-
-    clean = docs.drop("_k1", "_k2")
-    keyed = clean.mapInArrow(key, ", ".join(f"`{n}` {t}" for n, t in clean.dtypes) + ", _k1 long, _k2 long")
-    small = gone.select("doc_id", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    return keyed.join(small, ["doc_id", "_k1", "_k2"], "left_anti").select(*docs.columns)
+    gone = find(docs, similarity).where("doc_id IS NOT NULL AND class_id <> doc_id").select("doc_id", F.col("text_hash").alias("_text_hash"))
+    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
+    return with_small(keyed, stored(gone), ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
