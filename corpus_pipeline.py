@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import language, near_duplicates, packing, secrets, substrings
-from quarry.llm.common import documents, stored
+from quarry.llm.common import documents, small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the evidence settles."""
+    small_batches(spark)
     return language.identify(docs).where("kept").select(*docs.columns)
 
 

@@ -339,6 +339,11 @@ def encoder(path: str, speculate: bool = True) -> WordBpe:
     return _ENCODERS[path, speculate]
 
 
+def forget_encoders() -> None:
+    """Drop the worker's encoders; the next use reads the vocabulary anew."""
+    _ENCODERS.clear()
+
+
 def encoded_blocks(batches, path: str, speculate: bool = True, id_column: str = "doc_id", text_column: str = "text"):
     """Yield (ids of rows as an Arrow array, ids, ends) for blocks of rows of Arrow batches; null texts are empty."""
     from .common import slices

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: The same for tables of two or three numbers.
 NARROW_ROWS = 300_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -47,6 +50,7 @@ def stored(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -71,6 +75,31 @@ def gathered(table: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
     return table.coalesce(1) if table.count() <= most else table
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold ``BATCH_ROWS`` rows where the session keeps Spark's default of 10,000:
+    texts are wide, and both sides of a Python worker hold whole batches."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def fresh_worker() -> None:
+    """Give back what earlier tasks of other operators left in a reused Python worker."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    from . import bpe
+
+    bpe.forget_encoders()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

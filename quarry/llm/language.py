@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, with_small
+from .common import fresh_worker, slices, stored, with_small
 
 BUCKETS = 1 << 16
 #: Labelled rows that the trigram model is fitted on, and languages that it may have.
@@ -75,6 +75,7 @@ def scored(docs: DataFrame, likelihoods: np.ndarray) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(likelihoods)  # BUCKETS x MOST_LANGUAGES floats at most
 
     def run(batches):
+        fresh_worker()
         table = model.value
         for batch in batches:
             for a, b in slices(pc.fill_null(pc.utf8_length(batch.column("text").cast(pa.string())), 0).to_pylist(), BLOCK_CHARS):

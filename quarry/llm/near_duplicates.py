@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import NARROW_ROWS, gathered, stored, with_small
+from .common import NARROW_ROWS, fresh_worker, gathered, stored, with_small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -75,6 +75,7 @@ def marked(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches):
+        fresh_worker()
         for batch in batches:
             for part, hashes, ends in words.blocks(batch):
                 n = len(ends) - 1
@@ -116,6 +117,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
     wanted = stored(with_small(classes, nodes, "node", "inner", NARROW_ROWS).select("node", F.col("first").alias("doc_id"), "k1", "k2"))
 
     def make(batches):
+        fresh_worker()
         for batch in batches:
             for part, hashes, ends in words.blocks(batch):
                 n = len(ends) - 1
