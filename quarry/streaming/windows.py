@@ -14,5 +14,5 @@ def windowed_counts(events: DataFrame, ts: str, kind: str, width: str = "1 hour"
 
 
 def first_seen(events: DataFrame, key: str, ts: str, late: str = "2 hours") -> DataFrame:
-    """Each key once within the watermark."""
+    """Each key of a stream once within the watermark."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
