@@ -7,7 +7,9 @@ when its next arrival is later than every slot's.  Equal slots of two texts esti
 probability Jaccard similarity.  Slots are banded; in a band's bucket every text is paired with two
 centres only, never with all others; pairs are verified on their whole shingle sets (plain Jaccard), and
 verified links are joined to classes.  Buckets that still hold several classes are tried
-again with centres of those classes until no link is found.
+again with centres of those classes until no link is found.  What then still shares a bucket
+without sharing a class is compared in blocks of bounded size, inside tasks that give links only, so no
+link of a bucket is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from .common import NARROW_ROWS, fresh_worker, gathered, stored, with_small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Texts of a block, and equal slots below which two texts of a block are not compared whole.
+BLOCK, LEAST_SLOTS = 64, 60
 
 
 def shingles(batch_hashes: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +111,11 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stored(with_small(step, jump, "label", "left", NARROW_ROWS).select("node", F.least("label", F.coalesce("up", "label")).alias("label")))
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Stored pairs (a, b) of nodes whose whole shingle sets are that similar, of candidate ``pairs``.
+def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Stored (node, s, sig) of the stored ``nodes``: the shingle set and a byte of every slot.
 
-    Sets are made anew from the texts of the nodes that have a pair; a hot centre's
-    set meets its many partners in a sort-merge join that adaptive execution splits.
+    Made anew from the text of the first document of each node.
     """
-    nodes = stored(gathered(pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct())
     wanted = stored(with_small(classes, nodes, "node", "inner", NARROW_ROWS).select("node", F.col("first").alias("doc_id"), "k1", "k2"))
 
     def make(batches):
@@ -124,6 +126,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
                 keys = np.array([[xxhash.xxh64_intdigest(hashes[a:b].tobytes(), seed=s) for s in (2, 3)] for a, b in zip(ends, ends[1:])], np.uint64).reshape(n, 2).view(np.int64)
                 right = (keys[:, 0] == part.column("k1").to_numpy()) & (keys[:, 1] == part.column("k2").to_numpy())
                 value, text = shingles(hashes, ends)
+                sig = signatures(value, text, n, BANDS * ROWS).astype(np.uint8)
                 value = (value >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((value, text))
                 value, text = value[order], text[order]
@@ -131,28 +134,113 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
                 value, text = value[keep], text[keep]
                 cut = np.searchsorted(text, np.arange(n + 1))
                 at = np.flatnonzero(right)
-                yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), "sig": pa.array([sig[i].tobytes() for i in at], pa.binary())})
 
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    sets = with_small(texts, wanted, "doc_id", "inner").select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary").dropDuplicates(["node"])
-    sets = stored(sets)
+    found = with_small(texts, wanted, "doc_id", "inner").select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary")
+    return stored(found.dropDuplicates(["node"]))
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted) have that Jaccard similarity."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Stored pairs (a, b) of nodes whose whole shingle sets are that similar, of candidate ``pairs``.
+
+    A hot centre's set meets its many partners in a sort-merge join that adaptive execution splits.
+    """
+    made = sets(docs, classes, stored(gathered(pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def compare(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
+            whole = zip(batch.column("s").to_pylist(), batch.column("t").to_pylist())
+            good = [alike(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), similarity) for x, y in whole]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    joined = pairs.join(sets.select(F.col("node").alias("a"), "s"), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
+    joined = pairs.join(made.select(F.col("node").alias("a"), "s"), "a").join(made.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
     return stored(joined.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"))
 
 
+def links(members: list[dict], band: int, similarity: float) -> list[tuple[int, int]]:
+    """Links (labels) that join the classes of ``members`` (side, node, label, sig, s) of one pair of blocks.
+
+    Sides 0 and 1 meet each other; where there is no side 1, side 0 meets itself.  A pair is looked at in
+    the first band that it shares, and only while its classes are apart.
+    """
+    labels = [m["label"] for m in members]
+    up = {x: x for x in labels}
+    if len(up) < 2:
+        return []
+
+    def top(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), BANDS * ROWS)
+    whole = [np.frombuffer(m["s"], np.uint32) for m in members]
+    side = np.array([m["side"] for m in members])
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    name = np.array(labels)
+    out = []
+    for i in left.tolist():
+        others = right if len(right) else left[left > i]
+        others = others[name[others] != name[i]]
+        same = sig[others] == sig[i]
+        first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band
+        for j in others[first & (same.sum(1) >= LEAST_SLOTS)].tolist():
+            a, b = top(labels[i]), top(labels[j])
+            if a != b and alike(whole[i], whole[j], similarity):
+                up[a] = b
+                out.append((labels[i], labels[j]))
+    return out
+
+
+def crossed(docs: DataFrame, classes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Stored links (a, b) of labels between all members of a bucket that are in different classes.
+
+    ``own`` has (node, band, bucket, label).  In a bucket, members of its largest class meet the others,
+    and the others meet each other, in blocks of about ``BLOCK`` texts by a hash; a group is one pair of
+    blocks, so its size is bounded, and it gives fewer links than it has members.
+    """
+    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    sizes = stored(sizes.select("bucket", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rests")))
+    members = stored(with_small(own, sizes, "bucket", "inner", NARROW_ROWS))
+    made = sets(docs, classes, stored(members.select("node").distinct()))
+    to = """CASE WHEN label = main THEN transform(sequence(0, rests - 1), i -> named_struct('inner', false, 'x', i, 'y', pmod(xxhash64(node, 1), mains), 'side', 1))
+        ELSE concat(transform(sequence(0, rests - 1), i -> named_struct('inner', true, 'x', least(i, pmod(xxhash64(node, 1), rests)), 'y', greatest(i, pmod(xxhash64(node, 1), rests)), 'side', if(i < pmod(xxhash64(node, 1), rests), 1, 0))),
+            transform(sequence(0, mains - 1), j -> named_struct('inner', false, 'x', pmod(xxhash64(node, 1), rests), 'y', j, 'side', 0))) END"""
+    dealt = members.select("bucket", "band", "node", "label", F.explode(F.expr(to)).alias("to"))
+    grouped = dealt.join(made, "node").groupBy("bucket", "band", "to.inner", "to.x", "to.y").agg(F.collect_list(F.struct(F.col("to.side").alias("side"), "node", "label", "sig", "s")).alias("members"))
+
+    def run(batches):
+        fresh_worker()
+        for batch in batches:
+            found = []
+            for k in range(batch.num_rows):
+                found += links(batch.column("members")[k].as_py(), batch.column("band")[k].as_py(), similarity)
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    return stored(grouped.select("band", "members").mapInArrow(run, "a long, b long").distinct())
+
+
+def contracted(labels: DataFrame | None, step: DataFrame) -> DataFrame:
+    """Stored (node, label) after the labels of ``labels`` went over into those of ``step`` (components of labels)."""
+    if labels is None:
+        return step
+    moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    known = with_small(labels, moved, "label", "left", NARROW_ROWS).select("node", F.coalesce("to", "label").alias("label"))
+    fresh = with_small(step, labels.select("node"), "node", "left_anti", NARROW_ROWS)
+    return stored(gathered(stored(known.unionByName(fresh))))
+
+
 def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, copy_of, k1, k2, text_hash) of every distinct (doc_id, text) of the table.
 
@@ -173,7 +261,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         exact = exact.withColumn("node", node)
     # one row of bands for each exact class: that of its first document
     firsts = some.withColumnRenamed("doc_id", "first").join(exact, ["k1", "k2", "first"]).dropDuplicates(["node"])
-    banded = firsts.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", F.xxhash64("band", "bucket").alias("bucket"))
+    banded = firsts.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     placed = stored(banded.join(crowded, "bucket"))
     pairs = placed.select("node", F.explode(F.array("low", "high")).alias("centre")).where("node <> centre")
@@ -183,14 +271,7 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     labels, rest = None, placed.select("node", "bucket")
     while not edges.isEmpty():
         # links found so far are contracted: later rounds join labels only
-        step = components(edges)
-        if labels is None:
-            labels = step
-        else:
-            moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
-            known = with_small(labels, moved, "label", "left", NARROW_ROWS).select("node", F.coalesce("to", "label").alias("label"))
-            fresh = with_small(step, labels.select("node"), "node", "left_anti", NARROW_ROWS)
-            labels = stored(gathered(stored(known.unionByName(fresh))))
+        labels = contracted(labels, components(edges))
         # buckets that hold several classes: their members against the centres of the first and the last class
         own = with_small(rest, labels, "node", "left", NARROW_ROWS).select("node", "bucket", F.coalesce("label", "node").alias("label"))
         mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("n_low"), F.max_by("node", "label").alias("n_high")).where("low < high")
@@ -208,6 +289,11 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         named = with_small(found, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left", NARROW_ROWS)
         named = with_small(named, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left", NARROW_ROWS)
         edges = stored(gathered(stored(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))))
+    # the exact way for the rest: members of a bucket that are still apart
+    own = placed.withColumn("label", F.col("node")) if labels is None else with_small(placed, labels, "node", "left", NARROW_ROWS).withColumn("label", F.coalesce("label", "node"))
+    last = crossed(docs, exact, own.select("node", "band", "bucket", "label"), similarity)
+    if not last.isEmpty():
+        labels = contracted(labels, components(last))
     if labels is None:
         classes = exact.withColumn("class_id", F.col("first"))
     else:

@@ -20,7 +20,8 @@ def brute_classes(docs, similarity=0.8):
 
     def root(x):
         while up[x] != x:
-            x = up[x] = up[up[x]]
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
     for d, s in sets.items():
@@ -67,6 +68,22 @@ def test_drifting_and_hot_groups(spark):
     assert kept == len(set(got.values()))
 
 
+def test_links_between_classes_that_share_a_bucket(spark):
+    """A family around the threshold: most pairs share buckets, few are similar enough, and centres meet few of these."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    base = [rng.choice(words) for _ in range(240)]
+    rows = []
+    for i in range(400):
+        text = list(base)
+        for _ in range(rng.choice((3, 5, 7, 9))):
+            text[rng.randrange(240)] = f"edit{rng.randrange(60)}"
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: r.class_id for r in near_duplicates.find(frame(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) > 20 and len(set(got.values())) < 400
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     rows = near_duplicates.find(odd).collect()
     by = {(r.doc_id, r.k1): r.class_id for r in rows}
