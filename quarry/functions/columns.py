@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -71,3 +71,14 @@ def first_of(cases: list[tuple[str, str]], default: str) -> Column:
 def names_of(cases: list[tuple[str, str]]) -> Column:
     """Comma-joined names of all conditions (SQL) that hold, in their order."""
     return F.concat_ws(",", *(F.when(F.expr(condition), name) for name, condition in cases))
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with these columns, each computed once however many expressions use it.
+
+    Projections are merged by the optimizer, which would copy a long expression into every later use of it;
+    a generator of one row is not merged.
+    """
+    others = [F.col(c) for c in df.columns if c not in columns]
+    row = F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("_computed")
+    return df.select(*df.columns, row).select(*others, *(F.col(f"_computed.{n}").alias(n) for n in columns))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.columns import computed
 from quarry.functions.columns import path as plain_path
 
 #: tool: (fact type, {name: record keys, first non-blank wins}, names of which one must be there, drop reason, {index: name}).
@@ -59,13 +60,13 @@ def compile_records(records: DataFrame) -> DataFrame:
     null and blank are not.
     """
     spark = records.sparkSession
-    parsed = records.select("tool", "record_no", F.from_json("record", "map<string,string>").alias("m"))
+    parsed = computed(records.select("tool", "record_no", "record"), m=F.from_json("record", "map<string,string>"))
     known = parsed.join(F.broadcast(table(spark)), "tool", "left")  # as many rows as families
     value = lambda k: F.nullif(F.trim(F.try_element_at("m", k)), F.lit(""))
     entries = F.transform("names", lambda n: F.struct(n["name"].alias("name"), F.element_at(F.concat(F.array_compact(F.transform(n["keys"], value)), F.array(F.lit(None).cast("string"))), 1).alias("value")))
-    made = known.withColumn("fields", F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
-    where = plain_path(F.try_element_at("fields", F.lit("path")))
-    made = made.withColumn("fields", F.when(where.isNotNull(), F.map_concat("fields", F.create_map(F.lit("normalized_path"), where))).otherwise(F.col("fields")))
+    made = computed(known, fields=F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())))
+    made = computed(made, where=plain_path(F.try_element_at("fields", F.lit("path"))))
+    made = computed(made, fields=F.when(F.col("where").isNotNull(), F.map_concat("fields", F.create_map(F.lit("normalized_path"), "where"))).otherwise(F.col("fields")))
     lacking = ~F.exists("needs", lambda n: F.map_contains_key("fields", n))
     why = F.when(F.col("fact_type").isNull(), "unknown_tool").when(F.col("m").isNull(), "non_dict_record").when(lacking, F.col("reason"))
     return made.select("tool", "record_no", "fact_type", "fields", F.sha1(F.concat_ws("::", "fact_type", F.to_json(F.array_sort(F.map_entries("fields"))))).alias("fact_id"), why.alias("drop_reason"), "indexes")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vocabulary as V
-from quarry.functions.columns import entropy, ip_class
+from quarry.functions.columns import computed, entropy, ip_class
 
 
 def field(*names: str) -> Column:
@@ -160,8 +160,7 @@ def rules() -> dict[str, Column]:
 def with_signals(facts: DataFrame) -> DataFrame:
     """``facts`` with ``signals``, the sorted names of the rules that fire; undecidable conditions do not."""
     names = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules().items()))
-    seen = facts.withColumn("fields", F.coalesce("fields", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
-    return seen.withColumn("blob", blob()).withColumn("signals", F.array_sort(F.array_compact(names))).drop("blob")
+    return computed(computed(facts, blob=blob()), signals=F.array_sort(F.array_compact(names))).drop("blob")
 
 
 def egress(facts: DataFrame) -> DataFrame:
@@ -236,5 +235,5 @@ def scores() -> list[tuple[str, int, Column]]:
 def with_score(facts: DataFrame) -> DataFrame:
     """``facts`` with ``score`` (sum of points) and ``scored``, the names that gave them, in the table's order."""
     given = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("name"), F.lit(p).alias("points"))) for n, p, c in scores())))
-    found = facts.withColumn("blob", blob()).withColumn("_given", given)
+    found = computed(computed(facts, blob=blob()), _given=given)
     return found.withColumn("score", F.aggregate("_given", F.lit(0), lambda a, g: a + g["points"])).withColumn("scored", F.transform("_given", lambda g: g["name"])).drop("blob", "_given")
