@@ -6,7 +6,8 @@ matched to the anchor alone, so a seed that thousands share gives thousands of m
 their square.  Matches of a document are chained for each anchor: a match extends the best chain
 that ends before it on both sides, found with a Fenwick tree of prefix maxima, at a cost
 for the gap.  Chains are cut into segments by tiles of the anchor, joined to the anchor's words and
-aligned word by word, with extension over both ends.
+aligned word by word, with extension over both ends.  The aligned chain is cut into the stretches that are
+long and alike enough, so passages with an unlike gap between are found each.
 """
 
 from __future__ import annotations
@@ -126,22 +127,26 @@ STEPS = sorted(((a, b) for a in range(5) for b in range(5) if a + b), key=lambda
 AGREE = 4
 
 
-def _extend(own: np.ndarray, other: np.ndarray) -> tuple[int, int, int]:
-    """(words, words of the other, equal words) by which two stretches go on alike from their
+def _extend(own: np.ndarray, other: np.ndarray) -> list[tuple[int, int, int]]:
+    """Pieces (words, words of the other, equal words) by which two stretches go on alike from their
     beginnings, over differences of a few words that are followed by equal ones."""
-    i = j = equal = 0
+    i = j = 0
+    out = []
     while True:
         n = min(len(own) - i, len(other) - j)
         differ = np.flatnonzero(own[i : i + n] != other[j : j + n])
         run = int(differ[0]) if len(differ) else n
-        i, j, equal = i + run, j + run, equal + run
+        if run:
+            out.append((run, run, run))
+        i, j = i + run, j + run
         for a, b in STEPS if run < n else ():
             x, y = own[i + a : i + a + AGREE], other[j + b : j + b + AGREE]
             if len(x) == len(y) == AGREE and (x == y).all():
+                out.append((a, b, 0))
                 i, j = i + a, j + b
                 break
         else:
-            return i, j, equal
+            return out
 
 
 def _common(x: np.ndarray, y: np.ndarray) -> int:
@@ -158,17 +163,79 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(places: np.ndarray, others: np.ndarray, own: np.ndarray, own_from: int, tile: np.ndarray, tile_from: int) -> tuple[int, int, int, int, int]:
-    """(start, end, other start, other end, equal words) of one segment; ends exclusive."""
+def _parted(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
+    """Pieces of two stretches between seeds: one where they are alike, else what goes on alike from both ends and the rest."""
+    both = _common(x, y)
+    if both >= LEAST_EQUAL * len(x):
+        return [(len(x), len(y), both)]
+    head = _extend(x, y)
+    i, j, first = (sum(c) for c in zip((0, 0, 0), *head))
+    tail = _extend(x[i:][::-1], y[j:][::-1])[::-1]
+    k, m, last = (sum(c) for c in zip((0, 0, 0), *tail))
+    return [*head, (len(x) - i - k, len(y) - j - m, max(0, min(len(x) - i - k, both - first - last))), *tail]
+
+
+def align(places: np.ndarray, others: np.ndarray, own: np.ndarray, own_from: int, tile: np.ndarray, tile_from: int) -> tuple[int, int, np.ndarray]:
+    """(start, other start, pieces on end) of one segment; a piece has words, words of the other, equal words."""
     p, q = places - own_from, others - tile_from
-    equal = 0
+    before = _extend(own[: p[0]][::-1], tile[: q[0]][::-1])[::-1]
+    pieces = list(before)
     for k in range(len(p) - 1):
         a, b = own[p[k] : p[k + 1]], tile[q[k] : q[k + 1]]
-        equal += len(a) if len(a) == len(b) and (a == b).all() else _common(a, b)
-    equal += K
-    more, other_more, same = _extend(own[p[-1] + K :], tile[q[-1] + K :])
-    less, other_less, alike = _extend(own[: p[0]][::-1], tile[: q[0]][::-1])
-    return int(places[0]) - less, int(places[-1]) + K + more, int(others[0]) - other_less, int(others[-1]) + K + other_more, equal + same + alike
+        pieces += [(len(a), len(b), len(a))] if len(a) == len(b) and (a == b).all() else _parted(a, b)
+    pieces += [(K, K, K), *_extend(own[p[-1] + K :], tile[q[-1] + K :])]
+    x = np.array(pieces, np.int32).reshape(-1, 3)
+    # equal pieces in a row are one
+    same = (x[:, 0] == x[:, 2]) & (x[:, 1] == x[:, 2])
+    x = np.add.reduceat(x, np.flatnonzero(np.concatenate([[True], ~(same[1:] & same[:-1])])), axis=0).astype(np.int32)
+    return int(places[0]) - sum(w for w, _, _ in before), int(others[0]) - sum(w for _, w, _ in before), x
+
+
+def whole_chain(parts: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """Rows (start, end, other start, other end, equal words) without overlap or hole, of the segments (as ``align`` gives them) of a chain."""
+    out = []
+    for s, o, pieces in sorted(parts, key=lambda part: part[:2]):
+        for n, m, equal in pieces.tolist():
+            e, oe = s + n, o + m
+            begin, other = s, o
+            if out and begin < out[-1][1]:  # extensions over the ends of segments overlap
+                begin = min(out[-1][1], e)
+                other, equal = min(o + begin - s, oe), min(equal, e - begin)
+            elif out and begin > out[-1][1]:
+                out.append((out[-1][1], begin, out[-1][3], max(other, out[-1][3]), 0))
+            if begin < e:
+                out.append((begin, e, other, oe, equal))
+            s, o = e, oe
+    return np.array(out, np.int64).reshape(-1, 5)
+
+
+def stretches(rows: np.ndarray, least_words: int) -> list[tuple[int, int, int, int, int]]:
+    """Stretches (start, end, other start, other end, equal words) of a chain's ``rows`` that are long and alike enough.
+
+    They cover every row that lies in any such stretch from one alike row to another; few overlap.
+    """
+    length, equal = rows[:, 1] - rows[:, 0], rows[:, 4]
+    gain = 1000 * equal - round(1000 * LEAST_EQUAL) * length
+    total = np.concatenate([[0], np.cumsum(gain)])
+    alike = np.flatnonzero(gain >= 0)
+    # the farthest end after which the sum is no lower than before the beginning: suffix maxima fall
+    after = np.maximum.accumulate(total[alike + 1][::-1])[::-1]
+    far = np.searchsorted(-after, -total[alike], side="right") - 1
+    known, out = np.concatenate([[0], np.cumsum(equal)]), []
+    found = [(i, alike[f]) for i, f in zip(alike, far) if f >= 0 and alike[f] >= i and rows[alike[f], 1] - rows[i, 0] >= least_words]
+    k, covered = 0, -1
+    while k < len(found):
+        if found[k][1] <= covered:
+            k += 1
+            continue
+        limit, best = max(covered, found[k][0]), found[k]
+        while k < len(found) and found[k][0] <= limit:
+            best = max(best, found[k], key=lambda f: f[1])
+            k += 1
+        i, j = best
+        covered = j
+        out.append((int(rows[i, 0]), int(rows[j, 1]), int(rows[i, 2]), int(rows[j, 3]), int(known[j + 1] - known[i])))
+    return out
 
 
 def _short(hashes: np.ndarray) -> np.ndarray:
@@ -264,18 +331,29 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     def run(batches):
         fresh_worker()
         for batch in batches:
-            out = []
+            starts, others, pieces = [], [], []
             for p, q, own, own_from, words_, t in zip(*(batch.column(c).to_pylist() for c in ("places", "others", "own", "own_from", "words", "tile"))):
-                out.append(align(np.frombuffer(p, np.int32), np.frombuffer(q, np.int32), np.frombuffer(own, np.uint32), own_from, np.frombuffer(words_, np.uint32), max(0, t * TILE - MARGIN)))
-            values = np.array(out, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("anchor"), batch.column("chain"), *(pa.array(values[:, k]) for k in range(5))], names=["doc_id", "anchor", "chain", "s", "e", "os", "oe", "equal"])
-
-    aligned = cut.join(tiled, ["anchor", "tile"]).mapInArrow(run, "doc_id long, anchor long, chain int, s long, e long, os long, oe long, equal long")
-    # segments of a chain overlap by the extension over their ends: equal words count once at most
-    whole = aligned.groupBy("doc_id", "anchor", "chain").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.min("os").alias("anchor_start"), F.max("oe").alias("anchor_end"), F.sum("equal").alias("equal"))
-    whole = whole.withColumn("equal_words", F.least("equal", F.col("end") - F.col("start")))
-    good = (F.col("end") - F.col("start") >= least_words) & (F.col("equal_words") >= LEAST_EQUAL * (F.col("end") - F.col("start")))
-    return whole.where(good).select("doc_id", "start", "end", "anchor", "anchor_start", "anchor_end", "equal_words")
+                s, o, x = align(np.frombuffer(p, np.int32), np.frombuffer(q, np.int32), np.frombuffer(own, np.uint32), own_from, np.frombuffer(words_, np.uint32), max(0, t * TILE - MARGIN))
+                starts.append(s)
+                others.append(o)
+                pieces.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("anchor"), batch.column("chain"), pa.array(starts, pa.int64()), pa.array(others, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "anchor", "chain", "s", "os", "pieces"])
+
+    def judge(batches):
+        for batch in batches:
+            at, out = [], []
+            for k, parts in enumerate(batch.column("parts").to_pylist()):
+                good = stretches(whole_chain([(x["s"], x["os"], np.frombuffer(x["pieces"], np.int32).reshape(-1, 3)) for x in parts]), least_words)
+                at += [k] * len(good)
+                out += good
+            values, rows = np.array(out, np.int64).reshape(-1, 5), batch.take(pa.array(at, pa.int64()))
+            cols = {"doc_id": rows.column("doc_id"), "start": values[:, 0], "end": values[:, 1], "anchor": rows.column("anchor"), "anchor_start": values[:, 2], "anchor_end": values[:, 3], "equal_words": values[:, 4]}
+            yield pa.RecordBatch.from_pydict({n: pa.array(v) if isinstance(v, np.ndarray) else v for n, v in cols.items()})
+
+    aligned = cut.join(tiled, ["anchor", "tile"]).mapInArrow(run, "doc_id long, anchor long, chain int, s long, os long, pieces binary")
+    # a chain may pass a gap that is not alike: it is cut where no long and alike stretch goes on
+    whole = aligned.groupBy("doc_id", "anchor", "chain").agg(F.collect_list(F.struct("s", "os", "pieces")).alias("parts"))
+    return whole.mapInArrow(judge, "doc_id long, start long, end long, anchor long, anchor_start long, anchor_end long, equal_words long")
 
 
 def remove(docs: DataFrame, passages: DataFrame | None = None) -> DataFrame:

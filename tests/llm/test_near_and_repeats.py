@@ -173,3 +173,52 @@ def test_substrings_of_odd_rows(odd, empty):
     left = substrings.remove(odd)
     assert left.columns == odd.columns and sorted(str(r.text) for r in left.collect()) == sorted(str(r.text) for r in odd.collect())
     assert substrings.find(empty).count() == 0 and substrings.remove(empty).count() == 0
+
+
+def repeats(rows, n=50):
+    """Places of the words in runs of ``n`` that a document of a lower id holds, by brute force."""
+    seen, out = {}, defaultdict(set)
+    for d, text in sorted(rows):
+        w = text.split()
+        for i in range(len(w) - n + 1):
+            if seen.setdefault(tuple(w[i : i + n]), d) != d:
+                out[d].update(range(i, i + n))
+    return out
+
+
+def test_passages_with_a_gap_between(spark):
+    """Two passages of one anchor, in order, with unrelated words between: each is found, and the gap is not."""
+    rng = random.Random(11)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i, (a, gap, b) in enumerate([(60, 100, 60), (60, 200, 60), (100, 300, 100), (40, 19, 40), (60, 30, 200), (51, 70, 400), (300, 90, 55)]):
+        x, y = noise(a), noise(b)
+        rows += [(2 * i, " ".join(noise(30) + x + noise(gap) + y + noise(20))), (2 * i + 1, " ".join(noise(10) + x + noise(gap) + y + noise(40)))]
+    passages = substrings.find(frame(spark, rows)).collect()
+    got, want = covered(passages), repeats(rows)
+    assert all(got[d] >= want[d] for d in want) and got[7] == set(range(10, 10 + 99))
+    assert all(len(got[d]) <= len(want[d]) + 4 for d in (1, 3, 5))
+    assert all(p.equal_words >= 0.8 * (p.end - p.start) >= 40 for p in passages)
+
+
+def test_stretches_equal_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = rng.integers(1, 12)
+        length = rng.integers(1, 40, n)
+        equal = np.where(rng.random(n) < 0.6, length, (length * rng.random(n)).astype(int))
+        ends = np.cumsum(length)
+        rows = np.stack([ends - length, ends, ends - length, ends, equal], 1)
+        want = set()
+        for i in range(n):
+            for j in range(i, n):
+                size = ends[j] - ends[i] + length[i]
+                if size >= 50 and 5 * equal[i : j + 1].sum() >= 4 * size and min(5 * equal[k] - 4 * length[k] for k in (i, j)) >= 0:
+                    want.update(range(ends[i] - length[i], ends[j]))
+        got = set()
+        for s, e, _, _, same in substrings.stretches(rows, 50):
+            assert e - s >= 50 and 5 * same >= 4 * (e - s)
+            got.update(range(s, e))
+        assert got == want
