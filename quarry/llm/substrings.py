@@ -2,7 +2,7 @@
 
 Seeds are minimizers: of every stretch of ``WINDOW`` k-mers of words the least by hash.  The
 document of the least doc_id that holds a seed is its anchor, and every other occurrence is
-matched to the anchor alone, so a seed that thousands share gives thousands of matches, not
+matched to its first place in the anchor alone, so a seed that thousands share gives thousands of matches, not
 their square.  Matches of a document are chained for each anchor: a match extends the best chain
 that ends before it on both sides, found with a Fenwick tree of prefix maxima, at a cost
 for the gap.  Chains are cut into segments by tiles of the anchor, joined to the anchor's words and
@@ -41,7 +41,10 @@ def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
 
 
 def minimizers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place in the text) of the seeds of all texts; first places of a repeated seed only."""
+    """(hash, text, place in the text) of the seeds of all texts, every place of a repeated seed.
+
+    Of a seed that follows itself, as in a line repeated on end, one place in ``WINDOW`` words is enough.
+    """
     owner = words.owners(ends)
     rolled = words.rolling(hashes, K)
     if not len(rolled):
@@ -54,11 +57,10 @@ def minimizers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     chosen = _sliding(_sliding(wide, WINDOW, np.minimum), WINDOW, np.maximum) == value
     at = np.flatnonzero(chosen & inside)
     seed, text = rolled[at], owner[at]
-    order = np.lexsort((at, seed, text))
-    s, t = seed[order], text[order]
-    first = np.concatenate([[True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])]) if len(s) else np.empty(0, bool)
-    pick = np.sort(order[first])
-    return seed[pick], text[pick], at[pick] - ends[text[pick]]
+    place = at - ends[text]
+    again = np.zeros(len(at), bool)
+    again[1:] = (seed[1:] == seed[:-1]) & (text[1:] == text[:-1]) & (place[1:] // WINDOW == place[:-1] // WINDOW)
+    return seed[~again], text[~again], place[~again]
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -321,7 +323,7 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     doc_id, have none; rows of one doc_id count as one document; other columns are ignored.
     """
     every = stored(seeds(docs))
-    low = every.groupBy("seed").agg(F.min("doc_id").alias("anchor"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("other")).where("anchor < last").drop("last")
+    low = every.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("seed", F.col("first.doc_id").alias("anchor"), F.col("first.place").alias("other"))
     matched = every.join(low, "seed").where("doc_id <> anchor")
     matches = matched.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m"))
     cut = stored(segments(docs, matches))

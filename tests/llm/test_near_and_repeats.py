@@ -222,3 +222,18 @@ def test_stretches_equal_all_pairs():
             assert e - s >= 50 and 5 * same >= 4 * (e - s)
             got.update(range(s, e))
         assert got == want
+
+
+def test_passages_that_a_document_repeats(spark):
+    """Every occurrence of a passage in a document is found and cut, also after lines that hold parts of it."""
+    rng = random.Random(13)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    x, line = noise(60), noise(15)
+    rows = [(1, noise(30) + x + noise(20)), (2, x + noise(90) + x + noise(70) + x), (3, x + x + noise(10) + x[20:] + x), (4, noise(5) + x[:12] + noise(30) + x[30:45] + noise(30) + x + noise(9))]
+    rows += [(5, line * 8 + noise(40)), (6, noise(20) + line * 30 + noise(30) + line * 5), (7, ["word"] * 3000), (8, noise(12) + ["word"] * 2000 + noise(12))]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    df = frame(spark, rows)
+    got, want = covered(substrings.find(df).collect()), repeats(rows)
+    assert all(got[d] >= want[d] for d in want) and set(got) == set(want) == {2, 3, 4, 6, 8}
+    left = {r.doc_id: r.text.split() for r in substrings.remove(df).collect()}
+    assert left[2] == rows[1][1].split()[60:150] + rows[1][1].split()[210:280]
