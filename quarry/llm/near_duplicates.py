@@ -112,7 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Stored (node, s, sig) of the stored ``nodes``: the shingle set and a byte of every slot.
+    """Stored (node, s, sig, bands) of the stored ``nodes``: the shingle set, a byte of every slot, and the hash of every band.
 
     Made anew from the text of the first document of each node.
     """
@@ -126,7 +126,9 @@ def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
                 keys = np.array([[xxhash.xxh64_intdigest(hashes[a:b].tobytes(), seed=s) for s in (2, 3)] for a, b in zip(ends, ends[1:])], np.uint64).reshape(n, 2).view(np.int64)
                 right = (keys[:, 0] == part.column("k1").to_numpy()) & (keys[:, 1] == part.column("k2").to_numpy())
                 value, text = shingles(hashes, ends)
-                sig = signatures(value, text, n, BANDS * ROWS).astype(np.uint8)
+                sig = signatures(value, text, n, BANDS * ROWS)
+                bands = words.rolling_rows(sig.reshape(n, BANDS, ROWS))
+                sig = sig.astype(np.uint8)
                 value = (value >> np.uint64(32)).astype(np.uint32)
                 order = np.lexsort((value, text))
                 value, text = value[order], text[order]
@@ -134,10 +136,10 @@ def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
                 value, text = value[keep], text[keep]
                 cut = np.searchsorted(text, np.arange(n + 1))
                 at = np.flatnonzero(right)
-                yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), "sig": pa.array([sig[i].tobytes() for i in at], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), "sig": pa.array([sig[i].tobytes() for i in at], pa.binary()), "bands": pa.array([bands[i].tobytes() for i in at], pa.binary())})
 
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = with_small(texts, wanted, "doc_id", "inner").select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary")
+    found = with_small(texts, wanted, "doc_id", "inner").select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary, bands binary")
     return stored(found.dropDuplicates(["node"]))
 
 
@@ -167,10 +169,10 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity:
 
 
 def links(members: list[dict], band: int, similarity: float) -> list[tuple[int, int]]:
-    """Links (labels) that join the classes of ``members`` (side, node, label, sig, s) of one pair of blocks.
+    """Links (labels) that join the classes of ``members`` (side, node, label, sig, bands, s) of one pair of blocks.
 
     Sides 0 and 1 meet each other; where there is no side 1, side 0 meets itself.  A pair is looked at in
-    the first band that it shares, and only while its classes are apart.
+    the first band that it shares by whole hashes, as buckets do, and only while its classes are apart.
     """
     labels = [m["label"] for m in members]
     up = {x: x for x in labels}
@@ -184,6 +186,7 @@ def links(members: list[dict], band: int, similarity: float) -> list[tuple[int,
         return x
 
     sig = np.frombuffer(b"".join(m["sig"] for m in members), np.uint8).reshape(len(members), BANDS * ROWS)
+    bands = np.frombuffer(b"".join(m["bands"] for m in members), np.uint64).reshape(len(members), BANDS)
     whole = [np.frombuffer(m["s"], np.uint32) for m in members]
     side = np.array([m["side"] for m in members])
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -192,9 +195,8 @@ def links(members: list[dict], band: int, similarity: float) -> list[tuple[int,
     for i in left.tolist():
         others = right if len(right) else left[left > i]
         others = others[name[others] != name[i]]
-        same = sig[others] == sig[i]
-        first = same.reshape(len(others), BANDS, ROWS).all(2).argmax(1) == band
-        for j in others[first & (same.sum(1) >= LEAST_SLOTS)].tolist():
+        first = (bands[others] == bands[i]).argmax(1) == band
+        for j in others[first & ((sig[others] == sig[i]).sum(1) >= LEAST_SLOTS)].tolist():
             a, b = top(labels[i]), top(labels[j])
             if a != b and alike(whole[i], whole[j], similarity):
                 up[a] = b
@@ -217,7 +219,7 @@ def crossed(docs: DataFrame, classes: DataFrame, own: DataFrame, similarity: flo
         ELSE concat(transform(sequence(0, rests - 1), i -> named_struct('inner', true, 'x', least(i, pmod(xxhash64(node, 1), rests)), 'y', greatest(i, pmod(xxhash64(node, 1), rests)), 'side', if(i < pmod(xxhash64(node, 1), rests), 1, 0))),
             transform(sequence(0, mains - 1), j -> named_struct('inner', false, 'x', pmod(xxhash64(node, 1), rests), 'y', j, 'side', 0))) END"""
     dealt = members.select("bucket", "band", "node", "label", F.explode(F.expr(to)).alias("to"))
-    grouped = dealt.join(made, "node").groupBy("bucket", "band", "to.inner", "to.x", "to.y").agg(F.collect_list(F.struct(F.col("to.side").alias("side"), "node", "label", "sig", "s")).alias("members"))
+    grouped = dealt.join(made, "node").groupBy("bucket", "band", "to.inner", "to.x", "to.y").agg(F.collect_list(F.struct(F.col("to.side").alias("side"), "node", "label", "sig", "bands", "s")).alias("members"))
 
     def run(batches):
         fresh_worker()

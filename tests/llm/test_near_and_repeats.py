@@ -237,3 +237,18 @@ def test_passages_that_a_document_repeats(spark):
     assert all(got[d] >= want[d] for d in want) and set(got) == set(want) == {2, 3, 4, 6, 8}
     left = {r.doc_id: r.text.split() for r in substrings.remove(df).collect()}
     assert left[2] == rows[1][1].split()[60:150] + rows[1][1].split()[210:280]
+
+
+def test_links_where_an_earlier_band_is_equal_in_bytes_only():
+    """The band of a shared bucket is told by whole hashes: a collision of one byte in an earlier band loses no link."""
+    import numpy as np
+
+    bands, rows = near_duplicates.BANDS, near_duplicates.ROWS
+    sig = np.arange(bands * rows, dtype=np.uint8)
+    hashes = np.arange(bands, dtype=np.uint64)
+    other = hashes + np.uint64(1000)
+    other[3] = hashes[3]  # band 0 is equal in bytes, its hash is not; band 3 is shared
+    s = np.arange(100, dtype=np.uint32).tobytes()
+    member = lambda label, h: {"side": 0, "node": label, "label": label, "sig": sig.tobytes(), "bands": h.tobytes(), "s": s}
+    assert near_duplicates.links([member(1, hashes), member(2, other)], 3, 0.8) == [(1, 2)]
+    assert near_duplicates.links([member(1, hashes), member(2, other)], 4, 0.8) == []
