@@ -1,10 +1,11 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-Texts are multisets of five-word shingles, a shingle's weight growing with its count.  In
-ProbMinHash every shingle is a Poisson process of arrivals whose rate is its weight;
+Texts are sets of five-word shingles, all of one weight: links are defined by plain Jaccard similarity,
+and weights by count would hide near copies in which a line is repeated unequally often.  In
+ProbMinHash every shingle is a Poisson process of arrivals of one rate;
 arrivals hit random slots, each slot keeps its earliest shingle, and a shingle stops
 when its next arrival is later than every slot's.  Equal slots of two texts estimate their
-probability Jaccard similarity.  Slots are banded; in a band's bucket every text is paired with two
+Jaccard similarity.  Slots are banded; in a band's bucket every text is paired with two
 centres only, never with all others; pairs are verified on their whole shingle sets (plain Jaccard), and
 verified links are joined to classes.  Buckets that still hold several classes are tried
 again with centres of those classes until no link is found.  What then still shares a bucket
@@ -44,13 +45,11 @@ def shingles(batch_hashes: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tu
 
 
 def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, slots: int) -> np.ndarray:
-    """ProbMinHash signatures (n_texts x slots) of shingles (hash, text)."""
+    """ProbMinHash signatures (n_texts x slots) of shingles (hash, text), repeated ones counted once."""
     order = np.lexsort((hashes, text))
     hashes, text = hashes[order], text[order]
     first = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])]) if len(hashes) else np.empty(0, bool)
-    at = np.flatnonzero(first)
-    count = np.diff(np.append(at, len(hashes)))
-    hashes, text, weight = hashes[at], text[at], 1.0 + np.log(count)
+    hashes, text = hashes[first], text[first]
     best = np.full(n_texts * slots, np.inf)
     kept = np.zeros(n_texts * slots, np.uint64)
     time, turn = np.zeros(len(hashes)), 0
@@ -58,7 +57,7 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, slots: int) -
         turn += 1
         with np.errstate(over="ignore"):
             noise = words.mix(hashes + words.GOLDEN * np.uint64(turn))
-        time = time - np.log(((noise >> np.uint64(24)).astype(np.float64) + 0.5) / 2.0**40) / weight
+        time = time - np.log(((noise >> np.uint64(24)).astype(np.float64) + 0.5) / 2.0**40)
         slot = text * slots + ((noise & np.uint64(0xFFFF)).astype(np.int64) * slots >> 16)
         early = time < best[slot]
         s, t = slot[early], time[early]
@@ -68,7 +67,7 @@ def signatures(hashes: np.ndarray, text: np.ndarray, n_texts: int, slots: int) -
         if turn % 4 == 1 or len(hashes) < 20000:
             latest = best.reshape(n_texts, slots).max(1)
         go = time < latest[text]
-        hashes, text, weight, time = hashes[go], text[go], weight[go], time[go]
+        hashes, text, time = hashes[go], text[go], time[go]
     return kept.reshape(n_texts, slots)
 
 

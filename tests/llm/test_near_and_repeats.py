@@ -252,3 +252,16 @@ def test_links_where_an_earlier_band_is_equal_in_bytes_only():
     member = lambda label, h: {"side": 0, "node": label, "label": label, "sig": sig.tobytes(), "bands": h.tobytes(), "s": s}
     assert near_duplicates.links([member(1, hashes), member(2, other)], 3, 0.8) == [(1, 2)]
     assert near_duplicates.links([member(1, hashes), member(2, other)], 4, 0.8) == []
+
+
+def test_near_copies_with_unequal_repeats(spark):
+    """Pairs over the threshold whose counts differ widely, and pairs under it, by brute force."""
+    rng = random.Random(17)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for i in range(120):
+        own, line = noise(45 + i % 20), noise(15)
+        rows += [(2 * i, " ".join(own + line)), (2 * i + 1, " ".join(own + line * (10, 30, 100, 300)[i % 4] + noise(25 * (i % 5 == 4))))]
+    got = {r.doc_id: r.class_id for r in near_duplicates.find(frame(spark, rows)).collect()}
+    want = brute_classes(rows)
+    assert got == want and 120 < len(set(want.values())) < 160
