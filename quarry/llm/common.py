@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,12 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 #: The same for tables of two or three numbers.
 NARROW_ROWS = 300_000
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch in the registered queries and the pipeline.
+BATCH_BYTES = 6 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ``documents`` table."""
+    """The whole ``documents`` table, for a registered query."""
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -25,8 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of a new folder below the shared checkpoint folder of this session.
 
-    ``spark.checkpoint.dir`` names it; only a session without the setting (a
-    local test) gets a temporary folder of its own.
+    ``spark.checkpoint.dir`` names it.  Only a local session may go without: it gets a temporary folder.
+    On a cluster a folder of the driver's machine would lose data, so there it is an error.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -34,9 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         if current.isDefined():
             base = current.get()
-        else:
+        elif re.match(r"local(\[|$)", context.master):
             base = "file://" + tempfile.mkdtemp(prefix="quarry-")
             context.setCheckpointDir(base)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if base.startswith("file:/") and not base.startswith("file://"):
         base = "file://" + base[len("file:"):]
     elif "://" not in base:
@@ -50,7 +53,6 @@ def stored(df: DataFrame) -> DataFrame:
     Cuts the lineage: a lost executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
-    small_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,20 +68,26 @@ def with_small(df: DataFrame, table: DataFrame, key: str | list[str], how: str =
     return df.join(F.broadcast(table) if rows <= most else table.hint("merge"), key, how)
 
 
-def gathered(table: DataFrame, most: int = NARROW_ROWS) -> DataFrame:
-    """The stored narrow ``table`` in as few partitions as its counted rows need.
+def sized(table: DataFrame, rows_each: int = NARROW_ROWS) -> DataFrame:
+    """The stored narrow ``table`` in one partition for every ``rows_each`` of its counted rows."""
+    return table.coalesce(max(1, -(-table.count() // rows_each)))
+
 
-    Up to ``most`` rows are one partition, on which grouping needs no shuffle; a larger table
-    stays as it is.
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by ``BATCH_BYTES``: both sides of a Python worker hold whole batches of texts.
+
+    For the sessions of registered queries and the pipeline; operators leave a user's session as it is
+    (Spark's own bound is 64 MB).
     """
-    return table.coalesce(1) if table.count() <= most else table
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold ``BATCH_ROWS`` rows where the session keeps Spark's default of 10,000:
-    texts are wide, and both sides of a Python worker hold whole batches."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def unused(df: DataFrame, name: str) -> str:
+    """A column name beginning with ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def fresh_worker() -> None:

@@ -7,8 +7,8 @@ arrivals hit random slots, each slot keeps its earliest shingle, and a shingle s
 when its next arrival is later than every slot's.  Equal slots of two texts estimate their
 Jaccard similarity.  Slots are banded; in a band's bucket every text is paired with two
 centres only, never with all others; pairs are verified on their whole shingle sets (plain Jaccard), and
-verified links are joined to classes.  Buckets that still hold several classes are tried
-again with centres of those classes until no link is found.  What then still shares a bucket
+verified links are joined to classes.  In buckets that then hold several classes the texts outside the
+largest class are paired with a centre of that class.  What still shares a bucket
 without sharing a class is compared in blocks of bounded size, inside tasks that give links only, so no
 link of a bucket is lost.
 """
@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import NARROW_ROWS, fresh_worker, gathered, stored, with_small
+from .common import NARROW_ROWS, fresh_worker, sized, stored, unused, with_small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Texts of a block, and equal slots below which two texts of a block are not compared whole.
-BLOCK, LEAST_SLOTS = 64, 60
+#: Texts of a block.
+BLOCK = 256
+#: Equal slots, of ``BANDS * ROWS``, below which two texts of a block are not compared whole.  Slots are independent, each equal
+#: with the probability of the similarity, so a pair at 0.8 has fewer with a chance of 1 in 10^13.
+LEAST_SLOTS = 60
 
 
 def shingles(batch_hashes: np.ndarray, ends: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the least label around every node, then the label of its label; each is
     cut off as a stored table, so a round costs the same and survives lost executors.
     """
-    edges = gathered(edges)
-    both = gathered(stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))))
+    both = sized(stored(sized(edges).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")))
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
         around = with_small(both, labels.withColumnRenamed("node", "b"), "b", "inner", NARROW_ROWS).groupBy("a").agg(F.min("label").alias("near"))
@@ -138,7 +140,7 @@ def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), "sig": pa.array([sig[i].tobytes() for i in at], pa.binary()), "bands": pa.array([bands[i].tobytes() for i in at], pa.binary())})
 
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = with_small(texts, wanted, "doc_id", "inner").select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary, bands binary")
+    found = with_small(texts, wanted, "doc_id", "inner", NARROW_ROWS).select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary, bands binary")
     return stored(found.dropDuplicates(["node"]))
 
 
@@ -150,12 +152,11 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Stored pairs (a, b) of nodes whose whole shingle sets are that similar, of candidate ``pairs``.
+def verified(made: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Stored pairs (a, b) of nodes whose whole shingle sets are that similar, of stored candidate ``pairs``.
 
-    A hot centre's set meets its many partners in a sort-merge join that adaptive execution splits.
+    ``made`` has the sets.  A hot centre's set meets its many partners in a sort-merge join that adaptive execution splits.
     """
-    made = sets(docs, classes, stored(gathered(pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()))
 
     def compare(batches):
         for batch in batches:
@@ -203,22 +204,31 @@ def links(members: list[dict], band: int, similarity: float) -> list[tuple[int,
     return out
 
 
-def crossed(docs: DataFrame, classes: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+def mixed(own: DataFrame) -> DataFrame:
+    """Stored (bucket, main, centre, mains, rests) of the buckets of ``own`` (node, bucket, label) that hold several classes.
+
+    ``main`` is the largest class of the bucket, ``centre`` its least node there, ``mains`` and ``rests`` count its members and the others.
+    """
+    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre"))
+    sizes = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label", "centre")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    return stored(sizes.select("bucket", F.col("m.label").alias("main"), F.col("m.centre").alias("centre"), F.col("m.n").alias("mains"), (F.col("all") - F.col("m.n")).alias("rests")))
+
+
+def crossed(made: DataFrame, own: DataFrame, buckets: DataFrame, similarity: float) -> DataFrame:
     """Stored links (a, b) of labels between all members of a bucket that are in different classes.
 
-    ``own`` has (node, band, bucket, label).  In a bucket, members of its largest class meet the others,
+    ``own`` has (node, band, bucket, label), ``buckets`` is what ``mixed`` gave.  In a bucket, members of its largest class meet the others,
     and the others meet each other, in blocks of about ``BLOCK`` texts by a hash; a group is one pair of
-    blocks, so its size is bounded, and it gives fewer links than it has members.
+    blocks, so its size is bounded, and it gives fewer links than it has members.  A bucket of no more than ``BLOCK`` texts is one group.
     """
-    sizes = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    sizes = stored(sizes.select("bucket", F.col("m.label").alias("main"), F.ceil(F.col("m.n") / BLOCK).alias("mains"), F.ceil((F.col("all") - F.col("m.n")) / BLOCK).alias("rests")))
-    members = stored(with_small(own, sizes, "bucket", "inner", NARROW_ROWS))
-    made = sets(docs, classes, stored(members.select("node").distinct()))
-    to = """CASE WHEN label = main THEN transform(sequence(0, rests - 1), i -> named_struct('inner', false, 'x', i, 'y', pmod(xxhash64(node, 1), mains), 'side', 1))
-        ELSE concat(transform(sequence(0, rests - 1), i -> named_struct('inner', true, 'x', least(i, pmod(xxhash64(node, 1), rests)), 'y', greatest(i, pmod(xxhash64(node, 1), rests)), 'side', if(i < pmod(xxhash64(node, 1), rests), 1, 0))),
-            transform(sequence(0, mains - 1), j -> named_struct('inner', false, 'x', pmod(xxhash64(node, 1), rests), 'y', j, 'side', 0))) END"""
-    dealt = members.select("bucket", "band", "node", "label", F.explode(F.expr(to)).alias("to"))
-    grouped = dealt.join(made, "node").groupBy("bucket", "band", "to.inner", "to.x", "to.y").agg(F.collect_list(F.struct(F.col("to.side").alias("side"), "node", "label", "sig", "bands", "s")).alias("members"))
+    blocks = buckets.select("bucket", "main", (F.col("mains") + F.col("rests") <= BLOCK).alias("one"), F.ceil(F.col("mains") / BLOCK).alias("mains"), F.ceil(F.col("rests") / BLOCK).alias("rests"))
+    members = with_small(own, blocks, "bucket", "inner", NARROW_ROWS)
+    to = """CASE WHEN one THEN array(named_struct('inner', true, 'x', 0L, 'y', 0L, 'side', 0))
+        WHEN label = main THEN transform(sequence(0L, rests - 1), i -> named_struct('inner', false, 'x', i, 'y', pmod(xxhash64(node, 1), mains), 'side', 1))
+        ELSE concat(transform(sequence(0L, rests - 1), i -> named_struct('inner', true, 'x', least(i, pmod(xxhash64(node, 1), rests)), 'y', greatest(i, pmod(xxhash64(node, 1), rests)), 'side', if(i < pmod(xxhash64(node, 1), rests), 1, 0))),
+            transform(sequence(0L, mains - 1), j -> named_struct('inner', false, 'x', pmod(xxhash64(node, 1), rests), 'y', j, 'side', 0))) END"""
+    dealt = stored(members.select("bucket", "band", "node", "label", F.explode(F.expr(to)).alias("to")).select("bucket", "band", "node", "label", "to.*"))
+    grouped = dealt.join(made, "node").groupBy("bucket", "band", "inner", "x", "y").agg(F.collect_list(F.struct("side", "node", "label", "sig", "bands", "s")).alias("members"))
 
     def run(batches):
         fresh_worker()
@@ -232,14 +242,12 @@ def crossed(docs: DataFrame, classes: DataFrame, own: DataFrame, similarity: flo
     return stored(grouped.select("band", "members").mapInArrow(run, "a long, b long").distinct())
 
 
-def contracted(labels: DataFrame | None, step: DataFrame) -> DataFrame:
+def contracted(labels: DataFrame, step: DataFrame) -> DataFrame:
     """Stored (node, label) after the labels of ``labels`` went over into those of ``step`` (components of labels)."""
-    if labels is None:
-        return step
     moved = step.select(F.col("node").alias("label"), F.col("label").alias("to"))
     known = with_small(labels, moved, "label", "left", NARROW_ROWS).select("node", F.coalesce("to", "label").alias("label"))
     fresh = with_small(step, labels.select("node"), "node", "left_anti", NARROW_ROWS)
-    return stored(gathered(stored(known.unionByName(fresh))))
+    return stored(known.unionByName(fresh))
 
 
 def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -248,59 +256,39 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     ``class_id`` is the least doc_id of the near-duplicate class, ``copy_of`` the least of
     the exact copies (equal words).  Rows without words, null texts too, are classes of their own; rows
     without doc_id take part as a document whose id is unknown: they join no class of
-    others and stay; repeated rows give one row.  An empty table gives an empty result.
+    others and stay; repeated rows give one row.  Texts of any length are taken whole; other columns are
+    ignored; an empty table gives an empty result.
     """
     mark = stored(marked(docs))
     some = mark.where("size(bands) > 0 AND doc_id IS NOT NULL")
-    exact = stored(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("first")))
+    # equal words have equal bands: a class has the bands of any of its copies
+    exact = stored(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
     # a node is 64 bits of the key; the rare keys that share them take other bits
     shared = stored(exact.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", F.lit(True).alias("shared")))
-    node = F.col("k1")
-    if not shared.isEmpty():
-        exact = stored(with_small(exact, shared, "k1").withColumn("node", F.when(F.col("shared"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("shared"))
+    if shared.isEmpty():
+        exact = exact.withColumn("node", F.col("k1"))
     else:
-        exact = exact.withColumn("node", node)
-    # one row of bands for each exact class: that of its first document
-    firsts = some.withColumnRenamed("doc_id", "first").join(exact, ["k1", "k2", "first"]).dropDuplicates(["node"])
-    banded = firsts.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
+        exact = stored(with_small(exact, shared, "k1").withColumn("node", F.when(F.col("shared"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("shared"))
+    banded = exact.select("node", F.posexplode("bands").alias("band", "bucket")).select("node", "band", F.xxhash64("band", "bucket").alias("bucket"))
+    exact = exact.drop("bands")
     crowded = banded.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     placed = stored(banded.join(crowded, "bucket"))
-    pairs = placed.select("node", F.explode(F.array("low", "high")).alias("centre")).where("node <> centre")
+    made = sets(docs, exact, stored(placed.select("node").distinct()))
     ordered = lambda p: p.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    tried = stored(ordered(pairs))
-    edges = verified(docs, exact, tried, similarity)
-    labels, rest = None, placed.select("node", "bucket")
-    while not edges.isEmpty():
-        # links found so far are contracted: later rounds join labels only
-        labels = contracted(labels, components(edges))
-        # buckets that hold several classes: their members against the centres of the first and the last class
-        own = with_small(rest, labels, "node", "left", NARROW_ROWS).select("node", "bucket", F.coalesce("label", "node").alias("label"))
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("n_low"), F.max_by("node", "label").alias("n_high")).where("low < high")
-        mixed = stored(mixed)
-        if mixed.isEmpty():
-            break
-        more = stored(with_small(own, mixed, "bucket", "inner"))
-        rest = gathered(more.select("node", "bucket"))
-        more = gathered(more).select("node", "label", F.explode(F.array(F.struct(F.col("n_low").alias("centre"), F.col("low").alias("at")), F.struct(F.col("n_high").alias("centre"), F.col("high").alias("at")))).alias("c")).where("label <> c.at").select("node", "c.centre")
-        new = stored(with_small(ordered(more), tried, ["a", "b"], "left_anti", NARROW_ROWS))
-        if new.isEmpty():
-            break
-        tried = stored(gathered(tried.unionByName(new)))
-        found = verified(docs, exact, new, similarity)
-        named = with_small(found, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left", NARROW_ROWS)
-        named = with_small(named, labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left", NARROW_ROWS)
-        edges = stored(gathered(stored(named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b"))))
+    tried = stored(ordered(placed.select("node", F.explode(F.filter(F.array("low", "high"), lambda c: c != F.col("node"))).alias("centre"))))
+    labels = components(verified(made, tried, similarity))
+    named = lambda: with_small(placed, labels, "node", "left", NARROW_ROWS).select("node", "band", "bucket", F.coalesce("label", "node").alias("label"))
+    # texts outside the largest class of their bucket against a centre of that class
+    outside = with_small(named(), mixed(named()), "bucket", "inner", NARROW_ROWS).where("label <> main").select("node", "centre")
+    new = stored(with_small(ordered(outside), tried, ["a", "b"], "left_anti", NARROW_ROWS))
+    to_labels = lambda p: stored(with_small(with_small(p, labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left", NARROW_ROWS), labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left", NARROW_ROWS).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    labels = contracted(labels, components(to_labels(verified(made, new, similarity))))
     # the exact way for the rest: members of a bucket that are still apart
-    own = placed.withColumn("label", F.col("node")) if labels is None else with_small(placed, labels, "node", "left", NARROW_ROWS).withColumn("label", F.coalesce("label", "node"))
-    last = crossed(docs, exact, own.select("node", "band", "bucket", "label"), similarity)
-    if not last.isEmpty():
-        labels = contracted(labels, components(last))
-    if labels is None:
-        classes = exact.withColumn("class_id", F.col("first"))
-    else:
-        named = with_small(exact, labels, "node", "left", NARROW_ROWS).withColumn("label", F.coalesce("label", "node"))
-        least = stored(with_small(exact, labels, "node", "inner", NARROW_ROWS).groupBy("label").agg(F.min("first").alias("class_id")))
-        classes = with_small(named, least, "label", "left", NARROW_ROWS).withColumn("class_id", F.coalesce("class_id", "first"))
+    own = stored(named())
+    labels = contracted(labels, components(crossed(made, own, mixed(own), similarity)))
+    classes = with_small(exact, labels, "node", "left", NARROW_ROWS).withColumn("label", F.coalesce("label", "node"))
+    least = stored(with_small(exact, labels, "node", "inner", NARROW_ROWS).groupBy("label").agg(F.min("first").alias("class_id")))
+    classes = with_small(classes, least, "label", "left", NARROW_ROWS).withColumn("class_id", F.coalesce("class_id", "first"))
     classes = stored(classes.select("k1", "k2", "class_id", F.col("first").alias("copy_of")))
     whole = mark.select("doc_id", "text_hash", "k1", "k2", (F.size("bands") > 0).alias("some")).distinct()
     joined = whole.join(classes, ["k1", "k2"], "left")
@@ -311,8 +299,9 @@ def find(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Rows of ``docs`` that stay when each class keeps the document of its least doc_id.
 
-    Rows without words or doc_id stay; of rows that repeat a kept document's id and text all stay.
+    Rows without words or doc_id stay; of rows that repeat a kept document's id and text all stay; columns stay as they are.
     """
-    gone = find(docs, similarity).where("doc_id IS NOT NULL AND class_id <> doc_id").select("doc_id", F.col("text_hash").alias("_text_hash"))
-    keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return with_small(keyed, stored(gone), ["doc_id", "_text_hash"], "left_anti").select(*docs.columns)
+    mark = unused(docs, "_text_hash")
+    gone = find(docs, similarity).where("doc_id IS NOT NULL AND class_id <> doc_id").select("doc_id", F.col("text_hash").alias(mark))
+    keyed = docs.withColumn(mark, F.xxhash64("text"))
+    return with_small(keyed, stored(gone), ["doc_id", mark], "left_anti").select(*docs.columns)
