@@ -47,6 +47,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a URI, with the names that Hadoop has for object stores."""
+    import pyarrow.fs as pafs
+
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    for name, plain in (("s3a://", "s3://"), ("s3n://", "s3://"), ("abfss://", "abfs://")):
+        if uri.startswith(name):
+            uri = plain + uri[len(name):]
+    return pafs.FileSystem.from_uri(uri)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 

@@ -91,37 +91,58 @@ def test_slots_are_a_permutation():
 
 
 def read_back(manifest, folder, length, shard_slots):
-    """Documents put together from the shards by the manifest."""
+    """Ids of the documents put together from the shards by the manifest."""
     import os
 
     root = folder.removeprefix("file://")
     parts, shards = defaultdict(list), {}
     for r in manifest:
         if r.shard not in shards:
-            shards[r.shard] = open(os.path.join(root, f"shard-{r.shard:08d}.bin"), "rb").read()
-        assert r.offset == r.slot % shard_slots * length and r.shard == r.slot // shard_slots
-        parts[r.doc_id].append((r.sequence, r.place, r.start, shards[r.shard][r.offset + r.place : r.offset + r.place + r.n_tokens]))
-    assert sorted(f for f in os.listdir(root) if not f.startswith(".")) == [f"shard-{s:08d}.bin" for s in sorted(shards)]
+            shards[r.shard] = np.fromfile(r.path.removeprefix("file://"), "<u2")
+        assert r.offset == r.slot % shard_slots * length * 2 and r.shard == r.slot // shard_slots
+        at = r.offset // 2 + r.place
+        parts[r.doc_id].append((r.sequence, r.place, r.start, shards[r.shard][at : at + r.n_tokens].tolist()))
+    assert sorted(os.listdir(root)) == sorted(x for s in shards for x in (f".shard-{s:08d}.bin.crc", f"shard-{s:08d}.bin") if os.path.exists(os.path.join(root, x)))
     slots = {r.slot for r in manifest}
     assert slots == set(range(len(slots)))
     assert sum(map(len, shards.values())) == len(slots) * length
-    return {k: b"".join(p[3] for p in sorted(v)) for k, v in parts.items()}
+    return {k: [i for p in sorted(v) for i in p[3]] for k, v in parts.items()}
+
+
+def library_ids(texts):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_padding()
+    t.no_truncation()
+    return [t.encode(x or "", add_special_tokens=False).ids + [training_order.END_ID] for x in texts]
 
 
 def test_op6_round_trip(spark, sf, docs):
-    source = spark.read.parquet(f"{sf}/documents.parquet")
-    manifest, folder = training_order.write_shards(source, length=1024, shard_slots=16)
-    got = read_back(manifest.collect(), folder, 1024, 16)
-    assert got == {d["doc_id"]: d["text"].encode() + b"\xff" for d in docs}
+    """Shards hold the library's ids, and a reader goes on from any slot."""
+    source = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
+    manifest, folder = training_order.write_shards(source, length=256, shard_slots=16)
+    rows = manifest.collect()
+    assert read_back(rows, folder, 256, 16) == dict(zip((d["doc_id"] for d in docs), library_ids(d["text"] for d in docs)))
+    n = max(r.slot for r in rows) + 1
+    every = {r.slot: r.ids for r in training_order.read_shards(spark, folder, 256, 16).collect()}
+    assert sorted(every) == list(range(n))
+    for first in (0, 7, 16, 37, n - 1, n):
+        got = training_order.read_shards(spark, folder, 256, 16, first).collect()
+        assert {r.slot: r.ids for r in got} == {s: x for s, x in every.items() if s >= first}
+        if first < n:
+            assert [x.tobytes() for x in training_order.read_from(folder, first, 256, 16)] == [every[s] for s in range(first, n)]
     assert queries.op6_training_order(spark, sf).select("doc_id").distinct().count() == len(docs)
 
 
 def test_order_of_odd_rows(odd, empty):
     from .conftest import TEXTS
 
-    alone = odd.where("doc_id <> 7 OR doc_id IS NULL")
-    manifest, folder = training_order.write_shards(alone, length=64, shard_slots=8)
-    assert read_back(manifest.collect(), folder, 64, 8) == {k: (t or "").encode() + b"\xff" for k, t in TEXTS if k != 7}
+    manifest, folder = training_order.write_shards(odd, length=64, shard_slots=8)
+    rows = manifest.collect()
+    alone = [r for r in rows if r.doc_id != 7]
+    got = read_back(rows, folder, 64, 8)
+    want = dict(zip((k for k, _ in TEXTS), library_ids(t for _, t in TEXTS)))
+    assert {k: v for k, v in got.items() if k != 7} == {k: v for k, v in want.items() if k != 7} and alone
+    assert len(got[7]) == sum(len(x) for (k, _), x in zip(TEXTS, library_ids(t for _, t in TEXTS)) if k == 7)
     assert training_order.write_shards(empty)[0].count() == 0
 
 
