@@ -8,6 +8,10 @@ that ends before it on both sides, found with a Fenwick tree of prefix maxima, a
 for the gap.  Chains are cut into segments by tiles of the anchor, joined to the anchor's words and
 aligned word by word, with extension over both ends.  The aligned chain is cut into the stretches that are
 long and alike enough, so passages with an unlike gap between are found each.
+
+The anchor of a seed may hold only a part of what two other documents share.  Stretches whose seeds are shared
+but that no passage covers are therefore searched again by all their runs of ``LEAST_WORDS`` words, each
+matched to the least document that holds the whole run: no run that a lower document repeats word by word is lost.
 """
 
 from __future__ import annotations
@@ -19,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import fresh_worker, stored, with_small
+from .common import NARROW_ROWS, fresh_worker, stored, unused, with_small
 
 K, WINDOW = 8, 16
 #: Cost of a word of gap, on each side, in words gained.
 GAP_COST = 0.1
 #: Words of a tile of an anchor, and of margin around segments and tiles.
 TILE, MARGIN = 256, 64
+#: Segments that are aligned with one copy of a tile.
+SEGMENTS_A_COPY = 500
 #: A passage has so many words at least, and this share of them equal.
 LEAST_WORDS, LEAST_EQUAL = 50, 0.8
 
@@ -73,7 +79,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 seed, text, place = minimizers(hashes, ends)
                 yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(text)), "place": pa.array(place.astype(np.int32))})
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "seed long, doc_id long, place int")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int")
 
 
 def chains(place: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
@@ -267,9 +273,7 @@ def segments(docs: DataFrame, matches: DataFrame) -> DataFrame:
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     own = brief[ends[i] : ends[i + 1]]
                     a, p, q = anchor[cut[i] : cut[i + 1]], place[cut[i] : cut[i + 1]], other[cut[i] : cut[i + 1]]
-                    good = p + K <= len(own)  # rows that repeat a doc_id with another text
                     order = np.lexsort((q, p, a))
-                    order = order[good[order]]
                     a, p, q = a[order], p[order], q[order]
                     bounds = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
                     number = 0
@@ -315,20 +319,136 @@ def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return mine.select("doc_id", "text").mapInArrow(run, "anchor long, tile long, words binary").dropDuplicates(["anchor", "tile"])
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """Stored (doc_id, chosen) of the doc_ids with several texts, whose ``chosen`` has the least hash."""
+    texts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("chosen"), F.max(F.xxhash64("text")).alias("last"))
+    return stored(texts.where("chosen <> last").select("doc_id", "chosen"))
+
+
+def _chosen(docs: DataFrame, several: DataFrame) -> DataFrame:
+    """(doc_id, text) of the rows with a doc_id, without the other texts of a repeated one."""
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    return rows if several.isEmpty() else with_small(rows, several, "doc_id").where("chosen IS NULL OR chosen = xxhash64(text)").select("doc_id", "text")
+
+
+def open_stretches(matches: DataFrame, passages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, begin, end), places of seeds, where a run of ``least_words`` words may be shared that no passage covers.
+
+    In a run of ``n`` equal words every window of k-mers inside has the same seed on both sides, so
+    its seeds lie no further apart than two windows (seeds that follow themselves are thinned), and the outer ones within two windows of its ends.
+    """
+    reach = 2 * WINDOW - 1
+
+    def run(batches):
+        for batch in batches:
+            docs, begins, ends = [], [], []
+            for doc, m, spans in zip(batch.column("doc_id").to_pylist(), batch.column("m"), batch.column("spans").to_pylist()):
+                anchor, place = (m.values.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place"))
+                p = np.unique(place[anchor != doc])
+                if not len(p):
+                    continue
+                covered = np.zeros(int(p[-1]) + least_words + reach + 1, np.int32)
+                for x in spans or ():
+                    covered[min(x["start"], len(covered) - 1)] += 1
+                    covered[min(x["end"], len(covered) - 1)] -= 1
+                free = np.concatenate([[0], np.cumsum(np.cumsum(covered) == 0)])
+                turn = np.flatnonzero(np.diff(p) > reach)
+                for u, v in zip(np.concatenate([[0], turn + 1]), np.concatenate([turn, [len(p) - 1]])):
+                    low, high = max(0, int(p[u]) - reach), int(p[v]) - (least_words - K + 1 - reach)  # where such a run may begin
+                    if low <= high and free[min(high + least_words, len(free) - 1)] > free[low]:
+                        docs.append(doc)
+                        begins.append(int(p[u]))
+                        ends.append(int(p[v]))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
+
+    spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return matches.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, begin long, end long")
+
+
+def runs(docs: DataFrame, places: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(run, doc_id, place): hashes of the runs of ``least_words`` words around the ``places`` (doc_id, at array of places of seeds)."""
+
+    def make(batches):
+        fresh_worker()
+        for batch in batches:
+            for part, hashes, ends in words.blocks(batch):
+                rolled = words.rolling(hashes, least_words)
+                found, texts, starts = [], [], []
+                for i, at in enumerate(part.column("at")):
+                    n = ends[i + 1] - ends[i] - least_words + 1
+                    if n <= 0:
+                        continue
+                    at = at.values.to_numpy(zero_copy_only=False).astype(np.int64)
+                    near = np.zeros(n + 1, np.int32)
+                    np.add.at(near, np.clip(at - (least_words - K), 0, n), 1)
+                    np.add.at(near, np.clip(at + 1, 0, n), -1)
+                    x = np.flatnonzero(np.cumsum(near[:n]) > 0)
+                    found.append(rolled[ends[i] + x])
+                    texts.append(np.full(len(x), i))
+                    starts.append(x)
+                if found:
+                    yield pa.RecordBatch.from_pydict({"run": pa.array(np.concatenate(found).view(np.int64)), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(np.concatenate(texts))), "place": pa.array(np.concatenate(starts).astype(np.int32))})
+
+    return with_small(docs, places, "doc_id", "inner").select("doc_id", "text", "at").mapInArrow(make, "run long, doc_id long, place int")
+
+
+PASSAGE = "doc_id long, start long, end long, anchor long, anchor_start long, anchor_end long, equal_words long"
+
+
+def rerun(docs: DataFrame, every: DataFrame, matches: DataFrame, passages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Passages of equal words that ``passages`` do not cover, each matched to the least document with the whole run."""
+    stretch = stored(open_stretches(matches, passages, least_words))
+    inside = with_small(every, stretch, "doc_id", "inner", NARROW_ROWS).where("place BETWEEN begin AND end")
+    wanted = stored(inside.select("seed").distinct())
+    held = with_small(every, wanted, "seed", "inner", NARROW_ROWS)
+    found = stored(runs(docs, stored(held.groupBy("doc_id").agg(F.collect_list("place").alias("at"))), least_words))
+    low = found.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("run", F.col("first.doc_id").alias("anchor"), F.col("first.place").alias("other"))
+    matched = found.join(low, "run").where("doc_id <> anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m"))
+    known = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+    def merge(batches):
+        for batch in batches:
+            out = []
+            for doc, m, spans in zip(batch.column("doc_id").to_pylist(), batch.column("m"), batch.column("spans").to_pylist()):
+                anchor, place, other = (m.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("anchor", "place", "other"))
+                order = np.lexsort((place, other - place, anchor))
+                a, p, q = anchor[order], place[order], other[order]
+                # runs that follow each other on one diagonal are one passage
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(q - p) != 0) | (np.diff(p) > least_words)]))
+                last = np.append(first[1:] - 1, len(p) - 1)
+                taken = np.zeros(int(p.max()) + least_words + 1, np.int32)
+                for x in spans or ():
+                    taken[min(x["start"], len(taken) - 1)] += 1
+                    taken[min(x["end"], len(taken) - 1)] -= 1
+                free = np.concatenate([[0], np.cumsum(np.cumsum(taken) == 0)])
+                for u, v in zip(first, last):
+                    begin, end = int(p[u]), int(p[v]) + least_words
+                    if free[end] > free[begin]:
+                        out.append((doc, begin, end, int(a[u]), int(q[u]), int(q[v]) + least_words, end - begin))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=["doc_id", "start", "end", "anchor", "anchor_start", "anchor_end", "equal_words"])
+
+    return matched.join(known, "doc_id", "left").mapInArrow(merge, PASSAGE)
+
+
 def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Repeated passages (doc_id, start, end, anchor, anchor_start, anchor_end, equal_words), in words.
 
     Each is a stretch of ``doc_id`` that is found, alike in at least ``LEAST_EQUAL`` of its
     words, in ``anchor``, a document of a lower id.  Null and empty texts, and rows without
-    doc_id, have none; rows of one doc_id count as one document; other columns are ignored.
+    doc_id, have none; equal rows of one doc_id count as one document, and of a doc_id with several texts that of the least hash counts;
+    texts of any length are searched whole; other columns are ignored.
     """
-    every = stored(seeds(docs))
+    texts = _chosen(docs, repeated(docs))
+    every = stored(seeds(texts))
     low = every.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("seed", F.col("first.doc_id").alias("anchor"), F.col("first.place").alias("other"))
     matched = every.join(low, "seed").where("doc_id <> anchor")
-    matches = matched.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m"))
-    cut = stored(segments(docs, matches))
-    anchors = stored(cut.select("anchor").distinct())
-    tiled = tiles(docs, anchors)
+    matches = stored(matched.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m")))
+    cut = stored(segments(texts, matches))
+    # a tile that many segments meet has copies, one for so many of them
+    hot = stored(cut.groupBy("anchor", "tile").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS_A_COPY).alias("copies")).where("copies > 1"))
+    tiled = tiles(texts, stored(cut.select("anchor").distinct()))
+    copied = with_small(tiled, hot, ["anchor", "tile"]).withColumn("copy", F.explode(F.expr("sequence(0L, coalesce(copies, 1L) - 1)"))).drop("copies")
+    dealt = with_small(cut, hot, ["anchor", "tile"]).withColumn("copy", F.expr("pmod(xxhash64(doc_id, chain), coalesce(copies, 1L))")).drop("copies")
 
     def run(batches):
         fresh_worker()
@@ -352,26 +472,30 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             cols = {"doc_id": rows.column("doc_id"), "start": values[:, 0], "end": values[:, 1], "anchor": rows.column("anchor"), "anchor_start": values[:, 2], "anchor_end": values[:, 3], "equal_words": values[:, 4]}
             yield pa.RecordBatch.from_pydict({n: pa.array(v) if isinstance(v, np.ndarray) else v for n, v in cols.items()})
 
-    aligned = cut.join(tiled, ["anchor", "tile"]).mapInArrow(run, "doc_id long, anchor long, chain int, s long, os long, pieces binary")
+    aligned = dealt.join(copied, ["anchor", "tile", "copy"]).mapInArrow(run, "doc_id long, anchor long, chain int, s long, os long, pieces binary")
     # a chain may pass a gap that is not alike: it is cut where no long and alike stretch goes on
     whole = aligned.groupBy("doc_id", "anchor", "chain").agg(F.collect_list(F.struct("s", "os", "pieces")).alias("parts"))
-    return whole.mapInArrow(judge, "doc_id long, start long, end long, anchor long, anchor_start long, anchor_end long, equal_words long")
+    passages = stored(whole.mapInArrow(judge, PASSAGE))
+    return passages.unionByName(rerun(texts, every, matches, passages, least_words))
 
 
 def remove(docs: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     """``docs`` whose repeated passages are cut from all documents but the anchor.
 
-    Rows stay, also those of which nothing is left; rows without passages are unchanged.
+    Rows stay, also those of which nothing is left; rows without passages, and the texts of a repeated doc_id that ``find`` leaves out, are unchanged;
+    columns stay as they are.
     """
     passages = find(docs) if passages is None else passages
-    spans = stored(passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")))
+    cut = unused(docs, "_spans")
+    spans = stored(passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(cut)))
+    several = repeated(docs)
 
     def run(batches):
         fresh_worker()
         for batch in batches:
             texts = batch.column("text").cast(pa.string())
             out = []
-            for text, spans_ in zip(texts.to_pylist(), batch.column("_spans").to_pylist()):
+            for text, spans_ in zip(texts.to_pylist(), batch.column(cut).to_pylist()):
                 if not spans_ or not text:
                     out.append(text)
                     continue
@@ -385,8 +509,11 @@ def remove(docs: DataFrame, passages: DataFrame | None = None) -> DataFrame:
                     at = min(s["end"], len(parts))
                 kept.append((at, len(parts)))
                 out.append("".join(text[parts[a][0] : parts[b - 1][1] if b < len(parts) else len(text)] + (" " if b < len(parts) else "") for a, b in kept if a < b))
-            names = [n for n in batch.schema.names if n != "_spans"]
+            names = [n for n in batch.schema.names if n != cut]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    joined = docs.drop("_spans").join(spans, "doc_id", "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    joined = docs.join(spans, "doc_id", "left")
+    if not several.isEmpty():
+        mark = unused(joined, "_chosen")
+        joined = with_small(joined, several.withColumnRenamed("chosen", mark), "doc_id").withColumn(cut, F.when(F.col(mark).isNull() | (F.col(mark) == F.xxhash64("text")), F.col(cut)))
+    return joined.select(*docs.columns, cut).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

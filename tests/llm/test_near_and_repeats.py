@@ -265,3 +265,42 @@ def test_near_copies_with_unequal_repeats(spark):
     got = {r.doc_id: r.class_id for r in near_duplicates.find(frame(spark, rows)).collect()}
     want = brute_classes(rows)
     assert got == want and 120 < len(set(want.values())) < 160
+
+
+def test_passages_whose_parts_stand_in_lower_documents(spark):
+    """Two documents share 60 to 120 words; documents of lower ids hold their parts, each below 50 words, in any order."""
+    rng = random.Random(23)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows, d = [], 0
+    for size, part in ((60, 15), (60, 30), (120, 24), (120, 40), (50, 25), (51, 49), (200, 33)):
+        x = noise(size)
+        parts = [x[i : i + part] for i in range(0, size, part)]
+        rng.shuffle(parts)
+        rows.append((d, [w for p in parts for w in noise(7) + p]))
+        rows += [(d + 1 + i, noise(20) + p + noise(20)) for i, p in enumerate(parts)]
+        d += len(parts) + 1
+        rows += [(d, noise(30) + x + noise(25)), (d + 1, noise(12) + x + noise(40)), (d + 2, x + noise(10) + x)]
+        d += 3
+    rows = [(d, " ".join(w)) for d, w in rows]
+    passages, texts = substrings.find(frame(spark, rows)).collect(), {d: t.split() for d, t in rows}
+    got, want = covered(passages), repeats(rows)
+    assert all(got[d] >= want[d] for d in want) and len(set(got) - set(want)) <= 3
+    for p in passages:  # beyond runs, parts that an anchor holds in the same order, alike enough
+        held = set(texts[p.anchor][p.anchor_start : p.anchor_end])
+        assert sum(x in held for x in texts[p.doc_id][p.start : p.end]) >= 0.8 * (p.end - p.start) >= 40
+
+
+def test_hot_tiles_and_repeated_ids(spark, monkeypatch):
+    """Many documents against one tile, which has copies; of a doc_id with two texts one counts, the same in every run."""
+    monkeypatch.setattr(substrings, "SEGMENTS_A_COPY", 7)
+    rng = random.Random(29)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    x = noise(80)
+    rows = [(i, " ".join(noise(9) + x + noise(11))) for i in range(60)] + [(7, " ".join(noise(200)))]
+    chosen = {}
+    got = covered(substrings.find(frame(spark, rows)).collect())
+    assert all(got[i] == set(range(9, 89)) for i in range(1, 60) if i != 7) and got[7] in (set(), set(range(9, 89)))
+    left = [sorted((r.doc_id, r.text) for r in substrings.remove(frame(spark, order)).collect()) for order in (rows, rows[::-1])]
+    assert left[0] == left[1] and len(left[0]) == 61
+    chosen = [t for d, t in left[0] if d == 7]
+    assert rows[-1][1] in chosen
