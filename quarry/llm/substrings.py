@@ -10,8 +10,9 @@ aligned word by word, with extension over both ends.  The aligned chain is cut i
 long and alike enough, so passages with an unlike gap between are found each.
 
 The anchor of a seed may hold only a part of what two other documents share.  Stretches whose seeds are shared
-but that no passage covers are therefore searched again by all their runs of ``LEAST_WORDS`` words, each
-matched to the least document that holds the whole run: no run that a lower document repeats word by word is lost.
+but that lie in no passage are therefore searched again by all their runs of ``LEAST_WORDS`` words, each
+matched to the least document that holds the whole run: of a run that a lower document repeats word by word at most
+``WINDOW - 1`` words at either end are lost, and those only where a passage with another document covers the rest.
 """
 
 from __future__ import annotations
@@ -46,15 +47,15 @@ def _sliding(x: np.ndarray, n: int, least) -> np.ndarray:
     return x
 
 
-def minimizers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, place in the text) of the seeds of all texts, every place of a repeated seed.
+def minimizers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, place in the text, places it stands for beyond) of the seeds of all texts, every place of a repeated seed.
 
-    Of a seed that follows itself, as in a line repeated on end, one place in ``WINDOW`` words is enough.
+    Of a seed that follows itself, as in a line repeated on end, one place in ``WINDOW`` words is enough; it stands for those after it.
     """
     owner = words.owners(ends)
     rolled = words.rolling(hashes, K)
     if not len(rolled):
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
     inside = owner[: len(rolled)] == owner[K - 1 :]
     top = np.uint64(2**64 - 1)
     value = np.where(inside, np.minimum(rolled, top - np.uint64(1)), top)
@@ -66,20 +67,22 @@ def minimizers(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
     place = at - ends[text]
     again = np.zeros(len(at), bool)
     again[1:] = (seed[1:] == seed[:-1]) & (text[1:] == text[:-1]) & (place[1:] // WINDOW == place[:-1] // WINDOW)
-    return seed[~again], text[~again], place[~again]
+    first = np.flatnonzero(~again)
+    more = place[np.append(first[1:], len(at)) - 1] - place[first] if len(at) else place
+    return seed[first], text[first], place[first], more
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, place) of all rows with a doc_id."""
+    """(seed, doc_id, place, more) of all rows."""
 
     def run(batches):
         fresh_worker()
         for batch in batches:
             for part, hashes, ends in words.blocks(batch):
-                seed, text, place = minimizers(hashes, ends)
-                yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(text)), "place": pa.array(place.astype(np.int32))})
+                seed, text, place, more = minimizers(hashes, ends)
+                yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(text)), "place": pa.array(place.astype(np.int32)), "more": pa.array(more.astype(np.int8))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int")
+    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, more byte")
 
 
 def chains(place: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
@@ -332,30 +335,30 @@ def _chosen(docs: DataFrame, several: DataFrame) -> DataFrame:
 
 
 def open_stretches(matches: DataFrame, passages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, begin, end), places of seeds, where a run of ``least_words`` words may be shared that no passage covers.
+    """(doc_id, begin, end), places of seeds, where a run of ``least_words`` words may be shared and seeds lie in no passage.
 
-    In a run of ``n`` equal words every window of k-mers inside has the same seed on both sides, so
-    its seeds lie no further apart than two windows (seeds that follow themselves are thinned), and the outer ones within two windows of its ends.
+    In a run of equal words every window of k-mers inside has the same seed on both sides, so
+    a seed follows the other within a window, and the outer ones lie within a window of the run's ends.  Where all seeds lie in passages,
+    fewer than ``WINDOW`` words at either end of a run may stay uncovered; that is not searched again.
     """
-    reach = 2 * WINDOW - 1
+    least = least_words - K + 1
 
     def run(batches):
         for batch in batches:
             docs, begins, ends = [], [], []
             for doc, m, spans in zip(batch.column("doc_id").to_pylist(), batch.column("m"), batch.column("spans").to_pylist()):
-                anchor, place = (m.values.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place"))
-                p = np.unique(place[anchor != doc])
-                if not len(p):
-                    continue
-                covered = np.zeros(int(p[-1]) + least_words + reach + 1, np.int32)
+                anchor, place, more = (m.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("anchor", "place", "more"))
+                p, at = np.unique(place, return_index=True)
+                last = p + more[at]
+                covered = np.zeros(int(last.max()) + least_words + 1, np.int32)
                 for x in spans or ():
                     covered[min(x["start"], len(covered) - 1)] += 1
                     covered[min(x["end"], len(covered) - 1)] -= 1
                 free = np.concatenate([[0], np.cumsum(np.cumsum(covered) == 0)])
-                turn = np.flatnonzero(np.diff(p) > reach)
+                turn = np.flatnonzero(p[1:] - last[:-1] > WINDOW)
                 for u, v in zip(np.concatenate([[0], turn + 1]), np.concatenate([turn, [len(p) - 1]])):
-                    low, high = max(0, int(p[u]) - reach), int(p[v]) - (least_words - K + 1 - reach)  # where such a run may begin
-                    if low <= high and free[min(high + least_words, len(free) - 1)] > free[low]:
+                    # such a run begins within a window before the first seed, and ends within one behind the last
+                    if int(p[u]) - WINDOW + 1 <= int(last[v]) - (least - WINDOW) and free[int(last[v]) + K] > free[int(p[u])]:
                         docs.append(doc)
                         begins.append(int(p[u]))
                         ends.append(int(p[v]))
@@ -396,7 +399,7 @@ PASSAGE = "doc_id long, start long, end long, anchor long, anchor_start long, an
 
 
 def rerun(docs: DataFrame, every: DataFrame, matches: DataFrame, passages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Passages of equal words that ``passages`` do not cover, each matched to the least document with the whole run."""
+    """Passages of equal words of which ``passages`` leave a window uncovered, each matched to the least document with the whole run; the longest first, each with words that none before it covers."""
     stretch = stored(open_stretches(matches, passages, least_words))
     inside = with_small(every, stretch, "doc_id", "inner", NARROW_ROWS).where("place BETWEEN begin AND end")
     wanted = stored(inside.select("seed").distinct())
@@ -411,20 +414,22 @@ def rerun(docs: DataFrame, every: DataFrame, matches: DataFrame, passages: DataF
             out = []
             for doc, m, spans in zip(batch.column("doc_id").to_pylist(), batch.column("m"), batch.column("spans").to_pylist()):
                 anchor, place, other = (m.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("anchor", "place", "other"))
-                order = np.lexsort((place, other - place, anchor))
+                order = np.lexsort((other, place, anchor))
                 a, p, q = anchor[order], place[order], other[order]
-                # runs that follow each other on one diagonal are one passage
-                first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(q - p) != 0) | (np.diff(p) > least_words)]))
+                # runs of one anchor that meet are one passage, whose words all lie in runs
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(p) > least_words)]))
                 last = np.append(first[1:] - 1, len(p) - 1)
                 taken = np.zeros(int(p.max()) + least_words + 1, np.int32)
                 for x in spans or ():
                     taken[min(x["start"], len(taken) - 1)] += 1
                     taken[min(x["end"], len(taken) - 1)] -= 1
-                free = np.concatenate([[0], np.cumsum(np.cumsum(taken) == 0)])
-                for u, v in zip(first, last):
+                known = np.cumsum(taken) > 0
+                done = known.copy()
+                for u, v in sorted(zip(first.tolist(), last.tolist()), key=lambda r: (p[r[0]] - p[r[1]], p[r[0]], a[r[0]])):
                     begin, end = int(p[u]), int(p[v]) + least_words
-                    if free[end] > free[begin]:
-                        out.append((doc, begin, end, int(a[u]), int(q[u]), int(q[v]) + least_words, end - begin))
+                    if (~known[begin:end]).sum() >= WINDOW and not done[begin:end].all():
+                        done[begin:end] = True
+                        out.append((doc, begin, end, int(a[u]), int(q[u : v + 1].min()), int(q[u : v + 1].max()) + least_words, end - begin))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=["doc_id", "start", "end", "anchor", "anchor_start", "anchor_end", "equal_words"])
 
     return matched.join(known, "doc_id", "left").mapInArrow(merge, PASSAGE)
@@ -442,7 +447,7 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     every = stored(seeds(texts))
     low = every.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("seed", F.col("first.doc_id").alias("anchor"), F.col("first.place").alias("other"))
     matched = every.join(low, "seed").where("doc_id <> anchor")
-    matches = stored(matched.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m")))
+    matches = stored(matched.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other", "more")).alias("m")))
     cut = stored(segments(texts, matches))
     # a tile that many segments meet has copies, one for so many of them
     hot = stored(cut.groupBy("anchor", "tile").agg(F.ceil(F.count(F.lit(1)) / SEGMENTS_A_COPY).alias("copies")).where("copies > 1"))
