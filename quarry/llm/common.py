@@ -102,6 +102,16 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` whose columns of these names have others meanwhile, and which (old name -> new one)."""
+    new = {}
+    for c in df.columns:
+        if c.lower() in names:
+            new[c] = unused(df, f"_own{c}")
+            df = df.withColumnRenamed(c, new[c])
+    return df, new
+
+
 def fresh_worker() -> None:
     """Give back what earlier tasks of other operators left in a reused Python worker."""
     import ctypes

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions, stored, with_small
+from .common import aside, partitions, stored, with_small
 
 #: Buckets of neighbouring doc_ids, at most.
 MOST_BUCKETS = 10_000
@@ -78,6 +78,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     above, and every bucket finds its neighbours alone.  Null doc_ids come last, equal
     doc_ids are ordered by the first of ``columns``.
     """
+    names = docs.columns
+    docs, own = aside(docs, ["_key", "_bucket", "_edge", "_to", "_b", "_copy"])
+    columns = [own.get(c, c) for c in columns]
     n = max(1, min(MOST_BUCKETS, 4 * partitions(docs.sparkSession)))
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(-(2**63))))
     cuts = keyed.agg(F.percentile_approx("_key", F.array(*[F.lit(i / n) for i in range(1, n + 1)]), F.lit(10 * n)).alias("q")).first()["q"] or [0]
@@ -95,8 +98,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     )
     dealt = keyed.withColumn("_to", F.explode(F.filter(copies, lambda c: c.isNotNull()))).withColumns({"_b": F.col("_to.b"), "_copy": F.col("_to.copy")})
     order = Window.partitionBy("_b").orderBy(F.when(F.col("_copy") == 2, 1).otherwise(0), F.desc("_key"), F.col(columns[0]))
-    found = dealt.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
-    return found.where("_copy = 0").drop("_key", "_bucket", "_edge", "_to", "_b", "_copy")
+    back = {v: k for k, v in own.items()}
+    found = dealt.withColumns({f"next_{back.get(c, c)}": F.lead(c).over(order) for c in columns}).where("_copy = 0")
+    return found.select(*(F.col(own.get(c, c)).alias(c) for c in names), *(f"next_{back.get(c, c)}" for c in columns))
 
 
 def edited(docs: DataFrame) -> DataFrame:

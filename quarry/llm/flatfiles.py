@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import default_vocabulary, encoded_blocks
-from .common import stored
+from .common import file_system, stored
 
 #: First id that the vocabulary leaves free, so no text holds it.
 END_ID = 49408
@@ -69,19 +69,36 @@ def write_blocks(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
 
 
 def read_files(spark: SparkSession, path: str, token_bytes: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Blocks (file, block, ids) of real flat files, each at most 2 GB, through Spark's binary reader."""
-    whole = spark.read.format("binaryFile").load(path)
+    """Blocks (file, block, ids) of real flat files of any size: ranges of bytes, dealt to tasks, each read by itself.
+
+    ``path`` must be on a file system that the tasks can open (local, HDFS, or an object store).  An empty file has no block; the bytes of a broken
+    last id, fewer than ``token_bytes``, are left out.
+    """
     step = block_tokens * token_bytes
-    number = F.posexplode(F.expr(f"sequence(0L, cast(greatest(length - 1, 0) as bigint), {step}L)"))
-    return whole.select(F.xxhash64("path").alias("file"), "content", number.alias("block", "at")).select("file", F.col("block").cast("long").alias("block"), F.substring(F.col("content"), (F.col("at") + 1).cast("int"), F.lit(step)).alias("ids"))
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # the listing alone
+    at = F.explode(F.expr(f"sequence(0L, length - length % {token_bytes} - 1, {step}L)"))
+    ranges = files.where(F.col("length") >= token_bytes).select("path", (F.col("length") - F.col("length") % token_bytes).alias("size"), at.alias("at"))
+    dealt = ranges.repartition("path", "at")
+
+    def run(batches):
+        for batch in batches:
+            for name, size, begin in zip(*(batch.column(c).to_pylist() for c in ("path", "size", "at"))):
+                fs, place = file_system(name)
+                with fs.open_input_file(place) as stream:
+                    stream.seek(begin)
+                    ids = stream.read(min(step, size - begin))
+                yield pa.RecordBatch.from_pydict({"path": [name], "block": pa.array([begin // step], pa.int64()), "ids": pa.array([ids], pa.binary())})
+
+    return dealt.mapInArrow(run, "path string, block long, ids binary").select(F.xxhash64("path").alias("file"), "block", "ids")
 
 
 def summaries(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
-    """``blocks`` without ids, with ``tokens`` and ``ends`` (places of separators in the block)."""
+    """``blocks`` without ids, with ``tokens`` and ``ends`` (places of separators in the block); bytes behind the last whole id do not count."""
+    width = np.dtype(dtype).itemsize
 
     def run(batches):
         for batch in batches:
-            found = [np.frombuffer(x or b"", dtype) for x in batch.column("ids").to_pylist()]
+            found = [np.frombuffer(x or b"", dtype, len(x or b"") // width) for x in batch.column("ids").to_pylist()]
             rest = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "ids"]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([len(x) for x in found], pa.int64()), pa.array([np.flatnonzero(x == end_id) for x in found], pa.list_(pa.int64()))], names=[*(n for n in batch.schema.names if n != "ids"), "tokens", "ends"])
 

@@ -14,11 +14,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_worker, slices, stored, with_small
+from .common import aside, fresh_worker, slices, stored, with_small
 
 BUCKETS = 1 << 16
-#: Labelled rows that the trigram model is fitted on, and languages that it may have.
-SAMPLE_DOCS, MOST_LANGUAGES = 4000, 100
+#: Distinct labelled rows that the trigram model is fitted on; it has their languages.
+SAMPLE_DOCS = 4000
 #: A declaration is right this often; the weight of the wider level in host shares.
 DECLARED_RIGHT, SMOOTHING = 0.9, 20.0
 #: Trigrams overlap, so their log-likelihood counts for a part, up to so many of them.
@@ -26,7 +26,7 @@ TEMPER, MOST_TRIGRAMS = 0.3, 300
 #: Below these a document is rejected: the posterior, log-likelihood a trigram, trigrams.
 LEAST_CONFIDENCE, LEAST_FIT, LEAST_TRIGRAMS = 0.6, -11.0, 3
 BLOCK_CHARS = 500_000
-MARKUP = r"(?i)<html[^>]{0,200}?\slang\s*=\s*[\"']?([a-z]{2,3})\b"
+MARKUP = r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})\b"
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,11 +44,11 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods [bucket, language]) from labelled rows.
 
-    The sample is the first ``SAMPLE_DOCS`` labelled rows in the order of a hash of doc_id;
+    The sample is the first ``SAMPLE_DOCS`` distinct labelled rows in the order of a hash of all they say;
     whole texts are counted on the executors, and the table of buckets comes back.
     """
-    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    ids = [r[0] for r in labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"))
+    last = labelled.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
 
     def count(batches):
         for batch in batches:
@@ -60,8 +60,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 keys, n = np.unique(which[a:b][text] * BUCKETS + bucket, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([distinct[k] for k in keys // BUCKETS], pa.string()), "bucket": keys % BUCKETS, "n": n})
 
-    counted = labelled.where(F.col("doc_id").isin(ids)).select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("table")).orderBy(F.desc("all"), "lang").limit(MOST_LANGUAGES).collect()
+    sample = labelled.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])  # no rows: the least hash is null
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("table")).collect()
     rows.sort(key=lambda r: r["lang"])
     counts = np.full((BUCKETS, max(1, len(rows))), 0.2)
     for k, r in enumerate(rows):
@@ -72,7 +73,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 def scored(docs: DataFrame, likelihoods: np.ndarray) -> DataFrame:
     """``docs`` with ``_fit`` (tempered log-likelihood by language), ``_mean`` (of the best, a trigram), ``_n`` (trigrams)."""
-    model = docs.sparkSession.sparkContext.broadcast(likelihoods)  # BUCKETS x MOST_LANGUAGES floats at most
+    model = docs.sparkSession.sparkContext.broadcast(likelihoods)  # a float for each bucket and language of the sample
 
     def run(batches):
         fresh_worker()
@@ -111,10 +112,14 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
 
     ``host`` names a column with a host or a URL; a null host is one host without suffix.
     Rejected are documents with hardly a letter, whose trigrams fit no language, or
-    whose posterior is low.  Null and empty texts are rejected; columns of these three
-    names are replaced; repeated rows count each; an empty table stays empty.
+    whose posterior is low.  Null and empty texts are rejected; texts of any length are scored whole; of languages with equal posteriors
+    the first by name is taken; columns of these three
+    names are replaced, all others stay as they are; repeated rows count each; an empty table stays empty.
     """
     docs = docs.drop("language", "confidence", "kept")
+    columns = docs.columns
+    docs, own = aside(docs, ["_fit", "_mean", "_n", "_host", "_declared", "_suffix", "_prior", "_post"])
+    host = own.get(host, host)
     languages, likelihoods = model or train(docs)
     size = len(languages)
     address = F.lower(F.coalesce(F.regexp_extract(F.col(host), r"^(?:[a-zA-Z]+://)?(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
@@ -139,4 +144,4 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray] | None = None,
     best = F.array_max("_post")
     judged = judged.withColumns({"language": F.element_at(known, F.array_position("_post", best).cast("int")), "confidence": F.round(best, 4)})
     kept = (F.col("_n") >= LEAST_TRIGRAMS) & (F.col("_mean") >= LEAST_FIT) & (F.col("confidence") >= LEAST_CONFIDENCE)
-    return judged.withColumn("kept", kept).select(*docs.columns, "language", "confidence", "kept")
+    return judged.withColumn("kept", kept).select(*(F.col(own.get(c, c)).alias(c) for c in columns), "language", "confidence", "kept")

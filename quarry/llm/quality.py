@@ -103,11 +103,11 @@ def host_verdicts(facts: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """Measures of every row with ``base_failed``, ``host_failed`` and ``kept``.
 
-    Null sources count as one host of their own; repeated rows count each; an empty
-    table gives an empty result; columns other than doc_id, text and source are ignored.
+    Null sources are one host of their own (``host`` is ``null``, else ``=`` and the source); repeated rows count each; texts of any
+    length are measured whole; an empty table gives an empty result; columns other than doc_id, text and source are ignored.
     """
     facts = measures(docs).withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
-    facts = facts.withColumn("host", F.coalesce("source", F.lit("")))
+    facts = facts.withColumn("host", F.when(F.col("source").isNull(), "null").otherwise(F.concat(F.lit("="), "source")))
     for rule, failing in RULES.items():
         facts = facts.withColumn(f"fails_{rule}", F.expr(failing))
     facts = stored(facts)

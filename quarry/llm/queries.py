@@ -70,7 +70,7 @@ def _op2_sql() -> str:
     k = {r: f"CASE WHEN v_{r} > 0 THEN greatest(1.0, least(1000.0, m_{r} * (1 - m_{r}) / v_{r} - 1)) ELSE 1000.0 END" for r in rules}
     strict = ", ".join(f"(x_{r} + m_{r} * ({k[r]})) / (n + ({k[r]})) > greatest({quality.LEAST_RATE}, {quality.EXCESS} * all_{r}) AS strict_{r}" for r in rules)
     gone = " OR ".join(f"(f_{r} AND strict_{r})" for r in rules)
-    return rf"""WITH w AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    return rf"""WITH w AS (SELECT doc_id, CASE WHEN source IS NULL THEN 'null' ELSE '=' || source END AS host, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
     pos AS (SELECT doc_id, unnest(ws) AS a, generate_subscripts(ws, 1) AS i FROM w),
     tri AS (SELECT doc_id, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM pos WINDOW o AS (PARTITION BY doc_id ORDER BY i)),

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Patterns of the base kinds in the order of the kinds (fixed values).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -55,13 +57,14 @@ def _spans(text: str, pattern: str, kind: int, keep: str) -> Column:
 def train(docs: DataFrame) -> list[float]:
     """Log-likelihood ratios random / ordinary of all (character, next) pairs, row by row.
 
-    At most ``SAMPLE_DOCS`` documents, the first in the order of a hash of their ids,
+    At most ``SAMPLE_DOCS`` distinct documents, the first in the order of a hash of id and text,
     and ``SAMPLE_RANDOM`` random strings are counted, each count starting at one half.
     Only the table of pairs, whose size is fixed by the alphabet, comes to the driver.
     """
     spark = docs.sparkSession
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    words = docs.where(F.col("doc_id").isin(ids)).select(F.expr("filter(regexp_extract_all(text, '[A-Za-z][a-z]+', 0), w -> length(w) > 1)").alias("w")).where("size(w) > 0")
+    hashed = docs.where("text IS NOT NULL").select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    words = hashed.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"]).select(F.expr("filter(regexp_extract_all(text, '[A-Za-z][a-z]+', 0), w -> length(w) > 1)").alias("w")).where("size(w) > 0")
     ordinary = words.select(F.explode(F.expr("""flatten(array(w,
         zip_with(w, slice(w, 2, size(w)), (a, b) -> concat(a, '_', coalesce(b, 'id'))),
         zip_with(w, slice(w, 2, size(w)), (a, b) -> concat(lower(a), initcap(coalesce(b, 'id')))),
@@ -98,9 +101,10 @@ def find(docs: DataFrame, ratios: list[float]) -> DataFrame:
     value = f"char_length(regexp_extract(x.m, {_quoted(ASSIGN)}, 2)) >= 8"
     base = F.concat(_spans(text, ASSIGN, 0, value), _spans(text, ACCESS, 1, "true"), _spans(text, HEX, 2, "true"))
     judged = f"({score}) >= greatest({LEAST_RATIO}D, {LEAST_MEAN}D * char_length(x.m))"
-    found = docs.withColumn("_base", base).withColumn("_random", _spans(text, TOKEN, 3, judged))
-    apart = F.expr("filter(_random, r -> NOT exists(_base, b -> b.start < r.end AND r.start < b.end))")
-    return found.withColumn("spans", F.array_sort(F.concat("_base", apart))).drop("_base", "_random")
+    mine, random = unused(docs, "_base"), unused(docs, "_random")
+    found = docs.withColumn(mine, base).withColumn(random, _spans(text, TOKEN, 3, judged))
+    apart = F.expr(f"filter({random}, r -> NOT exists({mine}, b -> b.start < r.end AND r.start < b.end))")
+    return found.withColumn("spans", F.array_sort(F.concat(mine, apart))).drop(mine, random)
 
 
 def joined(spans: Column) -> Column:

@@ -73,6 +73,56 @@ def test_scan_stitches_blocks(spark, tmp_path):
             assert all(a.start + a.n_tokens + 1 == b.start for a, b in zip(x, x[1:])) and x[0].start == 0
 
 
+def test_broken_last_id_and_empty_file(spark, tmp_path):
+    ids = np.array([5, 6, 7, 8, 7, 9], "<u2")
+    (tmp_path / "a.bin").write_bytes(ids.tobytes() + b"x")
+    (tmp_path / "b.bin").write_bytes(b"")
+    (tmp_path / "c.bin").write_bytes(b"y")
+    for block in (1, 2, 100):
+        rows = flatfiles.lengths(flatfiles.summaries(flatfiles.read_files(spark, f"file://{tmp_path}", block_tokens=block), 7), 2).collect()
+        assert sorted((r.start, r.n_tokens) for r in rows) == [(0, 2), (3, 1)]
+    cut = spark.createDataFrame([(1, 0, bytearray(ids.tobytes() + b"z"))], "file long, block long, ids binary")
+    assert flatfiles.summaries(cut, 7).first().tokens == 6
+
+
+def test_posterior_by_hand(spark):
+    """Text, markup and host priors of the fusion against the same sums in numpy."""
+    import re
+
+    rng = np.random.default_rng(3)
+    languages, table = ["aa", "bb", "cc"], np.log(rng.dirichlet(np.ones(3), language.BUCKETS)).astype(np.float32)
+    words = ["haus", "maison", "casa", "house", "talo"]
+    rows = [(i, " ".join(rng.choice(words, 3 + i % 9)) + ('<html class="' + "x" * 300 + f'" lang="{languages[i % 3]}">' if i % 4 == 0 else ""), f"https://h{i % 5}.{'de' if i % 2 else 'fr'}/x", 1.5) for i in range(60)]
+    import pyarrow as pa
+
+    fits, means, ns = [], [], []
+    for _, text, _, _ in rows:
+        bucket, _ = language.trigrams(pa.array([text]))
+        sums = np.array([table[bucket, k].sum(dtype=np.float64) for k in range(3)])
+        fits.append(sums / len(bucket) * language.TEMPER * min(len(bucket), language.MOST_TRIGRAMS))
+        ns.append(len(bucket))
+        declared = re.search(r'lang="(..)"', text)
+        if declared:
+            wrong = (1 - language.DECLARED_RIGHT) / 2
+            fits[-1] = fits[-1] + np.log([language.DECLARED_RIGHT if x == declared[1] else wrong + 1e-6 for x in languages])
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    hosts, suffixes = defaultdict(lambda: np.zeros(3)), defaultdict(lambda: np.zeros(3))
+    names = [(r[2].split("/")[2], r[2].split("/")[2].split(".")[1]) for r in rows]
+    for (host, suffix), fit, n in zip(names, fits, ns):
+        if n >= language.LEAST_TRIGRAMS:
+            hosts[host] += soft(fit)
+            suffixes[suffix] += soft(fit)
+    world = sum(suffixes.values()) + 1
+    world = world / world.sum()
+    s = language.SMOOTHING
+    wide = {k: (v + s * world) / (v.sum() + s) for k, v in suffixes.items()}
+    prior = {h: (hosts[h] + s * wide[x]) / (hosts[h].sum() + s) for h, x in names}
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, source string, _fit double"), (languages, table)).collect()}
+    for (i, _, _, _), (host, _), fit in zip(rows, names, fits):
+        want = soft(fit + np.log(prior[host]))
+        assert got[i].language == languages[int(want.argmax())] and abs(got[i].confidence - want.max()) < 1e-3 and got[i]["_fit"] == 1.5
+
+
 def test_counts_of_odd_rows(odd, empty):
     from .conftest import TEXTS
 
@@ -166,3 +216,19 @@ def test_pipeline(spark, sf, docs):
     assert sizes[2] == sizes[3] == sizes[1]
     assert {r.doc_id for r in df.collect()} == {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
     json.dumps(sizes)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty, sf):
+    """Stages keep columns, and rows without ids or texts go only where a stage rejects them."""
+    import corpus_pipeline
+
+    for table in (odd, empty, odd.where("doc_id IS NULL OR text IS NULL")):
+        df = table
+        for name, stage in corpus_pipeline.STAGES:
+            before, df = df, stage(spark, df, sf)
+            if name == "packing":
+                assert {r.doc_id for r in df.collect()} == {r.doc_id for r in before.collect()}
+                continue
+            assert df.columns == table.columns, name
+            df = spark.createDataFrame(df.collect(), table.schema)
+            assert df.count() <= before.count() and (name in ("language ID", "near-duplicates") or df.count() == before.count())
