@@ -392,7 +392,30 @@ def runs(docs: DataFrame, places: DataFrame, least_words: int = LEAST_WORDS) ->
                 if found:
                     yield pa.RecordBatch.from_pydict({"run": pa.array(np.concatenate(found).view(np.int64)), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(np.concatenate(texts))), "place": pa.array(np.concatenate(starts).astype(np.int32))})
 
-    return with_small(docs, places, "doc_id", "inner").select("doc_id", "text", "at").mapInArrow(make, "run long, doc_id long, place int")
+    few = with_small(docs, stored(places.select("doc_id")), "doc_id", "left_semi", NARROW_ROWS)  # so texts of others are not shuffled
+    return few.join(places.hint("merge"), "doc_id").select("doc_id", "text", "at").mapInArrow(make, "run long, doc_id long, place int")
+
+
+def chained(places: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``places`` (doc_id, at array<struct<place, more>>) as (doc_id, at array of places) that lie in chains long enough for a run."""
+    span = least_words - K + 1 - 2 * WINDOW + 1
+
+    def keep(batches):
+        for batch in batches:
+            docs, out = [], []
+            for doc, at in zip(batch.column("doc_id").to_pylist(), batch.column("at")):
+                place, more = (at.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("place", "more"))
+                p, first = np.unique(place, return_index=True)
+                last = p + more[first]
+                turn = np.flatnonzero(p[1:] - last[:-1] > WINDOW)
+                begin, end = np.concatenate([[0], turn + 1]), np.concatenate([turn, [len(p) - 1]])
+                good = last[end] - p[begin] >= span
+                if good.any():
+                    docs.append(doc)
+                    out.append(p[np.repeat(good, end - begin + 1)].astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "at": pa.array(out, pa.list_(pa.int32()))})
+
+    return places.mapInArrow(keep, "doc_id long, at array<int>")
 
 
 PASSAGE = "doc_id long, start long, end long, anchor long, anchor_start long, anchor_end long, equal_words long"
@@ -404,7 +427,8 @@ def rerun(docs: DataFrame, every: DataFrame, matches: DataFrame, passages: DataF
     inside = with_small(every, stretch, "doc_id", "inner", NARROW_ROWS).where("place BETWEEN begin AND end")
     wanted = stored(inside.select("seed").distinct())
     held = with_small(every, wanted, "seed", "inner", NARROW_ROWS)
-    found = stored(runs(docs, stored(held.groupBy("doc_id").agg(F.collect_list("place").alias("at"))), least_words))
+    places = stored(chained(held.groupBy("doc_id").agg(F.collect_list(F.struct("place", "more")).alias("at")), least_words))
+    found = stored(runs(docs, places, least_words))
     low = found.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("run", F.col("first.doc_id").alias("anchor"), F.col("first.place").alias("other"))
     matched = found.join(low, "run").where("doc_id <> anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place", "other")).alias("m"))
     known = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
