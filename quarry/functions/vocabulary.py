@@ -79,3 +79,51 @@ SENSITIVE_PRIVILEGES = [
     "sedebugprivilege", "seimpersonateprivilege", "seassignprimarytokenprivilege", "seloaddriverprivilege", "setcbprivilege",
     "secreatetokenprivilege", "sebackupprivilege", "serestoreprivilege", "setakeownershipprivilege",
 ]
+
+#: Endings that look like a top domain and are none.
+NON_TLD = [
+    "exe", "dll", "ps1", "bat", "cmd", "vbs", "js", "hta", "scr", "sys", "tmp", "dat", "log", "txt", "xml", "json", "local", "lan", "internal", "arpa",
+    "example", "test", "invalid", "localhost",
+]
+DRIVER_FOLDER = r"(system32|syswow64)[\\/]+(drivers|driverstore)[\\/]"
+DRIVER_PATH = r"([a-z]:[\\/][^\s\"',;|<>]*?\.sys)\b"
+# The scoring table's own patterns.
+STAGING = (
+    r"(^|[\\/])(windows[\\/]temp|temp|users[\\/]public|appdata[\\/]local[\\/]temp|programdata[\\/]staging|programdata[\\/]temp|perflogs|recycler|\$recycle\.bin)"
+    r"([\\/].*)?"
+)
+EXECUTABLE = r"\.(exe|dll|ps1|bat|cmd|vbs|js|scr|hta|msi|lnk)\b"
+ARCHIVE = r"\.(zip|rar|7z|tar|gz|tgz|tbz2?|bz2|xz|cab|iso|ace|arj|lzh|z)(\b|$)"
+REMOTE_MANAGEMENT = r"\b(winrm|wsmprovhost|wmi|psexec|psexesvc|rdp|termsrv)\b"
+HIGH_PERSISTENCE = (
+    r"(safeboot|alternateshell|commandlineeventconsumer|eventconsumer|eventfilter|root[\\/]+subscription|currentversion[\\/]+run|runonce|winlogon|ifeo|"
+    r"image file execution options)"
+)
+VENDOR = (
+    r"(windowsupdate\.com|update\.microsoft\.com|download\.microsoft\.com|officecdn|adobe\.com|armmf\.adobe\.com|google\.com|mozilla|vmware|"
+    r"puppet labs|puppet|nxlog|nagios|chocolatey|sysmon|microsoft shared|winsxs)"
+)
+NORMAL_SERVICE = (
+    r"^(%systemroot%|\\systemroot|system32|%windir%|c:[\\/]+windows[\\/]+system32|/windows/system32)"
+    r".*(\\drivers\\|/drivers/|svchost\.exe|lsass\.exe|services\.exe|alg\.exe|spoolsv\.exe|dllhost\.exe|audiodg\.exe)"
+)
+BENIGN_FOLDER = r"(^|/)(windows/assembly/(temp|nativeimages)|windows/winsxs|program files|program files \(x86\))/"
+NOISY_PROVIDER = r"(knownfolders|security-spp|esent|diagnosis-dps|user profiles service|vss|msiinstaller|windowsupdate)"
+SYSTEM_FOLDER = r"^(windows/(system32|syswow64)/|%windir%/(system32|syswow64)/|%systemroot%/(system32|syswow64)/|systemroot/(system32|syswow64)/)"
+DEFAULT_SHELLS = ["explorer.exe", "userinit.exe"]
+BASELINE_PROCESSES = ["system", "svchost.exe", "lsass.exe", "services.exe", "wininit.exe", "csrss.exe", "smss.exe", "explorer.exe"]
+KERNEL_MODULE = (
+    r"^(ntoskrnl|ntkrnlpa|ntkrnlmp|ntkrnl|win32k|halmacpi|halacpi|hal|fastfat|ntfs|acpi|tcpip|ndis|cdfs|fltmgr|ksecdd|netbt|wmilib|clfs|fwpkclnt|msrpc)"
+    r"(\.sys|\.exe|\.dll)?$"
+)
+SERVICE_IMAGE = r"([a-z]:[\\/][^\s|,;]*\.(?:sys|exe|dll))"
+SHELL_TTP = [
+    "encoded_command", "long_base64_blob", "download_cradle", "no_profile_hidden", "ps_remoting_lateral", "lsass_access", "credential_harvest",
+    "bypass_execution_policy", "invoke_mimikatz", "amsi_bypass", "reflection_load", "wmi_execution",
+]
+SEVERE_TTP = ["invoke_mimikatz", "lsass_access", "reflection_load", "amsi_bypass", "encoded_command", "download_cradle", "credential_harvest"]
+META_PROCESSES = ["system", "registry", "memory compression", "memcompression", "secure system"]
+HIGH_VALUE_TOOLS = [
+    "vol_malfind", "vol_psxview", "vol_ldrmodules", "vol_hollowprocesses", "parse_wmi_subscription", "vol_ssdt", "vol_modscan", "vol_driverscan",
+    "vol_modules", "vol_threads", "vol_handles",
+]

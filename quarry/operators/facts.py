@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,9 +20,29 @@ def coverage(compiled: DataFrame, by: str) -> DataFrame:
     return compiled.groupBy(by).agg(F.count(F.lit(1)).alias("record_count"), done.alias("compiled_count"), (F.count(F.lit(1)) - done).alias("dropped_count"))
 
 
+def signature(kind: str, entity: str, parts: list[str]) -> Column:
+    """SHA-1 of a fact's type, entity and artefact parts, the parts joined by bars; a null part is empty and keeps its place."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.sha1(F.concat_ws("::", text(kind), text(entity), F.concat_ws("|", *map(text, parts))))
+
+
+def merge_facts(facts: DataFrame, kind: str, entity: str, parts: list[str], tool: str, ref: str, excerpt: str, ordinal: str, refs: int = 64, excerpts: int = 3) -> DataFrame:
+    """One row for each signature: the first row by ``ordinal`` stands for it, with the sorted tools, up to ``refs`` sorted references (``truncated`` tells of more), the first
+    distinct excerpts, and ``merge_count``.  References and excerpts are made distinct and numbered before they are gathered, so a signature that most facts share is no unbounded list.
+    """
+    signed = facts.withColumn("signature", signature(kind, entity, parts))
+    own = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("merge_count"), F.array_sort(F.collect_set(tool)).alias("source_tools"), F.min_by(F.struct(*facts.columns), ordinal).alias("first"))
+    first = lambda order, n: F.row_number().over(Window.partitionBy("signature").orderBy(order)) <= n
+    distinct = signed.groupBy("signature", F.col(ref).alias("ref")).agg(F.lit(1))
+    kept = distinct.withColumn("ok", first("ref", refs)).groupBy("signature").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("ref")))).alias("record_refs"), F.bool_or(~F.col("ok")).alias("truncated"))
+    said = signed.where(F.col(excerpt).isNotNull()).groupBy("signature", F.col(excerpt).alias("excerpt")).agg(F.min(ordinal).alias("at"))
+    said = said.withColumn("ok", first("at", excerpts)).where("ok").groupBy("signature").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "excerpt"))), lambda x: x["excerpt"]).alias("raw_excerpts"))
+    return own.join(kept, "signature").join(said, "signature", "left").select("signature", "merge_count", "source_tools", "record_refs", "truncated", "raw_excerpts", "first.*")
+
+
 def merge(facts: DataFrame, parts: list[str], source: str, record: str) -> DataFrame:
-    """One row for each SHA-1 signature of ``parts``: count, sorted sources, least record."""
-    signed = facts.withColumn("signature", F.sha1(F.concat_ws("::", *(F.col(p).cast("string") for p in parts))))
+    """One row for each SHA-1 signature of ``parts`` (a null one is empty and keeps its place): count, sorted sources, least record."""
+    signed = facts.withColumn("signature", F.sha1(F.concat_ws("::", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts))))
     return signed.groupBy("signature").agg(F.count(F.lit(1)).alias("merge_count"), F.concat_ws(",", F.array_sort(F.collect_set(source))).alias("sources"), F.min(record).alias("first_record"))
 
 

@@ -13,6 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import tags
 from quarry.functions import vocabulary as V
 from quarry.functions.columns import computed, entropy, ip_class
 
@@ -53,7 +54,9 @@ def _hosts(text: Column) -> Column:
 
 
 def _outside(host: Column) -> Column:
-    return F.contains(host, F.lit(".")) & ~host.rlike(V.KNOWN_GOOD_HOSTS)
+    """A name with a plausible top domain that is no address and belongs to no vendor."""
+    name = F.regexp_replace(host, r"^\.+|\.+$", "")
+    return F.contains(name, F.lit(".")) & ~F.regexp_extract(name, r"([^.]*)$", 1).isin(V.NON_TLD) & ~F.replace(name, F.lit("."), F.lit("")).rlike("^[0-9]+$") & ~name.rlike(V.KNOWN_GOOD_HOSTS)
 
 
 def host_score(host: Column) -> Column:
@@ -78,17 +81,25 @@ def _dga(text: Column) -> Column:
     return raw_ip | odd | F.exists(_hosts(text), _strange_host) | (of("network_ioc_fact") & _strange_host(field("host", "value")))
 
 
-def _drivers() -> Column:
-    """Image paths of drivers outside the driver folders that are no core module."""
-    text = F.regexp_replace(F.regexp_replace(blob(), r"\\\?\?\\", ""), r"\\systemroot\\|%systemroot%\\?|%windir%\\?", r"c:\\windows\\")
-    found = F.regexp_extract_all(text, F.lit(r"([a-z]:[\\/][^\s\"',;|<>]*?\.sys)\b"), 1)
+def _odd_driver(text: Column) -> Column:
+    """Whether a text names a driver outside the driver folders that is no core module."""
+    text = F.regexp_replace(F.regexp_replace(text, r"\\\?\?\\", ""), r"\\systemroot\\|%systemroot%\\?|%windir%\\?", r"c:\\windows\\")
     core = lambda p: F.regexp_replace(leaf(p), r"\.sys$", "").isin(V.CORE_MODULES)
-    return F.filter(found, lambda p: ~p.rlike(r"(system32|syswow64)[\\/]+(drivers|driverstore)[\\/]") & ~core(p))
+    return F.exists(F.regexp_extract_all(text, F.lit(V.DRIVER_PATH), 1), lambda p: ~p.rlike(V.DRIVER_FOLDER) & ~core(p))
 
 
-def _reverse_shell(text: Column) -> Column:
-    bind = text.rlike(r"(^|\s)(-l|-p|--listen|--lport|/l)[\s:=]+[0-9]{1,5}\b") & text.rlike(r"(^|\s)(-s|--connect|--rhost|-r)[\s:=]+([0-9]{1,3}\.){3}[0-9]{1,3}:[0-9]{1,5}")
-    return text.rlike(r"\b(nc|ncat|netcat)(\.exe)?\b[^\n]{0,200}?(\s-e\b|--exec\b|--sh-exec\b)") | text.rlike(r"/dev/(tcp|udp)/[^/\s]+/[0-9]{1,5}") | bind
+def _strange_driver(text: Column) -> Column:
+    """An odd driver as a service's image path, in an image-path field, or in an event of a service's installation."""
+    key = F.regexp_replace(field("normalized_registry_path", "registry_path", "key", "path"), r"\\", "/")
+    value = (field("value_name", "name") == "imagepath") | F.endswith(key, F.lit("/imagepath"))
+    installed = has(text, ["7045", "service control manager", "service was installed"])
+    return (value & _odd_driver(field("value_data", "data", "value"))) | _odd_driver(field("image_path", "imagepath")) | (installed & _odd_driver(text))
+
+
+def _reverse_shell() -> Column:
+    """A command line that is a remote shell beyond doubt; of facts without one, any of their fields."""
+    line = field("command_line", "commandline", "cmdline", "cmd", "command", "args", "arguments", "process_command_line", "decoded", "script", "raw_excerpt_text")
+    return tags.is_strong_shell(tags.shell_signals(F.when(line != "", line).otherwise(F.col("blob"))))
 
 
 def _appended(path: Column) -> Column:
@@ -121,16 +132,18 @@ def rules() -> dict[str, Column]:
     """Condition of every signal but the outlier's, each guarded by its fact types."""
     text, event = F.col("blob"), field("event_id", "eventid", "entity_id")
     path = F.regexp_replace(field("path", "normalized_path", "raw_excerpt_text"), "/", r"\\")
+    ran = F.regexp_replace(field("image_path", "path", "exe_path", "process_path", "imagefilename", "command_line", "cmdline", "cmd", "file_path", "raw_excerpt_text"), "/", r"\\")
+    slashed = F.regexp_replace(text, "/", r"\\")
     image = field("image_name", "imagefilename", "process_name", "path")
     command_present = F.map_contains_key("fields", "cmdline") | F.map_contains_key("fields", "cmd")
     staged = lambda *names: has(field(*names), V.TEMP_PATHS)
     shell_path = F.contains(field("registry_path", "normalized_registry_path"), F.lit("safeboot")) & (field("value_name") == "alternateshell")
     process = of("process_fact", "process_relationship_fact")
     return {
-        "kernel_driver_nonstandard_path": of("registry_persistence_fact", "event_log_fact", "kernel_module_fact") & (F.size(_drivers()) > 0),
+        "kernel_driver_nonstandard_path": of("registry_persistence_fact", "event_log_fact", "kernel_module_fact", "service_fact") & _strange_driver(text),
         "c2_staging_domain": of("powershell_command_fact", "decoded_string_fact", "network_ioc_fact") & text.rlike(V.CRADLE) & F.exists(_hosts(text), _outside),
         "dga_domain": of("powershell_command_fact", "decoded_string_fact", "network_ioc_fact") & _dga(text),
-        "c2_reverse_shell_cmdline": (process | of("powershell_command_fact", "event_log_fact")) & _reverse_shell(text),
+        "c2_reverse_shell_cmdline": (process | of("powershell_command_fact", "event_log_fact")) & _reverse_shell(),
         "ifeo_debugger_hijack": of("registry_persistence_fact") & F.contains(field("registry_path", "normalized_registry_path"), F.lit("image file execution options")) & (field("value_name") == "debugger"),
         "safeboot_alternateshell_persistence": of("registry_persistence_fact") & shell_path & ~field("value_data").isin("", "none", "null", "n/a", "cmd.exe"),
         "admin_share_access": of("event_log_fact", "rdp_artifact_fact") & event.isin(V.ADMIN_SHARE_EVENTS) & has(text, V.ADMIN_SHARES),
@@ -141,7 +154,7 @@ def rules() -> dict[str, Column]:
         "anti_forensics_execution": of("file_execution_fact", "process_fact", "event_log_fact", "powershell_command_fact", "scheduled_task_fact") & _cleared(text, event),
         "inhibit_system_recovery": of("process_fact", "event_log_fact", "powershell_command_fact", "scheduled_task_fact") & _recovery(text),
         "archive_in_staging_path": of("filesystem_timeline_fact") & ends(path, V.ARCHIVES) & has(path, V.TEMP_PATHS),
-        "executes_from_temp_path": of("file_execution_fact", "process_fact") & has(path, V.TEMP_PATHS) & ~has(path, V.INSTALLER_CACHES),
+        "executes_from_temp_path": of("file_execution_fact", "process_fact") & ~has(ran, V.INSTALLER_CACHES) & (has(ran, V.TEMP_PATHS) | (~has(slashed, V.INSTALLER_CACHES) & has(slashed, V.TEMP_PATHS))),
         "null_or_empty_cmdline_on_executable": of("process_fact") & ends(image, V.EXE_SUFFIXES) & command_present & (field("cmdline", "cmd") == "") & ~leaf(image).isin(V.NULL_CMDLINE_PROCESSES),
         "rwx_memory_region_with_unusual_protection": of("memory_injection_fact") | (of("process_fact") & has(field("protection"), V.RWX) & true("private_rwx")),
         "injected_pe_image_in_executable_memory": of("memory_injection_fact") & has(field("characterization", "payload", "content_type", "region_content"), V.PAYLOADS),
@@ -180,60 +193,3 @@ def finding_signals(findings: DataFrame, facts: DataFrame) -> DataFrame:
     fired = with_signals(facts).select("fact_id", F.explode("signals").alias("signal")).unionByName(egress(facts).withColumn("signal", F.lit("srum_egress_outlier")))
     pairs = findings.select("finding_id", "fact_id").join(fired, "fact_id").select("finding_id", "signal").distinct()
     return findings.select("finding_id").distinct().join(pairs.groupBy("finding_id").agg(F.array_sort(F.collect_list("signal")).alias("signals")), "finding_id", "left").withColumn("signals", F.coalesce("signals", F.array().cast("array<string>")))
-
-
-def scores() -> list[tuple[str, int, Column]]:
-    """(signal, points, condition) of the scoring table."""
-    text, event = F.col("blob"), field("event_id", "eventid", "entity_id")
-    path = F.regexp_replace(field("path", "normalized_path", "local_path", "target_abs_path", "application", "raw_excerpt_text"), "/", r"\\")
-    staging, encoded, lolbin = has(F.regexp_replace(text, "/", r"\\"), V.TEMP_PATHS), text.rlike(V.ENCODED_OR_DOWNLOAD), text.rlike(V.LOLBIN_WORDS)
-    process = of("process_fact", "process_relationship_fact")
-    rule = rules()
-    sent = field("bytes_total", "bytes_sent").try_cast("double")
-    port = field("localport", "src_port").try_cast("int")
-    return [
-        ("inhibit_system_recovery", 80, _recovery(text)),
-        ("anti_forensics_execution", 80, rule["anti_forensics_execution"]),
-        ("service_account_interactive_execution", 70, rule["service_account_interactive_execution"]),
-        ("memory_injection", 100, of("memory_injection_fact")),
-        ("encoded_or_download_execution", 75, process & encoded),
-        ("process_from_staging_path", 55, process & has(path, V.TEMP_PATHS)),
-        ("lolbin_or_admin_process", 25, process & lolbin),
-        ("execution_from_staging_path", 55, of("file_execution_fact") & has(path, V.TEMP_PATHS)),
-        ("admin_or_lolbin_artifact", 35, of("file_execution_fact") & lolbin),
-        ("registry_points_to_staging_path", 85, of("registry_persistence_fact") & has(F.regexp_replace(field("value_data"), "/", r"\\"), V.TEMP_PATHS)),
-        ("registry_lolbin_imagepath", 40, of("registry_persistence_fact") & (field("value_name") == "imagepath") & field("value_data").rlike(V.LOLBIN_WORDS)),
-        ("scheduled_task_points_to_staging_path", 85, of("scheduled_task_fact") & staging),
-        ("scheduled_task_encoded_or_download", 80, of("scheduled_task_fact") & encoded),
-        ("hidden_scheduled_task", 35, of("scheduled_task_fact") & true("hidden")),
-        ("lnk_target_in_staging_path", 70, of("lnk_execution_fact") & staging),
-        ("lnk_encoded_or_download_argument", 75, of("lnk_execution_fact") & encoded),
-        ("lnk_lolbin_target", 45, of("lnk_execution_fact") & lolbin),
-        ("jumplist_access_to_staging_path", 65, of("jumplist_fact") & staging),
-        ("jumplist_encoded_or_download_argument", 70, of("jumplist_fact") & encoded),
-        ("jumplist_lolbin_access", 40, of("jumplist_fact") & lolbin),
-        ("srum_staging_app_usage", 65, of("srum_usage_fact") & has(path, V.TEMP_PATHS)),
-        ("srum_lolbin_app_usage", 45, of("srum_usage_fact") & lolbin),
-        ("srum_high_volume_network_usage", 55, of("srum_usage_fact") & (sent >= 10 * 1024 * 1024)),
-        ("removable_media_connection", 30, of("usb_device_fact")),
-        ("appcompatcache_staging", 85, rule["appcompatcache_execution_from_staging"]),
-        ("appcompatcache_lolbin", 45, of("appcompatcache_execution_fact") & lolbin),
-        ("service_points_to_staging_path", 85, of("service_fact") & staging),
-        ("public_remote_peer", 55, of("network_connection_fact") & field("foreignaddr", "dst_ip").rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$") & (ip_class(field("foreignaddr", "dst_ip")) == "public") & ~field("foreignaddr", "dst_ip").rlike(r"^0\.")),
-        ("non_system_high_port_listener", 35, of("network_connection_fact") & (port >= 49152) & (field("state") == "listening")),
-        ("dga_domain", 75, of("network_ioc_fact") & _strange_host(field("host", "value"))),
-        ("event_admin_share", 70, rule["admin_share_access"]),
-        ("event_explicit_credentials", 40, rule["explicit_credential_logon"]),
-        ("event_log_cleared", 80, of("event_log_fact") & event.isin("1102", "104")),
-        ("event_group_change", 75, of("event_log_fact") & event.isin(V.GROUP_EVENTS)),
-        ("userassist_execution_from_staging", 55, of("userassist_fact") & staging),
-        ("sensitive_privilege_enabled_on_non_baseline", 65, of("privilege_fact") & field("privilege").isin(V.SENSITIVE_PRIVILEGES) & F.contains(field("attributes"), F.lit("enabled"))),
-        ("process_view_inconsistency", 80, of("psxview_fact") & (field("pslist") == "false") & (field("psscan") == "true") & field("exittime").isin("", "n/a")),
-    ]
-
-
-def with_score(facts: DataFrame) -> DataFrame:
-    """``facts`` with ``score`` (sum of points) and ``scored``, the names that gave them, in the table's order."""
-    given = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("name"), F.lit(p).alias("points"))) for n, p, c in scores())))
-    found = computed(computed(facts, blob=blob()), _given=given)
-    return found.withColumn("score", F.aggregate("_given", F.lit(0), lambda a, g: a + g["points"])).withColumn("scored", F.transform("_given", lambda g: g["name"])).drop("blob", "_given")

@@ -41,6 +41,17 @@ def fact_signature_merge(t):
     return facts.merge(events.unionByName(orders), ["kind", "entity", "hour"], "source", "record")
 
 
+@query("""WITH f AS (SELECT sha1('event::' || user_id || '::' || event_type || '|' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'x' END || '|' || CASE WHEN event_id % 3 = 0 THEN 'x' ELSE '' END) AS signature, event_id AS id, 't' || (event_id % 4) AS tool, 'r' || (event_id % 90) AS ref, 'e' || (event_id % 7) AS ex FROM events),
+    x AS (SELECT signature, ex, min(id) AS pos FROM f GROUP BY 1, 2), k AS (SELECT signature, string_agg(ex, ',' ORDER BY pos) AS excerpts FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY pos) AS r FROM x) WHERE r <= 3 GROUP BY 1)
+    SELECT signature, count(*) AS merge_count, array_to_string(list_sort(list(DISTINCT tool)), ',') AS tools, array_to_string(list_sort(list(DISTINCT ref))[1:20], ',') AS refs, count(DISTINCT ref) > 20 AS truncated, any_value(excerpts) AS excerpts, min(id) AS event_id FROM f JOIN k USING (signature) GROUP BY 1""")
+def fact_merge_canonical(t):
+    e = F.col("event_id")
+    mod = lambda letter, n: F.concat(F.lit(letter), (e % n).cast("string"))
+    rows = t("events").select(e, F.lit("event").alias("kind"), "user_id", "event_type", F.when(e % 3 != 0, "x").alias("p"), F.when(e % 3 == 0, "x").alias("q"), mod("t", 4).alias("tool"), mod("r", 90).alias("ref"), mod("e", 7).alias("ex"))
+    merged = facts.merge_facts(rows, "kind", "user_id", ["event_type", "p", "q"], "tool", "ref", "ex", "event_id", refs=20)
+    return merged.select("signature", "merge_count", F.array_join("source_tools", ",").alias("tools"), F.array_join("record_refs", ",").alias("refs"), "truncated", F.array_join("raw_excerpts", ",").alias("excerpts"), "event_id")
+
+
 @query("SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS fact_no FROM events")
 def fact_id_numbering(t):
     return facts.number(t("events").select("event_id", "event_type"), "event_type", "event_id")
@@ -73,10 +84,9 @@ def hidden_entity_antijoin(t):
     return hidden.unionByName(customers.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("entity")))
 
 
-@query("""SELECT p_brand, count(*) AS n_lines, count(DISTINCT p_partkey) AS n_parts FROM lineitem JOIN part ON l_partkey = p_partkey
-    WHERE sha1(p_name) LIKE '0%' GROUP BY 1""")
+@query("""SELECT p_brand, count(*) AS n_lines, count(DISTINCT p_partkey) AS n_parts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def pair_reference_lookup(t):
-    known = t("part").where(F.sha1("p_name").startswith("0")).select("p_partkey", "p_brand")
+    known = t("part").select("p_partkey", "p_brand")
     return t("lineitem").join(known, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_brand").agg(F.count(F.lit(1)).alias("n_lines"), F.countDistinct("p_partkey").alias("n_parts"))
 
 

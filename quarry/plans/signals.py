@@ -30,10 +30,3 @@ _FIRED = f"""SELECT unnest(list_filter([CASE WHEN code IN ('5140', '5145') AND m
 def semantic_signals(t):
     facts = compilers.compile_records(_records(t)).where("drop_reason IS NULL")
     return signals.with_signals(facts).select(F.explode("signals").alias("signal")).groupBy("signal").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""SELECT score, count(*) AS n FROM (SELECT CAST(CASE WHEN code = '1102' OR (code = '104' AND message LIKE '%cleared%') OR message LIKE '%wevtutil cl%' THEN 80 ELSE 0 END
-    + CASE WHEN code IN ('5140', '5145') AND message LIKE '%c$%' THEN 70 ELSE 0 END + CASE WHEN code = '4648' THEN 40 ELSE 0 END + CASE WHEN code IN ('1102', '104') THEN 80 ELSE 0 END + CASE WHEN code = '4732' THEN 75 ELSE 0 END AS INTEGER) AS score FROM {_FACTS}) GROUP BY 1""")
-def fact_scores(t):
-    facts = compilers.compile_records(_records(t)).where("drop_reason IS NULL")
-    return signals.with_score(facts).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
