@@ -43,6 +43,10 @@ SHELL_SIGNALS = [
     ("listen_port_flag", 2, r"(?i)(?:^|\s)(?:-l|-p|--listen|--lport|/l)[\s:=]+\d{1,5}\b"),
     ("remote_socket_endpoint", 2, r"(?:\d{1,3}\.){3}\d{1,3}:\d{1,5}"),
 ]
+SHELL_CONTEXT = (
+    r"(?i)\bpowershell(?:\.exe)?\b|\bpwsh(?:\.exe)?\b|\.ps1\b|\bIEX\b|Invoke-|EncodedCommand|FromBase64String|New-Object\s+Net\.WebClient|Get-Credential|Enter-PSSession|"
+    r"Invoke-Command|PSReadLine|ScriptBlock|ConsoleHost|Transcript|Microsoft-Windows-PowerShell"
+)
 POWERSHELL = r"(?i)\b(?:powershell|pwsh)(?:\.exe)?\b"
 POWERSHELL_ENCODED = r"(?i)(?:-enc(?:odedcommand)?|-ec|-e)\b\s+[A-Za-z0-9+/=]{16,}"
 POWERSHELL_RUN, POWERSHELL_NET = r"(?i)(?:\bIEX\b|Invoke-Expression)", r"(?i)(?:Net\.WebClient|DownloadString|DownloadFile|DownloadData)"

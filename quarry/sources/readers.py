@@ -11,11 +11,77 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def json_records(spark: SparkSession, path: str) -> DataFrame:
-    """(tool, record_index, raw) of envelopes ``{tool_name, output}``; output is a list or holds ``entries`` or ``events``."""
-    kind = "struct<tool_name:string,output:string>"
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("e"))
-    listed = F.coalesce(*(F.from_json(F.get_json_object("e.output", p), "array<string>") for p in ("$", "$.entries", "$.events")))
-    return text.select(F.col("e.tool_name").alias("tool"), F.posexplode(listed).alias("record_index", "raw"))
+    """(tool, record_index, raw) of envelopes; their records are ``output``, ``records``, or ``entries`` or ``events`` of the output."""
+    found = envelopes(spark.read.text(path, wholetext=True).select("value"))
+    return found.select("tool", F.posexplode("records").alias("record_index", "raw"))
+
+
+def envelopes(texts: DataFrame) -> DataFrame:
+    """(tool, records, declared, error) of JSON texts (value): ``declared`` is the told number of records or else their number."""
+    kind = "struct<tool_name:string,output:string,records:string,record_count:long,error:string>"
+    read = texts.select(F.from_json("value", kind).alias("e"))
+    listed = F.coalesce(*(F.from_json(F.get_json_object("e.output", p), "array<string>") for p in ("$", "$.records", "$.entries", "$.events")), F.from_json("e.records", "array<string>"), F.array().cast("array<string>"))
+    return read.select(F.col("e.tool_name").alias("tool"), listed.alias("records"), F.coalesce("e.record_count", F.size(listed).cast("long")).alias("declared"), F.col("e.error").alias("error"))
+
+
+def failed(found: DataFrame) -> DataFrame:
+    """Envelopes that tell of an error and have no records."""
+    return found.where("coalesce(error, '') <> '' AND size(records) = 0")
+
+
+def ragged_csv(lines: DataFrame, header: list[str]) -> DataFrame:
+    """Rows of CSV lines (value) without quotes under ``header``: what stands before the line of the header, and that line, is skipped (no commas are needed there), short rows
+    are filled with '', and what is too much belongs to the last column.  One file at a time, as its lines come.
+    """
+    cells = F.split("value", ",", len(header))
+    rows = lines.where((F.trim("value") != "") & (F.col("value") != ",".join(header)) & F.contains("value", F.lit(",")))
+    return rows.select(*(F.coalesce(F.trim(F.get(cells, F.lit(k))), F.lit("")).alias(n) for k, n in enumerate(header)))
+
+
+def flat_tree(records: DataFrame, children: str = "__children", most: int = 64) -> DataFrame:
+    """(record, depth) of records (JSON text) and of what is nested in them under ``children``, which is dropped; one pass a level, while there is one."""
+    inner = lambda df: df.select(F.explode(F.from_json(F.get_json_object("record", f"$.{children}"), "array<string>")).alias("record"))
+    plain = lambda df, depth: df.select(F.to_json(F.map_filter(F.from_json("record", "map<string,string>"), lambda k, v: k != children)).alias("record"), F.lit(depth).alias("depth"))
+    level, out = records.select("record"), []
+    for depth in range(most):
+        out.append(plain(level, depth))
+        level = inner(level)
+        if level.isEmpty():
+            break
+    flat = out[0]
+    for more in out[1:]:
+        flat = flat.unionByName(more)
+    return flat
+
+
+def first_source(spark: SparkSession, wanted: DataFrame, other: DataFrame, alias: str) -> DataFrame:
+    """``wanted``, or where it has no rows ``other``, marked with the name that it stands for (``fallback_alias_of``), so that it is not counted twice."""
+    empty = wanted.isEmpty()
+    return (other if empty else wanted).withColumn("fallback_alias_of", F.lit(alias if empty else None).cast("string"))
+
+
+def unique_sources(records: DataFrame, order: list[str]) -> DataFrame:
+    """Records (tool, ...) without those of tools of ``order`` that an earlier tool of it also gave."""
+    rank = F.create_map(*(x for i, n in enumerate(order) for x in (F.lit(n), F.lit(i))))
+    best = records.agg(F.min(rank[F.col("tool")]).alias("best"))
+    return records.join(F.broadcast(best)).where(rank[F.col("tool")].isNull() | (rank[F.col("tool")] == F.col("best"))).drop("best")  # one row
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, change) of files that were added, removed or modified between two tables of ``digests``."""
+    both = before.select("path", F.col("sha256").alias("old")).join(after.select("path", F.col("sha256").alias("new")), "path", "full_outer")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "modified")
+    return both.select("path", change.alias("change")).where("change IS NOT NULL")
+
+
+def matching_name(files: DataFrame, name: str) -> DataFrame:
+    """Files (path) that end in ``name``, whatever the case and the direction of slashes."""
+    return files.where(F.endswith(F.lower(F.translate("path", "\\", "/")), F.lit(name.replace("\\", "/").lower())))
 
 
 def csv_records(spark: SparkSession, path: str) -> DataFrame:
