@@ -78,12 +78,12 @@ def launch_users(t):
     return C.launchers(events)
 
 
-@query(f"""SELECT lower({_USER}) AS user, CAST(o_orderkey % 12 AS INTEGER) AS logon_type, min(o_orderdate) AS first_time, arg_min('10.0.0.' || (o_custkey % 9), o_orderdate) FILTER (o_custkey % 9 > 4) IS NOT NULL AS has_ip, count(*) AS n FROM orders
+@query(f"""SELECT lower({_USER}) AS user, CAST(o_orderkey % 12 AS INTEGER) AS logon_type, strftime(min(o_orderdate), '%Y-%m-%d') AS first_time, arg_min('10.0.0.' || (o_custkey % 9), o_orderdate) FILTER (o_custkey % 9 > 4) IS NOT NULL AS has_ip, count(*) AS n FROM orders
     WHERE o_orderkey % 3 <> 1 AND o_orderkey % 12 IN (2, 7, 10, 11) AND o_orderkey % 7 <> 0 AND {_USER} <> '' GROUP BY 1, 2""")
 def human_logons(t):
     rows = t("orders").select("o_orderkey", "o_orderdate", "o_custkey").join(_sids(t).select(F.col("ordinal").alias("o_orderkey"), "sid", F.col("name").alias("user")), "o_orderkey")
     events = rows.select(F.when(F.col("o_orderkey") % 7 == 0, "4634").otherwise("4624").alias("event_id"), "sid", "user", (F.col("o_orderkey") % 12).cast("int").alias("logon_type"), F.col("o_orderdate").alias("at"), F.when(F.col("o_custkey") % 9 > 4, F.concat(F.lit("10.0.0."), (F.col("o_custkey") % 9).cast("string"))).otherwise("127.0.0.1").alias("ip"))
-    return C.human_logons(events).select("user", "logon_type", "first_time", F.col("source_ip").isNotNull().alias("has_ip"), "n")
+    return C.human_logons(events).select("user", "logon_type", F.date_format("first_time", "yyyy-MM-dd").alias("first_time"), F.col("source_ip").isNotNull().alias("has_ip"), "n")
 
 
 @query("""SELECT CASE WHEN a.s_name IS NOT NULL THEN a.s_name WHEN ps <> 0 THEN 'AppId:' || ps ELSE '' END AS application, coalesce(u.s_name, '') AS user, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS bytes FROM (SELECT l_suppkey * (l_linenumber % 3) AS ps, l_partkey AS us, l_linenumber FROM lineitem) LEFT JOIN supplier a ON a.s_suppkey = ps LEFT JOIN supplier u ON u.s_suppkey = us GROUP BY 1, 2""")

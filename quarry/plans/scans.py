@@ -43,7 +43,7 @@ def date_windows(t):
     return compilers.in_window(lines, ["a", "b"], "1996-01-01", "1996-03-31").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT 't' || n_nationkey AS tool, CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE 2 END AS records, CASE WHEN n_nationkey % 4 = 1 THEN 9 WHEN n_nationkey % 4 = 3 THEN 0 ELSE 2 END AS declared, n_nationkey % 4 = 3 AS failed FROM nation")
+@query("SELECT 't' || n_nationkey AS tool, CASE WHEN n_nationkey % 4 = 3 THEN 0 ELSE 2 END AS records, CAST(CASE WHEN n_nationkey % 4 = 1 THEN 9 WHEN n_nationkey % 4 = 3 THEN 0 ELSE 2 END AS BIGINT) AS declared, n_nationkey % 4 = 3 AS failed FROM nation")
 def envelope_records(t):
     name = F.concat(F.lit("t"), F.col("n_nationkey").cast("string"))
     body = F.element_at(F.array(*map(F.lit, ['"output": [{"a": 1}, {"a": 2}]', '"records": [{"a": 1}, {"a": 2}], "record_count": 9', '"output": {"entries": [1, 2]}', '"output": [], "error": "timeout"'])), (F.col("n_nationkey") % 4 + 1).cast("int"))
