@@ -14,7 +14,7 @@ BROADCAST_ROWS = 50_000
 #: The same for tables of two or three numbers.
 NARROW_ROWS = 300_000
 #: Bytes of an Arrow batch in the registered queries and the pipeline.
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,6 +130,18 @@ def fresh_worker() -> None:
         pass
 
 
+def tidy(run):
+    """``run`` (batches to batches) that gives back its memory when it ends: an idle worker keeps what it has."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            fresh_worker()
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

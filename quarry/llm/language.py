@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, fresh_worker, slices, stored, with_small
+from .common import aside, fresh_worker, slices, stored, tidy, with_small
 
 BUCKETS = 1 << 16
 #: Distinct labelled rows that the trigram model is fitted on; it has their languages.
@@ -61,7 +61,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([distinct[k] for k in keys // BUCKETS], pa.string()), "bucket": keys % BUCKETS, "n": n})
 
     sample = labelled.where(F.col("h") <= F.lit(last)).dropDuplicates(["h"])  # no rows: the least hash is null
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long")
+    counted = sample.select("lang", "text").mapInArrow(tidy(count), "lang string, bucket long, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("all"), F.collect_list(F.struct("bucket", "n")).alias("table")).collect()
     rows.sort(key=lambda r: r["lang"])
     counts = np.full((BUCKETS, max(1, len(rows))), 0.2)
@@ -89,7 +89,7 @@ def scored(docs: DataFrame, likelihoods: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(fit), pa.list_(pa.float64())), pa.array(np.where(n > 0, mean.max(1), 0.0)), pa.array(n.astype(np.int64))], names=[*part.schema.names, "_fit", "_mean", "_n"])
 
     clean = docs.drop("_fit", "_mean", "_n")
-    return clean.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in clean.dtypes) + ", _fit array<double>, _mean double, _n long")
+    return clean.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in clean.dtypes) + ", _fit array<double>, _mean double, _n long")
 
 
 def shares(counts: DataFrame, n: int) -> DataFrame:

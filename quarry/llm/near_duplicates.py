@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import NARROW_ROWS, fresh_worker, sized, stored, unused, with_small
+from .common import NARROW_ROWS, fresh_worker, sized, stored, tidy, unused, with_small
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -91,7 +91,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 some = np.diff(ends) > 0
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id").cast(pa.int64()), "text_hash": part.column("text_hash"), "k1": keys[:, 0].view(np.int64), "k2": keys[:, 1].view(np.int64), "bands": pa.array([b if s else [] for b, s in zip(bands, some)], pa.list_(pa.int64()))})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, k1 long, k2 long, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidy(run), "doc_id long, text_hash long, k1 long, k2 long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def sets(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"node": part.column("node").take(pa.array(at)), "s": pa.array([value[cut[i] : cut[i + 1]].tobytes() for i in at], pa.binary()), "sig": pa.array([sig[i].tobytes() for i in at], pa.binary()), "bands": pa.array([bands[i].tobytes() for i in at], pa.binary())})
 
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = with_small(texts, wanted, "doc_id", "inner", NARROW_ROWS).select("node", "k1", "k2", "text").mapInArrow(make, "node long, s binary, sig binary, bands binary")
+    found = with_small(texts, wanted, "doc_id", "inner", NARROW_ROWS).select("node", "k1", "k2", "text").mapInArrow(tidy(make), "node long, s binary, sig binary, bands binary")
     return stored(found.dropDuplicates(["node"]))
 
 
@@ -165,7 +165,7 @@ def verified(made: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     joined = pairs.join(made.select(F.col("node").alias("a"), "s"), "a").join(made.select(F.col("node").alias("b"), F.col("s").alias("t")), "b")
-    return stored(joined.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"))
+    return stored(joined.select("a", "b", "s", "t").mapInArrow(tidy(compare), "a long, b long"))
 
 
 def links(members: list[dict], band: int, similarity: float) -> list[tuple[int, int]]:
@@ -239,7 +239,7 @@ def crossed(made: DataFrame, own: DataFrame, buckets: DataFrame, similarity: flo
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
-    return stored(grouped.select("band", "members").mapInArrow(run, "a long, b long").distinct())
+    return stored(grouped.select("band", "members").mapInArrow(tidy(run), "a long, b long").distinct())
 
 
 def contracted(labels: DataFrame, step: DataFrame) -> DataFrame:

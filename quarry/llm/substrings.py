@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .common import NARROW_ROWS, fresh_worker, stored, unused, with_small
+from .common import NARROW_ROWS, fresh_worker, stored, tidy, unused, with_small
 
 K, WINDOW = 8, 16
 #: Cost of a word of gap, on each side, in words gained.
@@ -82,7 +82,7 @@ def seeds(docs: DataFrame) -> DataFrame:
                 seed, text, place, more = minimizers(hashes, ends)
                 yield pa.RecordBatch.from_pydict({"seed": seed.view(np.int64), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(text)), "place": pa.array(place.astype(np.int32)), "more": pa.array(more.astype(np.int8))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, place int, more byte")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "seed long, doc_id long, place int, more byte")
 
 
 def chains(place: np.ndarray, other: np.ndarray) -> list[np.ndarray]:
@@ -298,7 +298,7 @@ def segments(docs: DataFrame, matches: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({n: pa.array(v, t) for (n, v), t in zip(rows.items(), kinds)})
 
     texts = docs.select("doc_id", "text").join(matches, "doc_id")
-    return texts.mapInArrow(run, SEGMENT)
+    return texts.mapInArrow(tidy(run), SEGMENT)
 
 
 def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -319,7 +319,7 @@ def tiles(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"anchor": pa.array(names, pa.int64()), "tile": pa.array(numbers, pa.int64()), "words": pa.array(parts, pa.binary())})
 
     mine = with_small(docs.select("doc_id", "text"), wanted.withColumnRenamed("anchor", "doc_id"), "doc_id", "inner")
-    return mine.select("doc_id", "text").mapInArrow(run, "anchor long, tile long, words binary").dropDuplicates(["anchor", "tile"])
+    return mine.select("doc_id", "text").mapInArrow(tidy(run), "anchor long, tile long, words binary").dropDuplicates(["anchor", "tile"])
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def open_stretches(matches: DataFrame, passages: DataFrame, least_words: int = L
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "begin": pa.array(begins, pa.int64()), "end": pa.array(ends, pa.int64())})
 
     spans = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return matches.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, begin long, end long")
+    return matches.join(spans, "doc_id", "left").mapInArrow(tidy(run), "doc_id long, begin long, end long")
 
 
 def runs(docs: DataFrame, places: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -393,7 +393,7 @@ def runs(docs: DataFrame, places: DataFrame, least_words: int = LEAST_WORDS) ->
                     yield pa.RecordBatch.from_pydict({"run": pa.array(np.concatenate(found).view(np.int64)), "doc_id": part.column("doc_id").cast(pa.int64()).take(pa.array(np.concatenate(texts))), "place": pa.array(np.concatenate(starts).astype(np.int32))})
 
     few = with_small(docs, stored(places.select("doc_id")), "doc_id", "left_semi", NARROW_ROWS)  # so texts of others are not shuffled
-    return few.join(places.hint("merge"), "doc_id").select("doc_id", "text", "at").mapInArrow(make, "run long, doc_id long, place int")
+    return few.join(places.hint("merge"), "doc_id").select("doc_id", "text", "at").mapInArrow(tidy(make), "run long, doc_id long, place int")
 
 
 def chained(places: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -415,7 +415,7 @@ def chained(places: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                     out.append(p[np.repeat(good, end - begin + 1)].astype(np.int32))
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs, pa.int64()), "at": pa.array(out, pa.list_(pa.int32()))})
 
-    return places.mapInArrow(keep, "doc_id long, at array<int>")
+    return places.mapInArrow(tidy(keep), "doc_id long, at array<int>")
 
 
 PASSAGE = "doc_id long, start long, end long, anchor long, anchor_start long, anchor_end long, equal_words long"
@@ -456,7 +456,7 @@ def rerun(docs: DataFrame, every: DataFrame, matches: DataFrame, passages: DataF
                         out.append((doc, begin, end, int(a[u]), int(q[u : v + 1].min()), int(q[u : v + 1].max()) + least_words, end - begin))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 7)], names=["doc_id", "start", "end", "anchor", "anchor_start", "anchor_end", "equal_words"])
 
-    return matched.join(known, "doc_id", "left").mapInArrow(merge, PASSAGE)
+    return matched.join(known, "doc_id", "left").mapInArrow(tidy(merge), PASSAGE)
 
 
 def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -501,10 +501,10 @@ def find(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             cols = {"doc_id": rows.column("doc_id"), "start": values[:, 0], "end": values[:, 1], "anchor": rows.column("anchor"), "anchor_start": values[:, 2], "anchor_end": values[:, 3], "equal_words": values[:, 4]}
             yield pa.RecordBatch.from_pydict({n: pa.array(v) if isinstance(v, np.ndarray) else v for n, v in cols.items()})
 
-    aligned = dealt.join(copied, ["anchor", "tile", "copy"]).mapInArrow(run, "doc_id long, anchor long, chain int, s long, os long, pieces binary")
+    aligned = dealt.join(copied, ["anchor", "tile", "copy"]).mapInArrow(tidy(run), "doc_id long, anchor long, chain int, s long, os long, pieces binary")
     # a chain may pass a gap that is not alike: it is cut where no long and alike stretch goes on
     whole = aligned.groupBy("doc_id", "anchor", "chain").agg(F.collect_list(F.struct("s", "os", "pieces")).alias("parts"))
-    passages = stored(whole.mapInArrow(judge, PASSAGE))
+    passages = stored(whole.mapInArrow(tidy(judge), PASSAGE))
     return passages.unionByName(rerun(texts, every, matches, passages, least_words))
 
 
@@ -545,4 +545,4 @@ def remove(docs: DataFrame, passages: DataFrame | None = None) -> DataFrame:
     if not several.isEmpty():
         mark = unused(joined, "_chosen")
         joined = with_small(joined, several.withColumnRenamed("chosen", mark), "doc_id").withColumn(cut, F.when(F.col(mark).isNull() | (F.col(mark) == F.xxhash64("text")), F.col(cut)))
-    return joined.select(*docs.columns, cut).mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return joined.select(*docs.columns, cut).mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

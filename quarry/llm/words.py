@@ -9,7 +9,7 @@ import xxhash
 
 from .common import slices
 
-BLOCK_CHARS = 1_500_000
+BLOCK_CHARS = 800_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
