@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows of a fixed-width table that may be broadcast (about 10 MB at 200 bytes a row).
 BROADCAST_ROWS = 50_000
@@ -15,6 +16,8 @@ BROADCAST_ROWS = 50_000
 NARROW_ROWS = 300_000
 #: Bytes of an Arrow batch in the registered queries and the pipeline.
 BATCH_BYTES = 3 << 20
+#: Narrow rows of a range of a sorted table.
+RANGE_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +145,26 @@ def tidy(run):
     return whole
 
 
+def in_order(df: DataFrame, key: list[str], order: list, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``df`` with ``_at``, their number from 0 within ``key`` in ``order``, and, for each column of ``sums``, its running sum ``_sum_<column>``.
+
+    Rows go to ranges of (key, order); every range numbers its rows alone and adds what lower ranges hold of its first
+    key, so a key with most of the rows is many tasks' work.  Only a range's first key begins below it: that table has a row a
+    range at most.  Rows that are equal in both are told apart by their place in the stored table.  Key columns aren't null.
+    """
+    held = stored(df.withColumn("_tie", F.monotonically_increasing_id()))
+    n = max(partitions(df.sparkSession), -(-held.count() // RANGE_ROWS))
+    ranged = stored(held.repartitionByRange(n, *key, *order, "_tie").withColumn("_range", F.spark_partition_id()))
+    own = ranged.groupBy("_range", *key).agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_total_{c}") for c in sums))
+    lower = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begun = stored(own.select("_range", *key, F.sum("_n").over(lower).alias("_before"), *(F.sum(f"_total_{c}").over(lower).alias(f"_before_{c}") for c in sums)).where("_before IS NOT NULL"))
+    here = Window.partitionBy("_range", *key).orderBy(*order, "_tie")
+    upto = here.rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(F.broadcast(begun), ["_range", *key], "left")
+    at = F.coalesce("_before", F.lit(0)) + F.row_number().over(here) - 1
+    return placed.select(*df.columns, at.alias("_at"), *((F.coalesce(f"_before_{c}", F.lit(0)) + F.sum(c).over(upto)).alias(f"_sum_{c}") for c in sums))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, fingerprints, flatfiles, language, near_duplicates, packing, quality, secrets, substrings, training_order
-from .common import documents
+from . import encoding, fingerprints, flatfiles, language, merkle, near_duplicates, packing, prefix_trie, quality, secrets, simhash, substrings, training_order
+from .common import documents, small_batches
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,26 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.find(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.find(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tamper = F.when(prefix_trie.crc(F.col("doc_id")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proven = merkle.manifest(documents(spark, sf_dir), tamper)
+    siblings = F.array_join(F.transform(F.filter("proof", lambda s: s != "-"), lambda s: F.substring(s, 2, 64)), "")
+    return proven.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    turns, convs = prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.nodes(*prefix_trie.rebuilt(turns, convs))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op4_fingerprints, op5_substrings, op6_training_order, op7_secrets, op8_bpe, op9_language_id, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_packing, op2_quality_rules, op3_token_counts, op4_fingerprints, op5_substrings, op6_training_order, op7_secrets, op8_bpe, op9_language_id, op10_near_duplicates, op11_simhash, op12_merkle_manifest, op13_prefix_trie)}
 
 
 def _op2_sql() -> str:
