@@ -101,5 +101,50 @@ def _op2_sql() -> str:
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({gone}) AS kept FROM f JOIN v USING (host)"""
 
 
+#: CTE of the 256 remainders of CRC-32, in one row.
+_CRC = """crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), CAST(range(8) AS BIGINT[])),
+        lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS remainders)"""
+
+
+def _crc_sql(number: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({number} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(remainders[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"""
+
+
+def _op12_sql() -> str:
+    code = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(code(n if f == "n_chars" else f) for f in merkle.FIELDS) + ")"
+    step = "CASE WHEN s.h IS NULL THEN '-' WHEN s.i % 2 = 0 THEN '<' || s.h ELSE '>' || s.h END"
+    return f"""WITH RECURSIVE {_CRC}, held AS (SELECT *, CASE WHEN {_crc_sql("doc_id")} % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS changed FROM documents, crc),
+    base AS (SELECT doc_id, coalesce('=' || lang, '') AS lk, {leaf("n_chars")} AS leaf, {leaf("changed")} AS now FROM held),
+    b AS (SELECT *, row_number() OVER () AS r, row_number() OVER (PARTITION BY lk ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lk) AS n FROM base),
+    tree(lk, lvl, i, n, h) AS (SELECT lk, 0, i, n, leaf FROM b UNION ALL SELECT lk, lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lk, lvl, i // 2, n),
+    subs AS (SELECT lk, h, row_number() OVER (ORDER BY lk) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+    top(lvl, i, n, h) AS (SELECT 100, i, n, h FROM subs UNION ALL SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lvl, i // 2, n),
+    own AS (SELECT r, l.lvl, {step} AS step FROM b JOIN (SELECT DISTINCT lk, lvl FROM tree WHERE n > 1) l ON l.lk = b.lk LEFT JOIN tree s ON s.lk = b.lk AND s.lvl = l.lvl AND s.i = xor(b.i >> l.lvl, 1)
+        UNION ALL SELECT r, l.lvl, {step} FROM b JOIN subs u ON u.lk = b.lk, (SELECT DISTINCT lvl FROM top WHERE n > 1) l LEFT JOIN top s ON s.lvl = l.lvl AND s.i = xor(u.i >> (l.lvl - 100), 1)),
+    way AS (SELECT r, list(step ORDER BY lvl) AS steps FROM own GROUP BY r),
+    f AS (SELECT b.doc_id, b.leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(list_filter(steps, lambda s: s <> '-'), lambda s: s[2:]), ''), '')) AS proof_sha256,
+        list_reduce(list_prepend(b.now, coalesce(steps, [])), lambda a, s: sha256(CASE WHEN s = '-' THEN a WHEN s[1] = '<' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+        FROM b JOIN subs u ON u.lk = b.lk LEFT JOIN way ON way.r = b.r)
+    SELECT *, folded_root = root AS verified FROM f"""
+
+
+def _op13_sql() -> str:
+    return f"""WITH {_CRC}, c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) - 1 AS pos, role, text FROM c),
+    n AS (SELECT conv_id, count(*) AS n FROM t GROUP BY 1),
+    plan AS (SELECT a.conv_id, a.n, b.conv_id AS base, {_crc_sql("a.conv_id")} % 9 AS h, coalesce(b.n, 0) AS theirs FROM n a LEFT JOIN n b ON b.conv_id = a.conv_id - a.conv_id % 5, crc),
+    turns AS (SELECT p.conv_id, pos, role, text FROM plan p JOIN t ON t.conv_id = p.base WHERE pos < h UNION ALL SELECT p.conv_id, pos - h + least(h, theirs), role, text FROM plan p JOIN t USING (conv_id) WHERE pos >= h),
+    path AS (SELECT conv_id, 0 AS depth, '' AS k, 0 AS bytes FROM n UNION ALL
+        SELECT conv_id, pos + 1, sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY pos)), strlen(text) FROM turns),
+    linked AS (SELECT *, lag(k) OVER w AS above, lead(k) OVER w IS NULL AS ends FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+    node AS (SELECT k, min(conv_id) AS conv_id, depth, any_value(above) AS above, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM linked GROUP BY k, depth),
+    kids AS (SELECT above AS k, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+    v AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (k)),
+    sums AS (SELECT p.k, CAST(sum(CAST(n_children = 0 AS INTEGER)) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens FROM v JOIN path p ON p.conv_id = v.conv_id AND p.depth <= v.depth GROUP BY 1)
+    SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves, saved_tokens, v.ends_sha256 FROM v JOIN sums USING (k) LEFT JOIN node up ON up.k = v.above"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql()}
+    return {"op2_quality_rules": _op2_sql(), "op12_merkle_manifest": _op12_sql(), "op13_prefix_trie": _op13_sql()}
