@@ -127,3 +127,4 @@ HIGH_VALUE_TOOLS = [
     "vol_malfind", "vol_psxview", "vol_ldrmodules", "vol_hollowprocesses", "parse_wmi_subscription", "vol_ssdt", "vol_modscan", "vol_driverscan",
     "vol_modules", "vol_threads", "vol_handles",
 ]
+PROGRAM_FILE = r"(?i)([^\s\\/\"';]+\.(?:exe|dll|sys|ps1|scr|bat|cmd|vbs|js|jar|msi|com))"

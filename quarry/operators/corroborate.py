@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import normalise as N
 from quarry.functions.columns import computed
+from quarry.operators.emission import greedy
+from quarry.operators.mentions import NAME_BORDER, mentions
 
 # Processes and the parents that an undisturbed system gives them, tools by kind of evidence and method.
 PARENTS = {
@@ -79,8 +81,8 @@ def odd_parents(processes: DataFrame) -> DataFrame:
 def corroborated(findings: DataFrame, facts: DataFrame, least: int = 3) -> DataFrame:
     """(finding_id, new_tools, families, kinds) of findings whose entities other tools' facts name too, where all tools together cover ``least`` kinds of evidence.
 
-    Findings have (finding_id, paths, hashes, services, source_tools), facts (fact_type, source_tool, path, hash, service, text).  File names in texts are found by
-    cutting the texts at what no file name holds, so texts are joined by equal words and not searched for every name.
+    Findings have (finding_id, paths, hashes, services, source_tools), facts (fact_type, source_tool, path, hash, service, text).  File names, with blanks or
+    whatever else is in them, are searched in all texts at once (``mentions``); no letter, digit, dot, dash or underscore may stand beside them.
     """
     name = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
     scannable = lambda b: (F.length(b) >= 5) & F.contains(b, F.lit("."))
@@ -90,10 +92,14 @@ def corroborated(findings: DataFrame, facts: DataFrame, least: int = 3) -> DataF
         F.transform(norm, lambda p: F.concat(F.lit("p:"), p)), F.transform("hashes", lambda h: F.concat(F.lit("h:"), F.lower(h))), F.transform("services", lambda s: F.concat(F.lit("s:"), F.lower(s))),
         F.transform(bases, lambda b: F.concat(F.lit("b:"), b)), F.transform(bases, lambda b: F.concat(F.lit("s:"), F.regexp_replace(b, r"\.[^.]*$", ""))))
     wanted = findings.select("finding_id", F.explode(F.array_distinct(tokens)).alias("token"))
-    words = F.filter(F.transform(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9_.-]+"), lambda w: F.regexp_replace(w, r"^[.-]+|[.-]+$", "")), scannable)
     one = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(kind), c))
-    held = F.array_compact(F.concat(F.array(one("p:", N.path_of_fact(F.col("path"))), one("h:", F.lower("hash")), one("s:", F.lower("service"))), F.transform(words, lambda w: F.concat(F.lit("b:"), w))))
-    have = facts.select("fact_type", "source_tool", F.explode(F.array_distinct(held)).alias("token")).distinct()
+    held = F.array_compact(F.array(one("p:", N.path_of_fact(F.col("path"))), one("h:", F.lower("hash")), one("s:", F.lower("service"))))
+    keyed = facts.select("fact_type", "source_tool", F.explode(F.array_distinct(held)).alias("token"))
+    # equal texts are searched once
+    told = facts.where("text <> ''").select("fact_type", "source_tool", F.sha2("text", 256).alias("id"), "text").distinct()
+    names = wanted.where("token LIKE 'b:%'").select(F.substring("token", 3, 1 << 30).alias("name"))
+    found = mentions(told.select("id", "text").distinct(), names, NAME_BORDER)
+    have = keyed.union(told.select("fact_type", "source_tool", "id").join(found, "id").select("fact_type", "source_tool", F.concat(F.lit("b:"), "name"))).distinct()
     hits = wanted.join(have, "token").groupBy("finding_id").agg(F.array_sort(F.collect_set("source_tool")).alias("found"), F.array_sort(F.collect_set("fact_type")).alias("families"))
     met = findings.select("finding_id", "source_tools").join(hits, "finding_id")
     made = met.select("finding_id", F.array_except("found", "source_tools").alias("new_tools"), "families", kinds_of(F.array_union("source_tools", "found")).alias("kinds"))
@@ -230,13 +236,10 @@ def hit_tools(findings: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def fresh(candidates: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates (candidate_id, tokens, score) that share no token with ``existing`` (token) findings, nor with a better candidate of their group.
+    """Candidates (candidate_id, tokens, score) that share no token with ``existing`` (token) findings, nor with a better candidate that is kept.
 
-    Of candidates that share a token the one of most points (then the least id) stands for it; one that is not the best of each of its tokens gives way.
+    One after the other, those of most points (then the least id) first: a candidate that only shares tokens with one that gave way itself is kept.
     """
-    pairs = candidates.select("candidate_id", "score", F.explode("tokens").alias("token"))
+    pairs = candidates.select("candidate_id", "score", F.lit("").alias("entity_key"), F.explode(F.array_distinct("tokens")).alias("token"))
     seen = pairs.join(existing.select("token").distinct(), "token", "left_semi").select("candidate_id").distinct()
-    open_ = pairs.join(seen, "candidate_id", "left_anti")
-    best = open_.groupBy("token").agg(F.min_by("candidate_id", F.struct(-F.col("score"), F.col("candidate_id"))).alias("best"))
-    beaten = open_.join(best, "token").where("candidate_id <> best").select("candidate_id").distinct()
-    return candidates.join(seen, "candidate_id", "left_anti").join(beaten, "candidate_id", "left_anti")
+    return candidates.join(greedy(pairs.join(seen, "candidate_id", "left_anti")), "candidate_id", "left_semi")

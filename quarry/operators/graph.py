@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder that the session names; only a local session may go without one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -26,13 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Labels spread by neighbours and by labels of labels, so long chains take few rounds; each
     round is checkpointed in the shared folder.
     """
-    both = _saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = _saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         step = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("component", "near").alias("component"), F.col("component").alias("old"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        after = _saved(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
+        after = saved(step.join(up, "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"))
         labels = after.select("node", "component")
         if after.where("component <> old").isEmpty():
             return labels

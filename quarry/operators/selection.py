@@ -25,6 +25,35 @@ def arrival_cap(df: DataFrame, key: str, ordinal: str, limits: dict[str, int], d
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(ordinal))).where(F.col("rank") <= limit)
 
 
+def round_robin(df: DataFrame, key: str, newest: str, ordinal: str, reserved: list[str], reserve: int, others: int, chunk: int, most: int) -> DataFrame:
+    """At most ``most`` rows of ``df`` with ``phase`` and ``position`` (from 1), dealt over the values of ``key`` in turn, the newest of each first.
+
+    Phase 0 seeds every reserved key with its newest row; phase 1 deals ``chunk`` rows a turn to reserved keys until each has ``reserve``; phase 2
+    deals to all keys, ``others`` more to each at most.  Within a turn keys go by name; a null key is ''.  Rows without a time come last, rows of
+    one time by ``ordinal``.  A row's place follows from its rank in its key, so no turn has to be played: each key's
+    first rows are limited before they are shuffled.
+    """
+    keyed = df.withColumn("_key", F.coalesce(key, F.lit("")))
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc_nulls_last(newest), F.asc(ordinal)))
+    ranked = keyed.withColumn("_rank", rank).where(F.col("_rank") <= reserve + others)
+    r, high = F.col("_rank"), F.col("_key").isin(reserved)
+    beyond = r - F.when(high, F.lit(reserve)).otherwise(F.lit(0))  # place in the last phase
+    phase = F.when(high & (r <= reserve), F.when(r == 1, 0).otherwise(1)).otherwise(2)
+    turn = F.when(phase == 0, 0).when(phase == 1, F.floor((r - 2) / chunk)).otherwise(F.floor((beyond - 1) / chunk))
+    placed = ranked.where(beyond <= others).withColumn("phase", phase).withColumn("_turn", turn)
+    order = ["phase", "_turn", "_key", "_rank"]
+    kept = placed.orderBy(*order).limit(most)
+    return kept.withColumn("position", F.row_number().over(Window.orderBy(*order))).drop("_key", "_rank", "_turn")  # of ``most`` rows
+
+
+def dealt_report(df: DataFrame, kept: DataFrame, key: str, reserved: list[str]) -> DataFrame:
+    """(key, source, kept, dropped, starved) of each key: ``starved`` is a reserved key with rows of which none is kept."""
+    name = F.coalesce(key, F.lit("")).alias("key")
+    sums = df.groupBy(name).agg(F.count(F.lit(1)).alias("source")).join(kept.groupBy(name).agg(F.count(F.lit(1)).alias("kept")), "key", "left")
+    kept_ = F.coalesce("kept", F.lit(0))
+    return sums.select("key", "source", kept_.alias("kept"), (F.col("source") - kept_).alias("dropped"), (F.col("key").isin(reserved) & (kept_ == 0)).alias("starved"))
+
+
 def writers(df: DataFrame, key: str, value: str, ordinal: str) -> DataFrame:
     """(key, first, last): what the first and the last row of each key say."""
     return df.groupBy(key).agg(F.min_by(value, ordinal).alias("first"), F.max_by(value, ordinal).alias("last"))

@@ -40,13 +40,13 @@ _FACT = f"(SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'process_fact' ELSE
     SELECT finding_id, array_to_string(new_tools, ',') AS new_tools, array_to_string(families, ',') AS families, array_to_string(kinds, ',') AS kinds FROM k WHERE len(new_tools) > 0 AND len(kinds) >= 3""")
 def cross_artifact_corroboration(t):
     k = F.col("c_custkey")
-    file = F.concat(F.lit("file"), (k % 60).cast("string"), F.lit(".exe"))
+    file = F.concat(F.lit("my file"), (k % 60).cast("string"), F.lit(".exe"))
     hashes = F.when(k % 2 == 0, F.array(F.sha1((k % 60).cast("string")))).otherwise(F.array().cast("array<string>"))
     findings = t("customer").select(k.alias("finding_id"), F.array(F.concat(F.lit("C:\\X\\"), file)).alias("paths"), hashes.alias("hashes"), F.array().cast("array<string>").alias("services"), F.array(F.lit("vol_pstree")).alias("source_tools"))
     p, size = F.col("p_partkey"), F.col("p_size").cast("string")
     facts = t("part").select(
-        F.when(p % 4 == 0, "process_fact").otherwise("file_execution_fact").alias("fact_type"), pick(_TOOLS, "p_partkey").alias("source_tool"), F.when(p % 3 == 0, F.concat(F.lit("c:/x/FILE"), size, F.lit(".exe"))).alias("path"), F.when(p % 3 == 2, F.sha1(size)).alias("hash"), F.lit("").alias("service"),
-        F.when(p % 3 == 1, F.concat(F.lit('started "D:\\tmp\\file'), size, F.lit('.EXE", ok'))).alias("text"))
+        F.when(p % 4 == 0, "process_fact").otherwise("file_execution_fact").alias("fact_type"), pick(_TOOLS, "p_partkey").alias("source_tool"), F.when(p % 3 == 0, F.concat(F.lit("c:/x/MY FILE"), size, F.lit(".exe"))).alias("path"), F.when(p % 3 == 2, F.sha1(size)).alias("hash"), F.lit("").alias("service"),
+        F.when(p % 3 == 1, F.concat(F.lit('started "D:\\tmp\\my file'), size, F.lit('.EXE", ok'))).alias("text"))
     found = C.corroborated(findings, facts)
     return found.select("finding_id", *(F.array_join(c, ",").alias(c) for c in ("new_tools", "families", "kinds")))
 
@@ -163,9 +163,10 @@ def tool_hits(t):
     return C.hit_tools(findings, hits).select("finding_id", *(F.array_join(c, ",").alias(c) for c in ("source_tools", "dropped")))
 
 
-@query("""WITH c AS (SELECT p_partkey AS id, p_size AS score, unnest(list_distinct(['b' || p_brand || (p_partkey % 30), 'z' || (p_partkey % 211)])) AS token FROM part), e AS (SELECT 'z' || c_custkey AS token FROM customer WHERE c_custkey % 9 = 0),
-    o AS (SELECT * FROM c WHERE id NOT IN (SELECT id FROM c JOIN e USING (token))), b AS (SELECT id, first_value(id) OVER (PARTITION BY token ORDER BY score DESC, id) AS best FROM o)
-    SELECT id AS candidate_id FROM b GROUP BY 1 HAVING bool_and(id = best)""")
+@query("""WITH e AS (SELECT list('z' || c_custkey) AS known FROM customer WHERE c_custkey % 9 = 0),
+    c AS (SELECT p_partkey AS id, p_size AS score, list_distinct(['b' || p_brand || (p_partkey % 30), 'z' || (p_partkey % 211)]) AS tokens FROM part),
+    o AS (SELECT list({'ids': [id], 'tokens': tokens} ORDER BY score DESC, id) AS cs FROM c, e WHERE NOT list_has_any(tokens, known))
+    SELECT unnest(list_reduce(cs, lambda a, c: CASE WHEN list_has_any(a.tokens, c.tokens) THEN a ELSE {'ids': list_concat(a.ids, c.ids), 'tokens': list_concat(a.tokens, c.tokens)} END).ids) AS candidate_id FROM o""")
 def fresh_candidates(t):
     k = F.col("p_partkey")
     tokens = F.array(F.concat(F.lit("b"), F.col("p_brand"), (k % 30).cast("string")), F.concat(F.lit("z"), (k % 211).cast("string")))
