@@ -128,3 +128,10 @@ HIGH_VALUE_TOOLS = [
     "vol_modules", "vol_threads", "vol_handles",
 ]
 PROGRAM_FILE = r"(?i)([^\s\\/\"';]+\.(?:exe|dll|sys|ps1|scr|bat|cmd|vbs|js|jar|msi|com))"
+USER_NAME = r"^[A-Za-z0-9._$-]{1,64}$"
+NO_USERS = ["", "-", "system", "local service", "network service", "anonymous", "anonymous logon"]
+PSEUDO_USERS = ["default", "public", "all users", "default user", "defaultuser0"]
+USER_FOLDER = r"(?i)\\Users\\([^\\]+)\\"
+XML_ACCOUNT = r'<Data\s+Name="(SubjectUserName|TargetUserName|AccountName)">([^<]+)</Data>'
+TOLD_ACCOUNT = r"(?i)(?:Subject\s*User\s*Name|Target\s*User\s*Name|Account\s*Name|New\s*Account\s*Name)\s*[:=]\s*([^\s\r\n,;]+)"
+SHORT_NAME = r"^([A-Za-z0-9$%'_@{}!#()&^-]{1,6})~(\d+)$"

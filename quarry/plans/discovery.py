@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import emission, frequent, mentions, selection
+from quarry.functions.columns import host
+from quarry.operators import accounts, chains, emission, frequent, mentions, selection
+from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
+from quarry.sources import byte_ranges
+from quarry.streaming import accumulate
 
 _CANDIDATES = """c AS (SELECT p_partkey AS id, p_size AS score, CASE WHEN p_partkey % 4 = 3 THEN 'ip:10.0.0.' || (p_partkey % 250) ELSE 'path:c:/x/' || replace(p_name, ' ', '_') || '.EXE' END AS entity_key,
         p_type AS behaviour, list_distinct(['k' || (p_partkey * 7919 % 900), p_brand || p_size]) AS tokens, 'tool' || (p_partkey % 5) AS tool FROM part),
@@ -70,3 +74,101 @@ def name_mentions(t):
 def frequent_words(t):
     words = t("documents").select("lang", F.explode(F.split(F.lower("text"), " ")).alias("word")).where("word <> ''")
     return frequent.top(words, "lang", "word", 25)
+
+
+_KEY = [f"(k{i} * {b} + CAST('0x' || substr(md5(name), {1 + 7 * i}, 7) AS BIGINT)) % {chains.PRIME} AS k{i}" for i, b in enumerate(chains.BASES)]
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT o_orderkey AS id, o_orderkey % 4000 AS pid, (o_orderkey * 31 + o_custkey) % 4000 AS ppid, lower(o_orderpriority || '.exe') AS name, o_orderdate + to_microseconds(o_orderkey) AS began FROM orders),
+    u AS (SELECT c.id, c.name, CASE WHEN x.id <> c.id THEN x.id END AS parent FROM p c ASOF LEFT JOIN p x ON x.pid = c.ppid AND x.began <= c.began),
+    w(id, length, root, names, {", ".join(f"k{i}" for i in range(4))}) AS (
+        SELECT id, 1, id, [name], {", ".join(_KEY)} FROM (SELECT *, {", ".join(f"CAST(0 AS BIGINT) AS k{i}" for i in range(4))} FROM u WHERE parent IS NULL) UNION ALL
+        SELECT u.id, length + 1, root, list_append(names, name), {", ".join(_KEY)} FROM u JOIN w ON u.parent = w.id)
+    SELECT id, CAST(length AS BIGINT) AS length, root, array_to_string(names[-{chains.TAIL}:], '->') AS tail, {" || ".join(f"lower(lpad(to_hex(k{i}), 8, '0'))" for i in range(4))} AS chain_key, false AS cyclic FROM w""")
+def process_chains(t):
+    k = F.col("o_orderkey")
+    began = F.timestamp_micros(F.unix_micros(F.col("o_orderdate").cast("timestamp")) + k)
+    return chains.chains(t("orders").select(k.alias("id"), (k % 4000).alias("pid"), ((k * 31 + F.col("o_custkey")) % 4000).alias("ppid"), F.concat("o_orderpriority", F.lit(".exe")).alias("name"), began.alias("created")))
+
+
+@query(r"SELECT match, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '@[a-z0-9]{1,20}\.')) AS match FROM documents) GROUP BY 1")
+def byte_pattern_scan(t):
+    texts = t("documents").select("text")
+    folder = shared_dir(texts.sparkSession)
+    texts.write.text(folder)
+    found = byte_ranges.patterns(texts.sparkSession, folder, r"@[a-z0-9]{1,20}\.", 22, 1 << 20)
+    return found.groupBy(F.decode("match", "UTF-8").alias("match")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT event_id, event_type, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events) WHERE rank <= CASE event_type WHEN 'error' THEN 400 WHEN 'purchase' THEN 7 ELSE 90 END""")
+def stream_first_arrivals(t):
+    events = t("events").select("event_id", "event_type")
+    spark = events.sparkSession
+    source, sink, at = shared_dir(spark), shared_dir(spark), shared_dir(spark)
+    events.write.parquet(source)
+    before = spark.conf.get(accumulate.PROVIDER[0])
+    accumulate.ready(spark)
+    try:
+        stream = spark.readStream.schema(events.schema).parquet(source)
+        first = accumulate.first_arrivals(stream, "event_type", "event_id", {"error": 400, "purchase": 7}, 90)
+        first.writeStream.format("parquet").option("path", sink).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(accumulate.PROVIDER[0], before)
+    return spark.read.schema(first.schema).parquet(sink)
+
+
+@query(r"""WITH s AS (SELECT 'host' AS kind, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '^www\.', '') AS value, 'tool' || (page_id % 6) AS tool, split_part(url, '/', 4) AS source, CASE WHEN url LIKE '%?%' THEN 'asked' ELSE 'plain' END AS class, page_id FROM pages),
+    d AS (SELECT DISTINCT value, source FROM s), r AS (SELECT value, list(source ORDER BY source)[1:4] AS sources FROM d GROUP BY 1), o AS (SELECT value, list_sort(list(DISTINCT tool))[1:4] AS tools, count(*) AS n, arg_min(class, page_id) AS first_class FROM s GROUP BY 1)
+    SELECT 'host' AS kind, value, n, first_class, array_to_string(tools, ',') AS tools, array_to_string(sources, ',') AS sources FROM o JOIN r USING (value)""")
+def indicator_sightings(t):
+    url = F.col("url")
+    seen = t("pages").select(F.lit("host").alias("kind"), host(url).alias("value"), F.concat(F.lit("tool"), (F.col("page_id") % 6).cast("string")).alias("tool"), F.coalesce(F.get(F.split(url, "/"), 3), F.lit("")).alias("source"), F.when(F.contains(url, F.lit("?")), "asked").otherwise("plain").alias("class"), F.col("page_id").alias("ordinal"))
+    found = accumulate.gathered(seen, 4)
+    return found.select("kind", "value", "n", "first_class", *(F.array_join(c, ",").alias(c) for c in ("tools", "sources")))
+
+
+_SEEN = """z AS (SELECT c_custkey AS k, 'u' || lpad(CAST(c_custkey % 700 AS VARCHAR), 4, '0') || 'x.tail' AS long, 'u' || lpad(CAST(c_custkey % 700 AS VARCHAR), 4, '0') || 'x~1' AS short, c_custkey % 700 AS u FROM customer),
+    s AS (SELECT 'vol_getsids' AS tool, 'corp' AS domain, long AS name, CASE WHEN u % 3 = 0 THEN 'S-1-5-21-1-2-3-' || u END AS sid, k AS pid, NULL AS event FROM z WHERE u % 5 <> 0
+        UNION ALL SELECT 'parse_event_logs', '', long, NULL, NULL, CASE WHEN k % 2 = 0 THEN 4672 ELSE 4624 END FROM z UNION ALL SELECT 'vol_pstree', '', long, NULL, k, NULL FROM z WHERE k % 4 = 0
+        UNION ALL SELECT 'vol_handles', '', short, NULL, k, NULL FROM z WHERE k % 7 = 0 UNION ALL SELECT 'parse_rdp_artifacts', 'corp', long, NULL, NULL, NULL FROM z WHERE k % 13 = 0 UNION ALL SELECT 'parse_powershell_transcripts', CASE WHEN k % 2 = 0 THEN 'corp' ELSE 'lab' END, 'admin', NULL, NULL, NULL FROM z WHERE k % 11 = 0),
+    n AS (SELECT domain, name, count(DISTINCT sid) AS sids, max(sid) AS sid FROM s GROUP BY ALL), e AS (SELECT *, CASE sids WHEN 1 THEN 'sid:' || sid ELSE 'name:' || CASE WHEN domain <> '' THEN domain || chr(92) ELSE '' END || name END AS entity FROM n),
+    h AS (SELECT name, max(entity) AS home FROM e WHERE domain <> '' GROUP BY 1 HAVING count(DISTINCT entity) = 1), f AS (SELECT e.*, CASE WHEN domain = '' THEN coalesce(home, entity) ELSE entity END AS root FROM e LEFT JOIN h USING (name)),
+    l AS (SELECT domain, upper(substr(regexp_replace(name, '[^A-Za-z0-9]', '', 'g'), 1, 6)) AS stem, max(root) AS far FROM f WHERE NOT contains(name, '~') GROUP BY ALL HAVING count(DISTINCT name) = 1),
+    w AS (SELECT f.domain, f.name, coalesce(CASE WHEN f.name LIKE '%~1' THEN far END, root) AS account FROM f LEFT JOIN l ON l.domain = f.domain AND l.stem = upper(split_part(f.name, '~', 1))),
+    m AS (SELECT s.*, account, CASE WHEN account LIKE 'sid:%' THEN substr(account, 5) END AS its FROM s JOIN w USING (domain, name))"""
+
+
+def _sightings(t):
+    k, c = F.col("k"), t("customer")
+    u = F.col("c_custkey") % 700
+    stem = F.concat(F.lit("U"), F.lpad(u.cast("string"), 4, "0"), F.lit("x"))
+    z = c.select(F.col("c_custkey").alias("k"), u.alias("u"), F.concat(stem, F.lit(".tail")).alias("long"), F.concat(F.lit("D:\\users\\"), stem, F.lit("~1\\b")).alias("short"))
+    sid = F.when(F.col("u") % 3 == 0, F.concat(F.lit("S-1-5-21-1-2-3-"), F.col("u").cast("string"))).otherwise("S-1-5-18")
+    parts = [
+        accounts.in_fields(z.where("u % 5 <> 0").withColumn("raw", F.concat(F.lit("CORP\\"), "long")), "vol_getsids", ["raw"], "k", sid=sid, pid=k),
+        accounts.in_messages(z.withColumn("said", F.concat(F.lit("Account Name:  "), "long", F.lit(", granted"))), "parse_event_logs", "said", "k", F.when(k % 2 == 0, "4672").otherwise("4624")),
+        accounts.in_paths(z.where("k % 4 = 0").withColumn("cmd", F.concat(F.lit("run c:\\Users\\"), "long", F.lit("\\a.exe"))), "vol_pstree", ["cmd"], "k", pid=k),
+        accounts.in_paths(z.where("k % 7 = 0"), "vol_handles", ["short"], "k", pid=k, pseudo=False),
+        accounts.in_fields(z.where("k % 13 = 0").withColumn("raw", F.concat(F.lit("CORP\\"), "long")), "parse_rdp_artifacts", ["raw"], "k"),
+        accounts.in_fields(z.where("k % 11 = 0").withColumn("raw", F.when(k % 2 == 0, "corp/admin").otherwise("LAB\\Admin")), "parse_powershell_transcripts", ["raw"], "k"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {_SEEN} SELECT account, max(its) AS sid, array_to_string(list_sort(list(DISTINCT CASE WHEN domain <> '' THEN domain || chr(92) ELSE '' END || name)), ',') AS names, array_to_string(list_sort(list(DISTINCT tool)), ',') AS source_tools,
+    count(DISTINCT CASE WHEN sid IS NOT DISTINCT FROM its THEN pid END) AS n_pids, count(*) FILTER (tool = 'parse_event_logs') AS event_count, count(*) FILTER (event = 4672) AS n_privileged, count(*) FILTER (tool LIKE '%transcripts') AS script_count, count(*) FILTER (tool LIKE '%rdp%') AS remote_count FROM m GROUP BY 1""")
+def account_union(t):
+    found = accounts.accounts(_sightings(t))
+    return found.select("account", "sid", *(F.array_join(c, ",").alias(c) for c in ("names", "source_tools")), "n_pids", "event_count", "n_privileged", "script_count", "remote_count")
+
+
+@query(f"""WITH {_SEEN}, b AS (SELECT account, count(DISTINCT pid) AS bad FROM m WHERE sid IS NOT NULL AND pid % 10 = 0 GROUP BY 1), g AS (SELECT account, count(*) FILTER (event = 4672) AS granted, bool_or(domain = 'lab') AS script FROM m GROUP BY 1)
+    SELECT account, script OR bad IS NOT NULL OR granted >= 3 AS passes, coalesce(bad, 0) AS n_bad_pids FROM g LEFT JOIN b USING (account)""")
+def account_strict_gate(t):
+    seen = _sightings(t)
+    bad = t("customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("pid"))
+    suspicious = seen.where("domain = 'lab'").select("domain", "name").distinct()
+    return accounts.strict(accounts.accounts(seen), seen, bad, suspicious)
