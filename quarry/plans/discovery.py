@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, chains, emission, frequent, mentions, selection
+from quarry.operators import accounts, budget, chains, emission, frequent, mentions, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -172,3 +172,28 @@ def account_strict_gate(t):
     bad = t("customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("pid"))
     suspicious = seen.where("domain = 'lab'").select("domain", "name").distinct()
     return accounts.strict(accounts.accounts(seen), seen, bad, suspicious)
+
+
+@query("""WITH r AS (SELECT doc_id, source, length(text) // 100 AS size, CAST(substr(source, 4) AS BIGINT) % 3 AS priority, sum(length(text) // 100) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents),
+    s AS (SELECT source, any_value(priority) AS priority, list_sort(list(DISTINCT upto) FILTER (upto <= 3000)) AS steps FROM r GROUP BY 1 HAVING count(*) FILTER (upto <= 3000) > 0),
+    q AS (SELECT list({'source': source, 'left': CAST(3000 AS HUGEINT), 'steps': steps, 'taken': CAST([] AS STRUCT(source VARCHAR, upto HUGEINT)[])} ORDER BY priority DESC, source) AS all_ FROM s),
+    f AS (SELECT list_reduce(list_prepend({'source': '', 'left': CAST(3000 AS HUGEINT), 'steps': CAST([] AS HUGEINT[]), 'taken': CAST([] AS STRUCT(source VARCHAR, upto HUGEINT)[])}, all_), lambda a, s: CASE WHEN list_max(list_filter(s.steps, lambda x: x <= a.left - 20)) IS NULL THEN a ELSE
+        {'source': '', 'left': a.left - 20 - list_max(list_filter(s.steps, lambda x: x <= a.left - 20)), 'steps': CAST([] AS HUGEINT[]), 'taken': list_append(a.taken, {'source': s.source, 'upto': list_max(list_filter(s.steps, lambda x: x <= a.left - 20))})} END).taken AS taken FROM q),
+    g AS (SELECT unnest(taken) AS t FROM f)
+    SELECT doc_id, r.source, CAST(upto AS BIGINT) AS used FROM r JOIN g ON r.source = t.source WHERE r.upto <= t.upto""")
+def budget_by_source(t):
+    size = F.floor(F.char_length("text") / 100)
+    records = t("documents").select("doc_id", "source", F.substring("source", 4, 9).cast("long").alias("number"), size.alias("size")).withColumn("priority", F.col("number") % 3)
+    return budget.within_budget(records, "source", "priority", "doc_id", "size", 3000, 20).select("doc_id", "source", "used")
+
+
+@query(r"""WITH h AS (SELECT DISTINCT page_id, lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1)) AS name FROM pages), s AS (SELECT DISTINCT array_to_string(string_split(name, '.')[CASE WHEN page_id % 3 = 0 THEN -2 ELSE -1 END:], '.') AS suffix FROM h),
+    n AS (SELECT DISTINCT name, string_split(name, '.') AS ls FROM h), m AS (SELECT n.*, suffix, len(string_split(suffix, '.')) AS k FROM n JOIN s ON name = suffix OR ends_with(name, '.' || suffix)),
+    b AS (SELECT name, arg_max(suffix, k) AS suffix, max(k) AS k FROM m GROUP BY 1)
+    SELECT n.name, suffix, CASE WHEN len(ls) > k THEN array_to_string(ls[-(k + 1):], '.') END AS registrable FROM n LEFT JOIN b USING (name)""")
+def registrable_domains(t):
+    name = F.lower(F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1))
+    hosts = t("pages").select("page_id", name.alias("name"))
+    labels = F.split("name", r"\.")
+    suffix = F.array_join(F.when(F.col("page_id") % 3 == 0, F.slice(labels, -2, 2)).otherwise(F.slice(labels, -1, 1)), ".")
+    return budget.registrable(hosts, hosts.select(suffix.alias("suffix")))
