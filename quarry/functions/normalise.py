@@ -10,6 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+SIX_WHOLE = r"^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"
+SIX_SHORT = r"^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?$"
+
+
+def _bits(block: str) -> str:
+    """First bits of a block of addresses, as a text of zeros and ones."""
+    import ipaddress
+
+    net = ipaddress.ip_network(block)
+    return f"{int(net.network_address):0128b}"[: net.prefixlen]
+
+
+# Blocks of addresses that are private, local, unspecified or multicast.
+SIX_INSIDE = [_bits(b) for b in ("::1/128", "::/128", "::ffff:0:0/96", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "fc00::/7", "fe80::/10", "ff00::/8")]
+
+
 def stripped(text: Column) -> Column:
     """Without white space at both ends; null is empty."""
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"^\s+|\s+$", "")
@@ -152,9 +168,27 @@ def public_by_octets(ip: Column) -> Column:
 
 
 def public_by_registry(ip: Column) -> Column:
-    """Neither private, loopback, link-local, multicast nor unspecified."""
-    text = F.coalesce(ip, F.lit(""))
-    return F.coalesce(is_quad(text) & ~_in_private(text) & ~octet(text, 0).between(224, 239), F.lit(False))
+    """Neither private, loopback, link-local, multicast nor unspecified, of either kind of address; one of four numbers after ``::ffff:`` counts as those."""
+    text = F.regexp_replace(F.coalesce(ip, F.lit("")), r"(?i)^::ffff:([0-9]+(?:\.[0-9]+){3})$", "$1")
+    four = is_quad(text) & ~_in_private(text) & ~octet(text, 0).between(224, 239)
+    return F.coalesce(F.when(F.contains(text, F.lit(":")), is_six(text) & ~_six_inside(text)).otherwise(four), F.lit(False))
+
+
+def is_six(ip: Column) -> Column:
+    """Eight groups of hexadecimal digits, or fewer around one ``::``."""
+    low = F.lower(ip)
+    groups = F.size(F.filter(F.split(low, ":"), lambda g: g != ""))
+    short = low.rlike(SIX_SHORT) & (groups <= 7)
+    return low.rlike(SIX_WHOLE) | short
+
+
+def _six_inside(ip: Column) -> Column:
+    """Whether an address of eight groups is of a block that isn't public (``SIX_INSIDE``), or multicast."""
+    ends = F.split(F.lower(ip), "::", 2)
+    left, right = (F.filter(F.split(F.coalesce(F.get(ends, k), F.lit("")), ":"), lambda g: g != "") for k in (0, 1))
+    middle = F.array_repeat(F.lit("0"), F.when(F.contains(ip, F.lit("::")), 8 - F.size(left) - F.size(right)).otherwise(0))
+    bits = F.array_join(F.transform(F.concat(left, middle, right), lambda g: F.lpad(F.conv(g, 16, 2), 16, "0")), "")
+    return bits.rlike("^(" + "|".join(SIX_INSIDE) + ")")
 
 
 def external_endpoint(ip: Column) -> Column:

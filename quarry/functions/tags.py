@@ -19,7 +19,7 @@ SHELL_TAGS = [
     ("credential_harvest", r"(?i)\bGet-Credential\b|ConvertTo-SecureString[^\n]{0,40}-AsPlainText"),
     ("long_base64_blob", r"[A-Za-z0-9+/]{200,}={0,3}"),
 ]
-NO_PROFILE, HIDDEN = r"(?i)-NoP(?:rofile)?\b", r"(?i)-W(?:indowStyle)?\s+[Hh]idden"
+NO_PROFILE_HIDDEN = r"(?=.*-NoP(?:rofile)?\b)(?=.*-W(?:indowStyle)?\s+[Hh]idden)"
 ENCODED_PAYLOAD = r"(?i)(?:^|[\s'\"`])-(?:e|en|enc|encodedcommand)\s+['\"]?([A-Za-z0-9+/=]{20,})"
 DOWNLOAD = r"(?i)(downloadstring|downloadfile|invoke-webrequest|invoke-restmethod|start-bitstransfer|net\.webclient|new-object\s+system\.net\.webclient)"
 URL_OR_IP = r"(?i)(https?://|ftp://|\\\\[A-Za-z0-9_.-]+\\|(?<!\d)(?:\d{1,3}\.){3}\d{1,3}(?!\d))"
@@ -62,7 +62,7 @@ def shell_tags(text: Column) -> Column:
     text = F.coalesce(text, F.lit(""))
     payload = F.regexp_extract(text, ENCODED_PAYLOAD, 1)
     more = [
-        ("no_profile_hidden", text.rlike(NO_PROFILE) & text.rlike(HIDDEN)),
+        ("no_profile_hidden", text.rlike("(?di)" + NO_PROFILE_HIDDEN)),  # letter case aside; lines end at line feeds only
         ("encoded_command", (payload != "") & ~F.contains(payload, F.lit("$"))),
         ("long_base64_blob", text.rlike(FROM_BASE64) & text.rlike(LONG_BASE64)),
         ("download_cradle", text.rlike(DOWNLOAD) & text.rlike(URL_OR_IP)),
@@ -107,7 +107,7 @@ def _sql(pattern: str) -> str:
 
 #: The shell tags as SQL conditions over ``{0}``, for engines without look-around.
 SHELL_SQL = [
-    ("no_profile_hidden", f"{_sql(NO_PROFILE)} AND {_sql(HIDDEN)}"),
+    ("no_profile_hidden", _sql(r"(?i)-NoP(?:rofile)?\b[^\n]*-W(?:indowStyle)?\s+hidden|-W(?:indowStyle)?\s+hidden[^\n]*-NoP(?:rofile)?\b")),
     ("download_cradle", f"{_sql(dict(SHELL_TAGS)['download_cradle'])} OR ({_sql(DOWNLOAD)} AND {_sql(r'(?i)(https?://|ftp://|[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+)')})"),
     ("encoded_command", f"{_sql(dict(SHELL_TAGS)['encoded_command'])} OR {_sql(ENCODED_PAYLOAD)}"),
     ("reflection_load", f"{_sql(dict(SHELL_TAGS)['reflection_load'])} OR {_sql(REFLECTION_HELPER)} OR ({_sql(REFLECTION_API)} AND {_sql(REFLECTION_PRIMITIVE)})"),

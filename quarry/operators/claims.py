@@ -82,7 +82,7 @@ def _rules() -> dict[tuple[str, ...], tuple]:
     return {
         ("pid",): _rule(["process_fact", "memory_injection_fact", "network_connection_fact"], [pid]),
         ("process_exists",): _rule(["process_fact", "memory_injection_fact", "psxview_fact"], [pid, _k("by_name", ["process", "value"], "prefix")], failing=None),
-        ("child_process",): _rule(["process_fact"], [_k("by_pid", ["child_pid"], "number")], [_w(["parent_pid"], "eq", ["parent_pid"], "number")]),
+        ("child_process",): _rule(["process_relationship_fact", "process_fact"], [_k("by_pid", ["child_pid"], "number")], [_w(["parent_pid"], "eq", ["parent_pid"], "number")], needs=[["parent_pid"]]),
         ("connection",): _rule(["network_connection_fact"], [pid, _k("by_ip", ["foreign_addr", "remote_addr"], "address", unless=_PID)], [_w(["foreign_addr", "remote_addr"], "eq", ["dst_ip"], "address"), _w(["foreign_port", "remote_port"], "eq_or_none", ["dst_port"], "number")]),
         ("hash",): _rule(["file_execution_fact"], [_k("by_hash", ["sha1"])], [_w(["filename"], "name", ["normalized_path", "path"], "leaf")]),
         ("path", "artifact", "raw"): _rule([], [_k("by_tail", _VALUE, "tail"), _k("by_leaf", _VALUE, "file"), _k("by_registry_path", _VALUE, "registry"), _k("by_task_name", _VALUE), _k("by_service_name", _VALUE), _k("by_ip", _VALUE, "quad"), _k("by_event_id", _VALUE, "number")], failing=None),
@@ -198,7 +198,9 @@ def asked(claims: DataFrame) -> DataFrame:
     """``claims`` with their type's rule: ``entries`` (its keys, '' left out), ``wanted`` (conditions that are asked, with ``value``), ``enough`` (whether the claim says enough)."""
     typed = computed(claims.select("finding_id", "claim_no", "claim"), type=F.try_element_at("claim", F.lit("type")))
     ruled = typed.join(F.broadcast(table(claims.sparkSession)), "type", "left")  # as many rows as types
-    claim = F.col("claim")
+    # a connection of process 0 is one whose process isn't told
+    known_pid = lambda k, v: ~(k.isin(*_PID) & F.trim(v).isin("", "0"))
+    claim = F.when(F.col("type") == "connection", F.map_filter("claim", known_pid)).otherwise(F.col("claim"))
     text = lambda x: F.when(x["const"] != "", x["const"]).otherwise(_first(claim, x["names"]))
     entries = F.transform(F.filter("keys", lambda k: _first(claim, k["unless"]) == ""), lambda k: F.struct(k["index_name"].alias("index_name"), F.when(k["const"] != "", k["const"]).otherwise(_formed(_first(claim, k["names"]), k["form"])).alias("key")))
     wanted = F.transform("wanted", lambda w: F.struct(w["op"].alias("op"), w["facts"].alias("facts"), w["form"].alias("form"), w["tells"].alias("tells"), w["alternative"].alias("alternative"), _formed(text(w), F.when(w["op"].isin("contains", "flag", "flag_if_true", "enabled", "at_least", "empty"), "raw").otherwise(w["form"])).alias("value")))
@@ -224,11 +226,12 @@ def check(claims: DataFrame, facts: DataFrame) -> DataFrame:
     either = (F.size(some) == 0) | F.exists(some, lambda r: r["ok"])
     name = F.when(F.col("fact_type") == "network_connection_fact", known("owner")).otherwise(known("process_name", "image_name"))
     judged = computed(made, who=F.when((F.col("process") == "") | (F.size("owner") == 0), 2).when(F.col("named") == "", 1).when(N.names_match(F.col("named"), F.col("process")), 2).otherwise(0), fits=either & F.forall(strict, lambda r: r["ok"]), base=either & F.forall(strict, lambda r: r["ok"] | r["tells"]), blind=F.exists("results", lambda r: r["blind"]), name=F.lower(name))
-    judged = judged.select("finding_id", "claim_no", "fact_id", "who", "fits", "base", "blind", "name", ((F.col("name") != "") & ~N.names_match(F.col("name"), F.col("process"))).alias("other"))
+    judged = judged.select("finding_id", "claim_no", "fact_id", "fact_type", "who", "fits", "base", "blind", "name", ((F.col("name") != "") & ~N.names_match(F.col("name"), F.col("process"))).alias("other"))
     of = lambda k, c: F.bool_or((F.col("who") == k) & c)
     folded = judged.groupBy("finding_id", "claim_no").agg(
         *(F.bool_or(F.col("who") == k).alias(f"n{k}") for k in (0, 1, 2)), *(of(k, F.col(c)).alias(f"{c}{k}") for k in (1, 2) for c in ("fits", "base")), *(of(k, F.col("base") & ~F.col("blind")).alias(f"tells{k}") for k in (1, 2)),
-        F.min(F.nullif("name", F.lit(""))).alias("least_name"), F.max(F.nullif("name", F.lit(""))).alias("last_name"), F.bool_or((F.col("name") != "") & ~F.col("other")).alias("same_name"), F.min_by("other", F.when(F.col("fits"), F.col("fact_id"))).alias("first_other"), F.bool_or("fits").alias("any_fits"))
+        F.min(F.nullif("name", F.lit(""))).alias("least_name"), F.max(F.nullif("name", F.lit(""))).alias("last_name"), F.bool_or((F.col("name") != "") & ~F.col("other")).alias("same_name"), F.min_by("other", F.when(F.col("fits"), F.col("fact_id"))).alias("first_other"), F.bool_or("fits").alias("any_fits"),
+        F.bool_or(F.col("fact_type") == "process_fact").alias("has_process"), F.bool_or(F.col("fact_type") == "process_relationship_fact").alias("has_parent"), F.bool_or((F.col("fact_type") == "process_relationship_fact") & F.col("fits")).alias("parent_fits"))
     found = ready.select("finding_id", "claim_no", "claim", "type", "enough", "failing", "nothing", "unnamed").join(folded, ["finding_id", "claim_no"], "left")
     sure = lambda c: F.coalesce(F.col(c), F.lit(False))
     of_class = lambda k: F.when(sure(f"fits{k}"), MATCH).when(sure(f"base{k}") & ~sure(f"tells{k}"), none).otherwise(F.col("failing"))
@@ -237,9 +240,11 @@ def check(claims: DataFrame, facts: DataFrame) -> DataFrame:
     process = said(*_WHO)
     pid = F.when(F.col("least_name").isNull(), none).when((process == "") | sure("same_name") | (F.col("least_name") != F.col("last_name")), MATCH).otherwise(MISMATCH)
     connection = F.when(F.col("any_fits").isNull(), none).when(~F.col("any_fits"), MISMATCH).when((process != "") & sure("first_other"), MISMATCH).otherwise(MATCH)
+    # who is whose parent is told by relationships alone, of processes that are known
+    child = F.when(~(sure("has_process") & sure("has_parent")), none).when(sure("parent_fits"), MATCH).otherwise(MISMATCH)
     exists = F.when(sure("n2") & (N.whole(said("pid")).isNotNull() | sure("same_name")), MATCH)
     generic = (F.col("type") == "decoded_string") & F.lower(said(*_DECODED_TAG)).isin("", "decoded_string")
-    out = F.when(~F.col("enough"), none).when(generic, MISMATCH).when(F.col("type") == "pid", pid).when(F.col("type") == "connection", connection).when(F.col("type") == "process_exists", exists).otherwise(plain)
+    out = F.when(~F.col("enough"), none).when(generic, MISMATCH).when(F.col("type") == "pid", pid).when(F.col("type") == "connection", connection).when(F.col("type") == "process_exists", exists).when(F.col("type") == "child_process", child).otherwise(plain)
     return found.select("finding_id", "claim_no", "claim", "type", out.alias("verdict"))
 
 

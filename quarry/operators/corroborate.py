@@ -28,7 +28,7 @@ METHODS = {
     "vad": ["vol_malfind", "vol_vadinfo", "vol_vadyarascan", "vol_vadwalk"], "mod": ["vol_ldrmodules", "vol_dlllist"], "thread": ["vol_suspiciousthreads", "vol_threads"], "handle": ["vol_handles"],
     "proc": ["vol_pstree", "vol_psscan", "vol_psxview", "vol_pslist"], "priv": ["vol_privileges", "vol_getsids"], "svc": ["vol_svcscan"], "kernel": ["vol_ssdt"], "net": ["vol_netscan"], "cmd": ["vol_cmdline", "vol_envars"],
 }
-MEMORY_TOOLS = ["vol_pstree", "vol_malfind", "vol_netscan", "vol_cmdline", "vol_dlllist", "vol_handles", "vol_psscan", "vol_ssdt"]
+MEMORY_TOOLS = ["vol_pstree", "vol_netscan", "vol_malfind", "vol_cmdline", "vol_dlllist", "vol_psscan", "vol_handles", "vol_envars", "vol_svcscan"]
 DISK_TOOLS = ["get_amcache", "extract_mft_timeline", "parse_event_logs", "parse_prefetch", "parse_shellbags", "parse_powershell_transcripts", "parse_rdp_artifacts", "parse_wmi_subscription"]
 LEVELS = ["UNRESOLVED", "SPECULATIVE", "LOW", "MEDIUM", "HIGH"]
 CRITICAL = ["pwdump", "mimikatz", "procdump", "lsass", "credential", "psexec", "wmiexec", "smbexec", "lateral movement", "pass-the-hash", "kerberoast", "dcsync", "ntds.dit", "sam dump", "hashdump"]

@@ -67,6 +67,12 @@ def _distinct(*names: str) -> Column:
     return F.size(F.array_distinct(F.array_compact(F.transform("claims", first))))
 
 
+def _all_distinct(names: list[str], pattern: str = "") -> Column:
+    """Number of distinct texts that the claims give under any of these names, of those that match a pattern."""
+    each = F.flatten(F.transform("claims", lambda c: F.array(*(F.lower(F.trim(_of(c, n))) for n in names))))
+    return F.size(F.array_distinct(F.filter(each, lambda x: (x != "") & x.rlike(pattern))))
+
+
 def external_peer() -> Column:
     """A public address in a claim or the text of a finding that speaks of connections."""
     fields = ["foreign_addr", "foreign_ip", "remote_addr", "remote_ip", "value"]
@@ -99,10 +105,10 @@ def synthesis() -> Column:
     title = low("title")
     strong = F.array_compact(F.array(
         F.when(low("finding_type").isin(SYNTHESIS_TYPES), "finding_type"), F.when(low("evidence_type").isin("synthesis", "narrative"), "evidence_type"), F.when(F.col("is_synthesis"), "flag"),
-        F.when(_distinct("process", "process_name") >= 3, "processes")))
+        F.when(_all_distinct(["process", "image_name", "child_process", "parent_process"]) >= 3, "processes")))
     weak = F.array_compact(F.array(
         F.when(F.startswith(title, F.lit("full attack chain")) | F.startswith(title, F.lit("attack chain summary")), "title"), F.when(low("description").rlike("multi-stage intrusion|full attack chain"), "description"),
-        F.when(_distinct("pid") >= 3, "pids"), F.when(F.size(F.regexp_extract_all(title, F.lit("(->|→)"), 1)) >= 2, "arrows")))
+        F.when(_all_distinct(["pid", "parent_pid", "child_pid"], r"^-*[0-9]+$") >= 3, "pids"), F.when(F.size(F.regexp_extract_all(title, F.lit("(->|→)"), 1)) >= 2, "arrows")))
     atomic = F.coalesce(F.col("deterministic"), F.lit(False)) & (F.size("signals") > 0)
     return F.when(~atomic & (F.size(strong) > 0), strong).when(~atomic & (F.size(weak) >= 2), weak).otherwise(F.array().cast("array<string>"))
 
@@ -111,7 +117,7 @@ def _weak_only() -> Column:
     return _only("signals", WEAK + HISTORY)
 
 
-def gates() -> dict[str, dict[str, Column]]:
+def gates(columns: list[str] | None = None) -> dict[str, dict[str, Column]]:
     """Reasons against a confirmation by gate: name -> {reason: condition}."""
     blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
     some = F.size("signals") > 0
@@ -122,7 +128,7 @@ def gates() -> dict[str, dict[str, Column]]:
     unsupported = some & (F.size(F.array_intersect("signals", "supported")) == 0)
     return {
         "evidence": {
-            "missing_core_field:finding_id": blank("finding_id"), "missing_core_field:title": blank("title"), "missing_core_field:severity": blank("severity"), "no_checkable_claims": F.size("claims") == 0,
+            "missing_core_field:finding_id": blank("finding_id"), "missing_core_field:title": blank("title") & (blank("artifact") if "artifact" in (columns or []) else F.lit(True)), "missing_core_field:severity": blank("severity"), "no_checkable_claims": F.size("claims") == 0,
             "no_typed_or_validated_support": ~F.coalesce(F.col("validated"), F.lit(False)) & (F.size("fact_types") == 0), "severity_ledger_route_out": F.col("route_out"),
             "react_verdict_benign_or_false_positive": F.coalesce(F.col("verdict"), F.lit("")).isin("benign", "likely_false_positive", "inconclusive"),
         },
@@ -143,7 +149,7 @@ def gates() -> dict[str, dict[str, Column]]:
 
 def eligibility(findings: DataFrame) -> DataFrame:
     """``findings`` with ``failed_gates`` and ``blocking_reasons`` (both empty where a confirmation may stand)."""
-    table = gates()
+    table = gates(findings.columns)
     sure = lambda c: F.coalesce(c, F.lit(False))
     failed = F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, map(sure, reasons.values())), F.lit(gate)) for gate, reasons in table.items())))
     why = F.array_compact(F.array(*(F.when(sure(c), F.lit(reason)) for reasons in table.values() for reason, c in reasons.items())))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, budget, chains, emission, frequent, mentions, selection
+from quarry.operators import accounts, budget, chains, emission, fact_index, frequent, mentions, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -197,3 +197,15 @@ def registrable_domains(t):
     labels = F.split("name", r"\.")
     suffix = F.array_join(F.when(F.col("page_id") % 3 == 0, F.slice(labels, -2, 2)).otherwise(F.slice(labels, -1, 1)), ".")
     return budget.registrable(hosts, hosts.select(suffix.alias("suffix")))
+
+
+@query("""WITH i AS (SELECT 'by_supplier' AS index_name, CAST(l_suppkey AS VARCHAR) AS key, l_orderkey, l_linenumber, l_returnflag FROM lineitem UNION ALL SELECT 'by_part', CAST(l_partkey AS VARCHAR), l_orderkey, l_linenumber, l_returnflag FROM lineitem),
+    c AS (SELECT o_orderkey AS claim_id, CASE WHEN o_orderkey % 2 = 0 THEN 'by_supplier' ELSE 'by_part' END AS index_name, CAST(o_custkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 50 < 7)
+    SELECT claim_id, index_name, key, count(*) AS n_facts, min(l_returnflag) AS least_mode FROM c JOIN i USING (index_name, key) GROUP BY ALL""")
+def stored_index_lookup(t):
+    facts = t("lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("fact_id"), "l_suppkey", "l_partkey", "l_returnflag")
+    table = fact_index.write_index(facts, {"by_supplier": F.col("l_suppkey"), "by_part": F.col("l_partkey")}, "fact_id", ["l_returnflag"])
+    k = F.col("o_orderkey")
+    claims = t("orders").where(k % 50 < 7).select(k.alias("claim_id"), F.when(k % 2 == 0, "by_supplier").otherwise("by_part").alias("index_name"), F.col("o_custkey").cast("string").alias("key"))
+    found = fact_index.lookup(claims, table)
+    return found.groupBy("claim_id", "index_name", "key").agg(F.count(F.lit(1)).alias("n_facts"), F.min("l_returnflag").alias("least_mode"))

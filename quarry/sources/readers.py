@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.graph import saved
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,25 +31,43 @@ def failed(found: DataFrame) -> DataFrame:
     return found.where("coalesce(error, '') <> '' AND size(records) = 0")
 
 
-def ragged_csv(lines: DataFrame, header: list[str]) -> DataFrame:
-    """Rows of CSV lines (value) without quotes under ``header``: what stands before the line of the header, and that line, is skipped (no commas are needed there), short rows
-    are filled with '', and what is too much belongs to the last column.  One file at a time, as its lines come.
-    """
-    cells = F.split("value", ",", len(header))
-    rows = lines.where((F.trim("value") != "") & (F.col("value") != ",".join(header)) & F.contains("value", F.lit(",")))
-    return rows.select(*(F.coalesce(F.trim(F.get(cells, F.lit(k))), F.lit("")).alias(n) for k, n in enumerate(header)))
+#: Beginnings of lines that tools write among their rows.
+CHATTER = ("Volatility 3 Framework", "Progress:")
+
 
+def ragged_csv(lines: DataFrame, header: list[str] | None = None) -> DataFrame:
+    """Rows of CSV lines (value) of one file, in the order in which they were read.
 
-def flat_tree(records: DataFrame, children: str = "__children", most: int = 64) -> DataFrame:
-    """(record, depth) of records (JSON text) and of what is nested in them under ``children``, which is dropped; one pass a level, while there is one."""
+    The header is the first line with two cells that is no chatter, or the line that equals ``header``; what stands before it, blank lines and
+    chatter are skipped.  Quoted cells hold commas and doubled quotes; short rows are filled with '', and what is too much belongs to the last
+    column.  A file without such a line has no rows (and needs ``header`` for its columns).
+    """
+    talk = F.lit(False)
+    for c in CHATTER:
+        talk = talk | F.startswith("value", F.lit(c))
+    # each match takes one comma and the cell after it
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(r',("(?:[^"]|"")*"[^,]*|[^,]*)'), 1), lambda c: F.when(F.startswith(c, F.lit('"')), F.replace(F.regexp_replace(c, r'^"((?:[^"]|"")*)"', "$1"), F.lit('""'), F.lit('"'))).otherwise(c))
+    read = lines.select(F.rtrim("value", F.lit("\r")).alias("value")).withColumn("_no", F.monotonically_increasing_id()).where((F.trim("value") != "") & ~talk).select("_no", cells.alias("_cells"))
+    asked = (F.size("_cells") >= 2) if header is None else F.col("_cells") == F.array(*map(F.lit, header))
+    first = read.where(asked).orderBy("_no").limit(1).collect()  # one row
+    names = header if header is not None else first[0]["_cells"] if first else ["value"]
+    rows = read.where(F.col("_no") > first[0]["_no"]) if first else read.where("false")
+    n = len(names)
+    last = F.array_join(F.slice("_cells", n, F.greatest(F.size("_cells"), F.lit(n))), ",")
+    return rows.select(*(F.coalesce(F.get("_cells", F.lit(k)) if k < n - 1 else last, F.lit("")).alias(c) for k, c in enumerate(names)))
+
+
+def flat_tree(records: DataFrame, children: str = "__children") -> DataFrame:
+    """(record, depth) of records (JSON text) and of what is nested in them under ``children``, which is dropped; one pass a level, until one is empty.
+
+    Each level is saved, so none is read again for those below it.
+    """
     inner = lambda df: df.select(F.explode(F.from_json(F.get_json_object("record", f"$.{children}"), "array<string>")).alias("record"))
     plain = lambda df, depth: df.select(F.to_json(F.map_filter(F.from_json("record", "map<string,string>"), lambda k, v: k != children)).alias("record"), F.lit(depth).alias("depth"))
     level, out = records.select("record"), []
-    for depth in range(most):
-        out.append(plain(level, depth))
-        level = inner(level)
-        if level.isEmpty():
-            break
+    while not out or not level.isEmpty():
+        out.append(plain(level, len(out)))
+        level = saved(inner(level))
     flat = out[0]
     for more in out[1:]:
         flat = flat.unionByName(more)

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from quarry.operators import budget
+from quarry.operators import budget, fact_index
 
 
 @pytest.mark.parametrize("total,header", [(100, 0), (100, 7), (3, 5), (0, 0), (10_000, 1)])
@@ -34,3 +34,16 @@ def test_longest_suffix(spark):
     suffixes = spark.createDataFrame([(s,) for s in ["uk", "co.uk", ".com", "jp", "kawasaki.jp", None]], "suffix string")
     got = {r.name: (r.suffix, r.registrable) for r in budget.registrable(names, suffixes).collect()}
     assert got == {"a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", None), "uk": ("uk", None), "x.uk": ("uk", "x.uk"), "a.example.com": ("com", "example.com"), "nothing": (None, None), "file.exe": (None, None), "b.city.kawasaki.jp": ("kawasaki.jp", "city.kawasaki.jp")}
+
+
+def test_lookups_in_a_stored_index_shuffle_no_facts(spark):
+    from pyspark.sql import functions as F
+
+    facts = spark.range(500).select(F.col("id").alias("fact_id"), (F.col("id") % 7).alias("pid"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("p"), (F.col("id") % 5).cast("string"))).alias("path"))
+    table = fact_index.write_index(facts, {"by_pid": F.col("pid"), "by_path": F.col("path")}, "fact_id", ["path"])
+    claims = spark.createDataFrame([(1, "by_pid", "3"), (2, "by_path", "p4"), (3, "by_pid", "99"), (4, "by_path", None)], "claim_id long, index_name string, key string")
+    found = fact_index.lookup(claims, table)
+    want = {(1, i) for i in range(500) if i % 7 == 3} | {(2, i) for i in range(500) if i % 3 == 0 and i % 5 == 4}
+    assert {(r.claim_id, r.fact_id) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan

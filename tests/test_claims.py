@@ -11,6 +11,7 @@ FACTS = [
     ("s1", "sid_fact", {"pid": "7", "sid": "S-1-5-18", "account": "NT AUTHORITY\\SYSTEM"}), ("w1", "service_fact", {"service_name": "Spooler", "state": "Running"}), ("t1", "scheduled_task_fact", {"task_name": "Updater", "actions": "cmd /c run.exe"}),
     ("e1", "event_log_fact", {"event_id": "7045", "message": "Service evil installed"}), ("u1", "srum_usage_fact", {"application": "C:\\Tools\\run.exe", "bytes_total": "5000", "user": "Ann"}), ("k1", "powershell_command_fact", {"ttp_tag": "download_cradle_web", "user": "Ann"}),
     ("m1", "environment_variable_fact", {"pid": "7", "process_name": "icloudphotos.exe", "variable": "PATH", "value": "C:\\Bin"}), ("r1", "rdp_artifact_fact", {"host": "srv1"}), ("i1", "ssdt_integrity_fact", {"index": "3", "module": "odd.sys"}),
+    ("q1", "process_relationship_fact", {"pid": "7", "parent_pid": "1"}), ("q2", "process_relationship_fact", {"pid": "70", "parent_pid": "1"}),
 ]
 CLAIMS = [
     ({"type": "pid", "pid": "7", "process": "icloudphotos.exe"}, "MATCH"), ({"type": "pid", "pid": "7", "process": "cmd.exe"}, "MATCH"), ({"type": "pid", "pid": "5", "process": "cmd.exe"}, "MISMATCH"), ({"type": "pid", "pid": "9", "process": "c.exe"}, "MATCH"), ({"type": "pid", "pid": "99", "process": "c.exe"}, None), ({"type": "pid", "pid": "bad"}, None),
@@ -24,6 +25,7 @@ CLAIMS = [
     ({"type": "event_log", "event_id": "7045", "contains": "EVIL"}, "MATCH"), ({"type": "event_log", "event_id": "1"}, "MISMATCH"), ({"type": "srum_usage", "application": "RUN.exe", "min_bytes_total": "4000", "user": "ann"}, "MATCH"), ({"type": "srum_usage", "application": "run.exe", "min_bytes_total": "6000"}, "MISMATCH"), ({"type": "srum_usage", "min_bytes_total": "100"}, "MATCH"),
     ({"type": "powershell_command", "ttp_tag": "download_cradle"}, "MATCH"), ({"type": "powershell_command", "ttp_tag": "download"}, "MATCH"), ({"type": "powershell_command", "ttp_tag": "down"}, "MISMATCH"), ({"type": "powershell_command"}, None), ({"type": "decoded_string", "ttp_tag": "decoded_string"}, "MISMATCH"), ({"type": "envvar", "variable": "path", "value": "c:\\bin"}, "MATCH"),
     ({"type": "process_envvar", "pid": "7", "process": "cmd.exe", "variable": "path"}, "MISMATCH"), ({"type": "rdp_artifact", "host": "SRV1"}, "MATCH"), ({"type": "rdp_artifact", "contains": "ab"}, None), ({"type": "kernel_ssdt_entry", "index": "3", "module": "ODD.sys"}, "MATCH"), ({"type": "kernel_ssdt_entry", "status": "x"}, None), ({"type": "wmi_subscription", "consumer": "x1"}, None),
+    ({"type": "child_process", "child_pid": "70", "parent_pid": "1"}, None), ({"type": "child_process", "child_pid": "9", "parent_pid": "1"}, None), ({"type": "connection", "pid": "0", "foreign_addr": "9.9.9.9", "foreign_port": "53"}, "MATCH"),
     ({"type": "typed_fact", "fact_type": "sid_fact", "pid": "7"}, "MATCH"), ({"type": "typed_fact", "fact_type": "usb_device_fact", "pid": "7"}, None), ({"type": "unheard of", "pid": "7"}, None), ({"pid": "7"}, None),
 ]
 

@@ -18,6 +18,14 @@ def test_envelopes(spark, tmp_path):
 def test_ragged_csv_and_tree(spark):
     lines = spark.createDataFrame([("Progress 100",), ("pid,name,args",), ("4,System",), ("7,a.exe,-x, -y",), ("",)], "value string")
     assert sorted(map(tuple, readers.ragged_csv(lines, ["pid", "name", "args"]).collect())) == [("4", "System", ""), ("7", "a.exe", "-x, -y")]
+    told = ["Volatility 3 Framework 2, x", "Progress: 1, 2", "", "PID,Name,Args", '4,"Sys, tem",-x', '5,"say ""hi""","a",b', "6", 'C 7,plain "q",z']
+    table = readers.ragged_csv(spark.createDataFrame([(x,) for x in told], "value string").coalesce(1))
+    assert table.columns == ["PID", "Name", "Args"] and [tuple(r) for r in table.collect()] == [("4", "Sys, tem", "-x"), ("5", 'say "hi"', "a,b"), ("6", "", ""), ("C 7", 'plain "q"', "z")]
+    assert readers.ragged_csv(spark.createDataFrame([("no header",)], "value string"), ["a", "b"]).count() == 0
+    deep = {"PID": 0}
+    for i in range(1, 70):
+        deep = {"PID": i, "__children": [deep]}
+    assert readers.flat_tree(spark.createDataFrame([(json.dumps(deep),)], "record string")).count() == 70
     tree = {"PID": 1, "__children": [{"PID": 2, "__children": [{"PID": 3, "__children": []}]}, {"PID": 4, "__children": []}]}
     flat = readers.flat_tree(spark.createDataFrame([(json.dumps(tree),)], "record string")).collect()
     assert sorted((json.loads(r.record)["PID"], r.depth) for r in flat) == [("1", 0), ("2", 1), ("3", 2), ("4", 1)]
@@ -61,3 +69,33 @@ def test_more_families(spark):
     assert sorted(r.record_no for r in compilers.of_process(records, 7).collect()) == [1, 2]
     times = spark.createDataFrame([(1, "2024-01-05T10:00", None), (2, "2023-01-01", "2024-02-01"), (3, None, None)], "id long, a string, b string")
     assert [r.id for r in compilers.in_window(times, ["a", "b"], "2024-01-05", "2024-01-31").collect()] == [1]
+
+
+def test_rules_that_were_wrong(spark):
+    """Both kinds of addresses, tools of memory, techniques on one line, narratives by parents and children, titles that artifacts stand for."""
+    import ipaddress
+
+    from pyspark.sql import functions as F
+
+    from quarry.functions import normalise, tags
+    from quarry.operators import corroborate, disposition
+
+    ips = ["2607:f8b0:4004:800::200e", "::1", "::", "fe80::1", "fc00::9", "ff02::1", "2001:db8::1", "2002:1::", "::ffff:8.8.8.8", "2a00:1450::8", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8:9", "12345::", "8.8.8.8", "10.0.0.1", "::2", "1::2::3", "x", None]
+    rows = spark.createDataFrame([(x,) for x in ips], "ip string").select("ip", normalise.public_by_registry(F.col("ip")).alias("p")).collect()
+
+    def public(x):
+        try:
+            a = ipaddress.ip_address(x)
+        except ValueError:
+            return False
+        return not (a.is_private or a.is_loopback or a.is_link_local or a.is_multicast or a.is_unspecified)
+
+    assert {r.ip: r.p for r in rows} == {x: public(x) for x in ips}
+    said = spark.createDataFrame([("powershell -NoP x -w hidden",), ("-NoProfile\n-W Hidden",), ("-w hidden\r-nop",)], "t string").select(tags.shell_tags(F.col("t")).alias("g")).collect()
+    assert ["no_profile_hidden" in r.g for r in said] == [True, False, True]
+    tools = [(["vol_svcscan", "get_amcache"], "HIGH"), (["vol_ssdt", "get_amcache"], "LOW"), (["vol_envars", "parse_event_logs"], "HIGH")]
+    found = spark.createDataFrame([("LOW", t, [], dict.fromkeys(t, 1), False, want) for t, want in tools], "confidence string, source_tools array<string>, claim_tools array<string>, tool_rows map<string,int>, false_positive boolean, want string")
+    assert all(r.got == r.want for r in found.select(corroborate.calibrated(F.lit("full"), F.lit(False)).alias("got"), "want").collect())
+    claims = [({"parent_process": "a", "child_process": "b"}, {"process": "c"}), ({"parent_pid": "1", "child_pid": "2"}, {"pid": "3"}), ({"process": "A", "image_name": "a"}, {"pid": "x"})]
+    stories = spark.createDataFrame([(list(c), "t", "full attack chain", None, None, False, False, []) for c in claims], "claims array<map<string,string>>, title string, description string, finding_type string, evidence_type string, is_synthesis boolean, deterministic boolean, signals array<string>")
+    assert [r.s for r in stories.select(disposition.synthesis().alias("s")).collect()] == [["processes"], ["description", "pids"], []]
