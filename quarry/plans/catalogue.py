@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("facts", "entities", "text", "routing", "signals", "scalars", "claims", "disposition", "corroborate", "scoring", "scans", "selection", "discovery"):
+    for name in ("facts", "entities", "text", "routing", "signals", "scalars", "claims", "disposition", "corroborate", "scoring", "scans", "selection", "discovery", "coverage"):
         importlib.import_module(f"quarry.plans.{name}")
 
 
