@@ -34,7 +34,9 @@ def merge_facts(facts: DataFrame, kind: str, entity: str, parts: list[str], tool
     own = signed.groupBy("signature").agg(F.count(F.lit(1)).alias("merge_count"), F.array_sort(F.collect_set(tool)).alias("source_tools"), F.min_by(F.struct(*facts.columns), ordinal).alias("first"))
     first = lambda order, n: F.row_number().over(Window.partitionBy("signature").orderBy(order)) <= n
     distinct = signed.groupBy("signature", F.col(ref).alias("ref")).agg(F.lit(1))
-    kept = distinct.withColumn("ok", first("ref", refs)).groupBy("signature").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), F.col("ref")))).alias("record_refs"), F.bool_or(~F.col("ok")).alias("truncated"))
+    # one more than is kept tells whether there are more; the constant lets each task keep that many before they are shuffled
+    ranked = distinct.withColumn("at", F.row_number().over(Window.partitionBy("signature").orderBy("ref"))).where(F.col("at") <= refs + 1)
+    kept = ranked.groupBy("signature").agg(F.array_sort(F.collect_list(F.when(F.col("at") <= refs, F.col("ref")))).alias("record_refs"), (F.max("at") > refs).alias("truncated"))
     said = signed.where(F.col(excerpt).isNotNull()).groupBy("signature", F.col(excerpt).alias("excerpt")).agg(F.min(ordinal).alias("at"))
     said = said.withColumn("ok", first("at", excerpts)).where("ok").groupBy("signature").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "excerpt"))), lambda x: x["excerpt"]).alias("raw_excerpts"))
     return own.join(kept, "signature").join(said, "signature", "left").select("signature", "merge_count", "source_tools", "record_refs", "truncated", "raw_excerpts", "first.*")

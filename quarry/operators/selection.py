@@ -22,7 +22,9 @@ EXTERNAL_WORDS = r"(?i)\b(?:external|public)\s+(?:ip(?:\s+address)?|address)\s+(
 def arrival_cap(df: DataFrame, key: str, ordinal: str, limits: dict[str, int], default: int) -> DataFrame:
     """The first rows of each key in the order of arrival, as many as its own limit or the default."""
     limit = F.coalesce(F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[F.col(key)], F.lit(default))
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(ordinal))).where(F.col("rank") <= limit)
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(ordinal)))
+    # the constant lets each task keep that many rows of a key before they are shuffled
+    return ranked.where((F.col("rank") <= max([default, *limits.values()])) & (F.col("rank") <= limit))
 
 
 def round_robin(df: DataFrame, key: str, newest: str, ordinal: str, reserved: list[str], reserve: int, others: int, chunk: int, most: int) -> DataFrame:
