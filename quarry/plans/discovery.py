@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, budget, chains, emission, fact_index, frequent, mentions, selection
+from quarry.operators import accounts, budget, chains, emission, fact_index, frequent, mentions, routing, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -209,3 +209,23 @@ def stored_index_lookup(t):
     claims = t("orders").where(k % 50 < 7).select(k.alias("claim_id"), F.when(k % 2 == 0, "by_supplier").otherwise("by_part").alias("index_name"), F.col("o_custkey").cast("string").alias("key"))
     found = fact_index.lookup(claims, table)
     return found.groupBy("claim_id", "index_name", "key").agg(F.count(F.lit(1)).alias("n_facts"), F.min("l_returnflag").alias("least_mode"))
+
+
+_SAID = ["listens on 127.0.0.1:80", "peer 8.8.8.8 of localhost", "beacon to 10.1.2.3", "seen at ::1", "PID: 77 wrote", "quiet", "peer 999.1.1.1"]
+_JUDGED = ["confirmed_benign", None, "malicious", "FP ", "inconclusive", None, None, None]
+_SIGNED = [None, "rwx_memory_region_with_unusual_protection", "dga_domain"]
+
+
+@query(f"""WITH f AS (SELECT c_custkey AS id, ['{"', '".join(_SAID)}'][c_custkey % 7 + 1] AS said, lower(trim(coalesce([{", ".join("NULL" if v is None else f"'{v}'" for v in _JUDGED)}][c_custkey // 7 % 8 + 1], ''))) AS v, [NULL, 'w', 's'][c_custkey // 5 % 3 + 1] AS signal, CAST(c_nationkey AS VARCHAR) || CAST(c_custkey % 9 AS VARCHAR) AS pid FROM customer),
+    g AS (SELECT *, v IN ('confirmed_benign', 'fp') AS benign, v <> 'malicious' AND coalesce(signal, '') <> 's' AS open, said LIKE 'listens%' OR said LIKE 'seen%' AS local, said LIKE '%8.8.8.8%' AS peer FROM f),
+    e AS (SELECT id, benign, unnest(CASE WHEN said LIKE 'PID%' THEN [pid, '77'] ELSE [pid] END) AS pid FROM g), c AS (SELECT DISTINCT pid FROM e WHERE benign AND pid <> '0'), r AS (SELECT DISTINCT id FROM e JOIN c USING (pid))
+    SELECT id AS finding_id, CASE WHEN open AND benign AND local THEN 'loopback_benign' WHEN open AND NOT benign AND NOT peer AND r.id IS NOT NULL THEN 'entity_benign_propagation' END AS reason FROM g LEFT JOIN r USING (id)""")
+def benign_routing(t):
+    k = F.col("c_custkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), F.expr(at).cast("int"))
+    claims = F.array(F.create_map(F.lit("type"), F.lit("pid"), F.lit("pid"), F.concat(F.col("c_nationkey").cast("string"), (k % 9).cast("string"))))
+    signal = pick(_SIGNED, "c_custkey DIV 5 % 3 + 1")
+    findings = t("customer").select(
+        k.alias("finding_id"), F.lit("t").alias("title"), pick(_SAID, "c_custkey % 7 + 1").alias("description"), F.lit(None).cast("string").alias("raw_excerpt"), claims.alias("claims"), pick(_JUDGED, "c_custkey DIV 7 % 8 + 1").alias("verdict"),
+        F.lit(None).cast("boolean").alias("false_positive"), F.array_compact(F.array(signal)).alias("signals"))
+    return routing.routed(findings)
