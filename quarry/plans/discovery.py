@@ -28,9 +28,9 @@ def _candidates(t):
     return candidates, t("supplier").where("s_nationkey < 20").select(F.concat(F.lit("k"), (F.col("s_suppkey") * 3).cast("string")).alias("token"))
 
 
-@query(f"""WITH {_CANDIDATES} SELECT o.id AS candidate_id, CASE WHEN o.seen THEN 'known' WHEN representative IS NULL THEN 'beaten' WHEN representative = o.id THEN 'emitted' ELSE 'collapsed' END AS standing, representative FROM o LEFT JOIN t ON t.id = o.id""")
+@query(f"""WITH {_CANDIDATES} SELECT o.id AS candidate_id, CASE WHEN o.seen THEN 'known' WHEN representative IS NULL THEN 'beaten' WHEN representative = o.id THEN 'emitted' ELSE 'collapsed' END AS standing, coalesce(representative, -1) AS representative FROM o LEFT JOIN t ON t.id = o.id""")
 def candidate_emission(t):
-    return emission.emitted(*_candidates(t))
+    return emission.emitted(*_candidates(t)).withColumn("representative", F.coalesce("representative", F.lit(-1)))
 
 
 @query(f"""WITH {_CANDIDATES} SELECT representative AS candidate_id, count(*) AS instances, array_to_string(list_sort(list(DISTINCT tool)), ',') AS source_tools FROM t GROUP BY 1""")
