@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, budget, chains, emission, fact_index, frequent, mentions, routing, selection
+from quarry.operators import accounts, budget, chains, claim_forms, emission, fact_index, frequent, mentions, routing, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -229,3 +229,20 @@ def benign_routing(t):
         k.alias("finding_id"), F.lit("t").alias("title"), pick(_SAID, "c_custkey % 7 + 1").alias("description"), F.lit(None).cast("string").alias("raw_excerpt"), claims.alias("claims"), pick(_JUDGED, "c_custkey DIV 7 % 8 + 1").alias("verdict"),
         F.lit(None).cast("boolean").alias("false_positive"), F.array_compact(F.array(signal)).alias("signals"))
     return routing.routed(findings)
+
+
+@query(r"""WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, 'peer 10.' || c_nationkey || '.0.' || (c_custkey % 300) AS peer FROM customer)
+    SELECT k AS finding_id, 0 AS claim_no, CASE WHEN k % 300 < 256 THEN 'foreign_addr=' || substr(peer, 6) || ';type=connection;value=' || peer ELSE 'type=path;value=' || peer END AS claim FROM c
+    UNION ALL SELECT k, 1, 'pid=' || k || ';process=p' || n || '.exe;type=pid' FROM c WHERE k % 3 <> 0
+    UNION ALL SELECT k, 2, 'artifact=event ' || (k % 50) || ';event_id=' || (k % 50) || ';type=event_log;value=event ' || (k % 50) FROM c
+    UNION ALL SELECT k, 3, CASE WHEN k % 2 = 0 THEN 'rescued_from=bare_token_path;service_name=svc' || n || ';type=service' ELSE 'process=svc' || n || ';rescued_from=bare_token_path;type=process_exists' END || ';value=svc' || n FROM c""")
+def claim_forms_told(t):
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    text = lambda **v: F.create_map(*(x for name, c in v.items() for x in (F.lit(name), c if not isinstance(c, str) else F.lit(c))))
+    told = [
+        text(type="raw", value=F.concat(F.lit("peer 10."), n, F.lit(".0."), (k % 300).cast("string"))), text(type="process", pid=F.when(k % 3 == 0, "x").otherwise(k.cast("string")), process_name=F.concat(F.lit("C:\\d\\p"), n, F.lit(".exe"))),
+        text(type="artifact", artifact=F.concat(F.lit("event "), (k % 50).cast("string"))), text(type="path", value=F.concat(F.lit("svc"), n))]
+    claims = t("customer").select(k.alias("finding_id"), F.when(k % 2 == 0, "a service").otherwise("a view").alias("context"), F.posexplode(F.array(*told)).alias("claim_no", "claim"))
+    found = claim_forms.normalised(claims)
+    pairs = F.array_sort(F.transform(F.map_entries("claim"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return found.select("finding_id", "claim_no", F.array_join(pairs, ";").alias("said")).withColumnRenamed("said", "claim")
