@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, budget, chains, claim_forms, emission, fact_index, frequent, mentions, routing, selection
+from quarry.operators import accounts, actors, budget, chains, claim_forms, emission, fact_index, frequent, mentions, routing, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -246,3 +246,22 @@ def claim_forms_told(t):
     found = claim_forms.normalised(claims)
     pairs = F.array_sort(F.transform(F.map_entries("claim"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
     return found.select("finding_id", "claim_no", F.array_join(pairs, ";").alias("said")).withColumnRenamed("said", "claim")
+
+
+@query(r"""WITH c AS (SELECT o_orderkey AS id, o_orderkey % 5 AS m, CAST(o_custkey AS VARCHAR) AS pid, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders),
+    s AS (SELECT CAST(c_custkey AS VARCHAR) AS pid, 'user' || c_nationkey AS name FROM customer WHERE c_custkey % 3 = 0 AND c_nationkey <> 7),
+    w AS (SELECT id, m, day, coalesce(CASE m WHEN 0 THEN 'Ann' || (id % 9) WHEN 1 THEN 'bob' || (id % 4) END, CASE WHEN m IN (2, 3) THEN s.name END, '') AS actor, CASE m WHEN 4 THEN '' ELSE day END AS "at" FROM c LEFT JOIN s USING (pid))
+    SELECT id AS finding_id, actor, "at", concat_ws(' · ', 'Who: ' || CASE WHEN actor <> '' THEN actor WHEN m = 3 THEN 'service context' END, CASE WHEN "at" <> '' THEN 'When: ' || "at" || ' UTC' END) AS label FROM w""")
+def actor_time_labels(t):
+    k = F.col("o_orderkey")
+    m, pid, day = k % 5, F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = lambda v: F.create_map(*(x for n, c in v.items() for x in (F.lit(n), c)))
+    none = F.lit(None).cast("string")
+    account = text({"type": F.lit("user_account"), "username": F.lit("SYSTEM"), "value": F.concat(F.lit(" Ann"), (k % 9).cast("string")), "created": F.concat(day, F.lit("x"))})
+    claims = F.when(m == 0, F.array(account)).when(m == 2, F.array(text({"type": F.lit("pid"), "pid": pid, "create_time": F.concat(F.lit("at "), day)})))
+    said = F.when(m == 1, F.concat(F.lit("ran C:\\Users\\bob"), (k % 4).cast("string"), F.lit("\\a.exe on "), day)).when(m == 3, F.concat(F.lit("PID: "), pid, F.lit(" wrote"))).otherwise("myusers/x")
+    findings = t("orders").select(k.alias("finding_id"), F.lit("t").alias("title"), said.alias("description"), none.alias("raw_excerpt"), claims.alias("claims"), F.when(m == 3, day).alias("timestamp"), F.when(m == 3, "service context").alias("execution_context"))
+    c = F.col("c_custkey")
+    name = F.when(F.col("c_nationkey") == 7, "SYSTEM").otherwise(F.concat(F.lit("DOM/user"), F.col("c_nationkey").cast("string")))
+    sids = t("customer").select(c.alias("pid"), F.when(c % 3 == 0, "S-1-5-21-1-2-3-1001").when(c % 3 == 1, "S-1-5-21-1-2-3-513").otherwise("S-1-5-18").alias("sid"), name.alias("name"), c.alias("ordinal"))
+    return actors.labelled(findings, sids)

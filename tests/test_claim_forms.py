@@ -35,3 +35,19 @@ def test_claims_take_their_form(spark):
     got = {r.claim_no: r.claim for r in claim_forms.normalised(df).collect()}
     assert {i: got.get(i) for i in range(len(CASES))} == {i: want for i, (_, _, want) in enumerate(CASES)}
     assert claim_forms.normalised(df.where("false")).count() == 0
+
+
+def test_actor_and_time(spark):
+    from quarry.operators import actors
+
+    rows = [
+        (1, "t", None, None, [{"type": "USER", "username": "system", "account": " Ann "}], None, None, ("Ann", "", "Who: Ann")),
+        (2, "C:/Users/Public/x", "D:\\users\\bob.k\\y 2024-02-03 10:11", None, [], "2023-01-01T00:00:00Z", "ctx", ("bob.k", "2023-01-01T00:00:00", "Who: bob.k · When: 2023-01-01T00:00:00 UTC")),
+        (3, "myusers/eve", None, None, [{"type": "pid", "pid": "9", "first_run": "on 2022-05-06"}], None, None, ("carl", "2022-05-06", "Who: carl · When: 2022-05-06 UTC")),
+        (4, "pid=12 and PID: 9", None, None, None, None, "SYSTEM/service context", ("carl", "", "Who: carl")),
+        (5, "pid=12", None, None, None, None, "SYSTEM/service context", ("", "", "Who: SYSTEM/service context")),
+        (6, None, None, "seen 2021-01-02", None, None, None, ("", "2021-01-02", "When: 2021-01-02 UTC")), (7, None, None, None, None, None, None, ("", "", ""))]
+    df = spark.createDataFrame([r[:7] for r in rows], "finding_id long, title string, description string, raw_excerpt string, claims array<map<string,string>>, timestamp string, execution_context string")
+    sids = spark.createDataFrame([(9, "S-1-5-18", "SYSTEM", 1), (9, "S-1-5-21-1-2-3-1001", "HOST\\carl", 2), (9, "S-1-5-21-1-2-3-1002", "dan", 3), (12, "S-1-5-21-1-2-3-513", "Users", 4)], "pid long, sid string, name string, ordinal long")
+    assert {r.finding_id: (r.actor, r.at, r.label) for r in actors.labelled(df, sids).collect()} == {r[0]: r[7] for r in rows}
+    assert actors.labelled(df.where("false"), sids).count() == 0
