@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, actors, budget, chains, claim_forms, emission, fact_index, frequent, mentions, routing, selection
+from quarry.operators import accounts, actors, budget, chains, claim_forms, consensus, emission, fact_index, frequent, mentions, routing, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -265,3 +265,34 @@ def actor_time_labels(t):
     name = F.when(F.col("c_nationkey") == 7, "SYSTEM").otherwise(F.concat(F.lit("DOM/user"), F.col("c_nationkey").cast("string")))
     sids = t("customer").select(c.alias("pid"), F.when(c % 3 == 0, "S-1-5-21-1-2-3-1001").when(c % 3 == 1, "S-1-5-21-1-2-3-513").otherwise("S-1-5-18").alias("sid"), name.alias("name"), c.alias("ordinal"))
     return actors.labelled(findings, sids)
+
+
+_VOICES = """f AS (SELECT o_orderkey AS id, o_orderpriority AS member, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS no, CASE o_custkey % 4 WHEN 0 THEN 'pid:' || (o_custkey % 900) WHEN 1 THEN 'ip:10.0.0.' || o_custkey WHEN 2 THEN 'desc:art' || (o_custkey % 600) || '|a title' ELSE 'uid:' || o_orderkey END AS fp FROM orders),
+    g AS (SELECT *, row_number() OVER (PARTITION BY fp ORDER BY no, id) AS r, first_value(member) OVER (PARTITION BY fp ORDER BY no, id) AS lead FROM f)"""
+
+
+def _voices(t):
+    k = F.col("o_custkey")
+    claim = lambda name, value: F.array(F.create_map(F.lit("type"), F.lit("x"), F.lit(name), value))
+    claims = F.when(k % 4 == 0, claim("pid", (k % 900).cast("string"))).when(k % 4 == 1, claim("foreign_addr", F.concat(F.lit("10.0.0."), k.cast("string")))).otherwise(F.array().cast("array<map<string,string>>"))
+    rows = t("orders").select(
+        F.col("o_orderkey").alias("finding_id"), F.col("o_orderpriority").alias("member"), F.substring("o_orderpriority", 1, 1).cast("int").alias("member_no"), F.col("o_orderkey").alias("finding_no"), claims.alias("claims"),
+        F.when(k % 4 == 2, F.concat(F.lit("Art"), (k % 600).cast("string"))).alias("artifact"), F.when(k % 4 == 2, "A title").alias("title"))
+    return rows, consensus.marked(rows)
+
+
+@query(f"""WITH {_VOICES} SELECT fp, min(id) FILTER (r = 1) AS finding_id, any_value(lead) AS survivor_from, array_to_string(list_sort(list(DISTINCT member)), ',') AS discovered_by, coalesce(CASE WHEN count(DISTINCT member) = 1 THEN any_value(member) END, '') AS unique_to, count(*) AS n FROM g GROUP BY 1""")
+def consensus_merged(t):
+    found = consensus.merged(_voices(t)[1])
+    return found.withColumns({"discovered_by": F.array_join("discovered_by", ","), "unique_to": F.coalesce("unique_to", F.lit(""))})
+
+
+@query(f"WITH {_VOICES} SELECT id AS finding_id, member, fp, lead AS survivor_from FROM g WHERE r > 1")
+def consensus_dropped(t):
+    return consensus.dropped(_voices(t)[1]).drop("subject")
+
+
+@query(f"""WITH {_VOICES}, u AS (SELECT fp, any_value(lead) AS lead, count(DISTINCT member) AS k FROM g GROUP BY 1), s AS (SELECT lead AS member, count(*) AS n_survivors, count(*) FILTER (k = 1) AS n_unique FROM u GROUP BY 1)
+    SELECT member, count(*) AS n_findings, coalesce(any_value(n_survivors), 0) AS n_survivors, coalesce(any_value(n_unique), 0) AS n_unique FROM f LEFT JOIN s USING (member) GROUP BY 1""")
+def consensus_members(t):
+    return consensus.members(*_voices(t))

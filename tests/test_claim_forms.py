@@ -51,3 +51,16 @@ def test_actor_and_time(spark):
     sids = spark.createDataFrame([(9, "S-1-5-18", "SYSTEM", 1), (9, "S-1-5-21-1-2-3-1001", "HOST\\carl", 2), (9, "S-1-5-21-1-2-3-1002", "dan", 3), (12, "S-1-5-21-1-2-3-513", "Users", 4)], "pid long, sid string, name string, ordinal long")
     assert {r.finding_id: (r.actor, r.at, r.label) for r in actors.labelled(df, sids).collect()} == {r[0]: r[7] for r in rows}
     assert actors.labelled(df.where("false"), sids).count() == 0
+
+
+def test_consensus_of_members(spark):
+    from quarry.operators import consensus
+
+    pid = lambda *ps: [{"type": "pid", "pid": p} for p in ps]
+    rows = [(1, "a", 0, 0, pid("7", "8"), None, "t"), (2, "b", 1, 0, pid("8"), None, "t"), (3, "b", 1, 1, [], "Art", "Title"), (4, "a", 0, 1, [], "art", "title "), (5, "c", 2, 0, None, None, None)]
+    df = spark.createDataFrame([(*r[:4], r[4] or [], *r[5:]) for r in rows], "finding_id long, member string, member_no int, finding_no int, claims array<map<string,string>>, artifact string, title string")
+    found = consensus.marked(df)
+    assert {(r.fp, r.finding_id, r.survivor_from, tuple(r.discovered_by), r.unique_to, r.n) for r in consensus.merged(found).collect()} == {
+        ("pid:7", 1, "a", ("a",), "a", 1), ("pid:8", 1, "a", ("a", "b"), None, 2), ("desc:art|title", 4, "a", ("a", "b"), None, 2), ("uid:5", 5, "c", ("c",), "c", 1)}
+    assert {(r.finding_id, r.member, r.survivor_from) for r in consensus.dropped(found).collect()} == {(2, "b", "a"), (3, "b", "a")}
+    assert {tuple(r) for r in consensus.members(df, found).collect()} == {("a", 2, 3, 1), ("b", 2, 0, 0), ("c", 1, 1, 1)}
