@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.functions import vocabulary as V
+
 from .facts import running
 
 
@@ -57,3 +59,20 @@ def presence(df: DataFrame, entity: str, kind: str, kinds: list[str]) -> DataFra
 def best_by_rank(df: DataFrame, key: str, rank: list, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of the row that comes first in ``rank`` (least struct) for each key."""
     return df.groupBy(key).agg(F.min_by(F.struct(*keep), F.struct(*rank)).alias("b")).select(key, "b.*")
+
+
+def encryption_burst(facts: DataFrame, path: str, ordinal: str, kinds: int = 3, groups: int = 4, sigmas: float = 2.0, kept: int = 20) -> DataFrame:
+    """(extension, n_files, original_types, ids) of the one foreign extension that was appended to files of ``kinds`` data types and stands out; no row without one.
+
+    With ``groups`` such extensions or more it has more files than their mean and ``sigmas`` population deviations; with fewer, the most.  Of equal counts the
+    extension that comes last by name is taken.  ``ids`` are the first few by ``ordinal``.  Null paths name no file.
+    """
+    parts = F.split(F.lower(F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/\\]*)$", 1)), r"\.")
+    own, new = F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1))
+    named = facts.select(F.col(ordinal).alias("id"), own.alias("own"), new.alias("extension"), F.size(parts).alias("k")).where((F.col("k") >= 3) & F.col("own").isin(V.DATA_EXTENSIONS) & F.col("extension").rlike("^[a-z0-9]{1,12}$") & ~F.col("extension").isin(V.DATA_EXTENSIONS))
+    # as many types as the fixed list has, at most
+    sums = named.groupBy("extension").agg(F.count(F.lit(1)).alias("n_files"), F.array_sort(F.collect_set("own")).alias("original_types")).where(F.size("original_types") >= kinds)
+    line = F.when(F.count(F.lit(1)) >= groups, F.avg("n_files") + sigmas * F.stddev_pop("n_files")).otherwise(0.0)
+    best = sums.agg(F.max(F.struct("n_files", "extension", "original_types")).alias("b"), line.alias("line")).where(F.col("b.n_files") > F.col("line")).select("b.extension", "b.n_files", "b.original_types")
+    first = named.join(F.broadcast(best.select("extension")), "extension").select("id").orderBy("id").limit(kept)  # one row
+    return best.join(F.broadcast(first.agg(F.array_sort(F.collect_list("id")).alias("ids"))))  # one row each

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import host
-from quarry.operators import accounts, actors, budget, chains, claim_forms, consensus, emission, fact_index, frequent, mentions, routing, selection
+from quarry.operators import accounts, actors, budget, chains, claim_forms, consensus, emission, entities, fact_index, frequent, mentions, routing, selection
 from quarry.operators.graph import shared_dir
 from quarry.plans.catalogue import query
 from quarry.sources import byte_ranges
@@ -296,3 +296,16 @@ def consensus_dropped(t):
     SELECT member, count(*) AS n_findings, coalesce(any_value(n_survivors), 0) AS n_survivors, coalesce(any_value(n_unique), 0) AS n_unique FROM f LEFT JOIN s USING (member) GROUP BY 1""")
 def consensus_members(t):
     return consensus.members(*_voices(t))
+
+
+@query("""WITH f AS (SELECT o_orderkey AS id, ['docx', 'xlsx', 'pdf', 'txt', 'exe'][o_custkey % 5 + 1] AS own, CASE WHEN o_custkey % 3 = 0 THEN 'locked' WHEN o_custkey % 7 = 0 THEN 'zip' ELSE 'e' || (o_custkey % 40) END AS extension FROM orders),
+    n AS (SELECT * FROM f WHERE own <> 'exe' AND extension <> 'zip'), s AS (SELECT extension, count(*) AS n_files, list_sort(list(DISTINCT own)) AS original_types FROM n GROUP BY 1 HAVING count(DISTINCT own) >= 3),
+    b AS (SELECT * FROM s WHERE n_files > (SELECT CASE WHEN count(*) >= 4 THEN avg(n_files) + 2 * stddev_pop(n_files) ELSE 0 END FROM s) ORDER BY n_files DESC, extension DESC LIMIT 1)
+    SELECT extension, n_files, array_to_string(original_types, ',') AS original_types, (SELECT array_to_string(list(id ORDER BY id), ',') FROM (SELECT id FROM n JOIN b USING (extension) ORDER BY id LIMIT 20)) AS ids FROM b""")
+def encryption_burst(t):
+    k = F.col("o_custkey")
+    own = F.element_at(F.array(*map(F.lit, ["docx", "XLSX", "pdf", "txt", "exe"])), (k % 5 + 1).cast("int"))
+    new = F.when(k % 3 == 0, "locked").when(k % 7 == 0, "zip").otherwise(F.concat(F.lit("e"), (k % 40).cast("string")))
+    files = t("orders").select(F.col("o_orderkey").alias("id"), F.concat_ws(".", F.concat(F.lit("C:\\d.x\\f"), k.cast("string")), own, new).alias("path"))
+    found = entities.encryption_burst(files, "path", "id")
+    return found.select("extension", "n_files", F.array_join("original_types", ",").alias("original_types"), F.array_join("ids", ",").alias("ids"))

@@ -64,3 +64,19 @@ def test_consensus_of_members(spark):
         ("pid:7", 1, "a", ("a",), "a", 1), ("pid:8", 1, "a", ("a", "b"), None, 2), ("desc:art|title", 4, "a", ("a", "b"), None, 2), ("uid:5", 5, "c", ("c",), "c", 1)}
     assert {(r.finding_id, r.member, r.survivor_from) for r in consensus.dropped(found).collect()} == {(2, "b", "a"), (3, "b", "a")}
     assert {tuple(r) for r in consensus.members(df, found).collect()} == {("a", 2, 3, 1), ("b", 2, 0, 0), ("c", 1, 1, 1)}
+
+
+def test_encryption_burst(spark):
+    from quarry.operators import entities
+
+    def found(files):
+        df = spark.createDataFrame([(i, p) for i, p in enumerate(files)], "id long, path string")
+        return [(r.extension, r.n_files, r.original_types, r.ids) for r in entities.encryption_burst(df, "path", "id", kept=2).collect()]
+
+    burst = [f"C:\\d\\f{i}.{e}.LOCKED" for i, e in enumerate(["docx", "xlsx", "pdf", "pdf"])]
+    assert found([*burst, "a.docx.zip", "b.exe.locked", "c.locked", None, "d.docx.too-odd"]) == [("locked", 4, ["docx", "pdf", "xlsx"], [0, 1])]
+    assert found([b.replace("pdf", "docx") for b in burst]) == [] and found([None]) == []
+    # four groups of like size: none stands out
+    assert found([f"f.{e}.{x}" for x in ("aa", "bb", "cc", "dd") for e in ("docx", "xlsx", "pdf")]) == []
+    many = [f"f.{e}.{x}" for x in "abcdefgh" for e in ("docx", "xlsx", "pdf")]
+    assert found([*many, *burst * 9])[0][:2] == ("locked", 36)
