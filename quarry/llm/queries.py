@@ -55,7 +55,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.find(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of")
+    return near_duplicates.find(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_of", "linked_to", "likeness", "n_links")
 
 
 def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

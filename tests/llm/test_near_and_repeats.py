@@ -1,5 +1,8 @@
+import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+import numpy as np
 
 from quarry.llm import near_duplicates, queries, substrings
 
@@ -9,9 +12,31 @@ def shingle_set(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def shingle_weights(text):
+    w = (text or "").lower().split()
+    runs = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else {}
+    return {s: 1 + math.log(n) for s, n in runs.items()}
+
+
+def brute_probability_jaccard(x, y):
+    """By its definition: every shared shingle against all shingles."""
+    names = sorted(x.keys() | y.keys())
+    a, b = (np.array([v.get(k, 0.0) for k in names]) for v in (x, y))
+    return sum(1 / np.maximum(a / a[i], b / b[i]).sum() for i in np.flatnonzero((a > 0) & (b > 0)))
+
+
+def brute_likeness(x, y):
+    """Plain Jaccard similarity of two weighted sets where it is 0.8 or more, else probability Jaccard similarity."""
+    n = len(x.keys() & y.keys())
+    union = len(x) + len(y) - n
+    if n >= 0.8 * union:
+        return n / union
+    return brute_probability_jaccard(x, y) if n and (max(x.values()) > 1 or max(y.values()) > 1) else n / max(union, 1)
+
+
 def brute_classes(docs, similarity=0.8):
-    """Least doc_id of each connected component of all pairs that are similar enough."""
-    sets = {d: shingle_set(t) for d, t in docs}
+    """Least doc_id of each connected component of all pairs that are similar enough, by either measure."""
+    sets = {d: shingle_weights(t) for d, t in docs}
     at = defaultdict(list)
     for d, s in sets.items():
         for x in s:
@@ -25,21 +50,29 @@ def brute_classes(docs, similarity=0.8):
         return x
 
     for d, s in sets.items():
-        common = defaultdict(int)
-        for x in s:
-            for e in at[x]:
-                if e < d:
-                    common[e] += 1
-        for e, n in common.items():
-            if n >= similarity * (len(s) + len(sets[e]) - n):
-                a, b = root(d), root(e)
+        for e in sorted({e for x in s for e in at[x] if e < d}):
+            a, b = root(d), root(e)
+            if a != b and brute_likeness(s, sets[e]) >= similarity:
                 up[max(a, b)] = min(a, b)
     return {d: root(d) for d in sets}
 
 
+def check_hold(rows, texts):
+    """Every row hangs on its class by a pair that is as alike as it says."""
+    for r in rows:
+        if r.linked_to is None:
+            assert r.n_links == 0 and r.likeness is None
+        elif r.copy_of != r.doc_id:
+            assert (r.linked_to, r.likeness) == (r.copy_of, 1.0) and texts[r.doc_id].lower().split() == texts[r.copy_of].lower().split()
+        else:
+            assert r.n_links > 0 and r.likeness >= 0.8 and r.linked_to != r.doc_id
+            assert abs(r.likeness - brute_likeness(shingle_weights(texts[r.doc_id]), shingle_weights(texts[r.linked_to]))) < 1e-9
+
+
 def test_op10_equals_brute_force(spark, sf, docs):
-    got = {r.doc_id: r.class_id for r in queries.op10_near_duplicates(spark, sf).collect()}
-    assert got == brute_classes([(d["doc_id"], d["text"]) for d in docs])
+    rows = queries.op10_near_duplicates(spark, sf).collect()
+    assert {r.doc_id: r.class_id for r in rows} == brute_classes([(d["doc_id"], d["text"]) for d in docs])
+    check_hold(rows, {d["doc_id"]: d["text"] or "" for d in docs})
 
 
 def frame(spark, rows):
@@ -64,6 +97,7 @@ def test_drifting_and_hot_groups(spark):
     rows += [(800 + i, " ".join(rng.choice(words) for _ in range(80))) for i in range(50)]
     got = {r.doc_id: r.class_id for r in near_duplicates.find(frame(spark, rows)).collect()}
     assert got == brute_classes(rows)
+    assert all(r.linked_to == 500 and r.likeness == 1 for r in near_duplicates.find(frame(spark, rows)).where("doc_id > 500 AND doc_id < 700").collect())
     kept = near_duplicates.keep_one(frame(spark, rows)).count()
     assert kept == len(set(got.values()))
 
@@ -239,19 +273,50 @@ def test_passages_that_a_document_repeats(spark):
     assert left[2] == rows[1][1].split()[60:150] + rows[1][1].split()[210:280]
 
 
-def test_links_where_an_earlier_band_is_equal_in_bytes_only():
-    """The band of a shared bucket is told by whole hashes: a collision of one byte in an earlier band loses no link."""
-    import numpy as np
-
-    bands, rows = near_duplicates.BANDS, near_duplicates.ROWS
-    sig = np.arange(bands * rows, dtype=np.uint8)
-    hashes = np.arange(bands, dtype=np.uint64)
+def test_a_pair_is_looked_at_in_its_least_shared_bucket():
+    """Equal bytes of slots decide nothing: buckets are told by whole hashes, so a collision of one byte loses no link."""
+    sig = np.arange(near_duplicates.SLOTS, dtype=np.uint8)
+    hashes = np.arange(near_duplicates.BANDS, dtype=np.uint64)
     other = hashes + np.uint64(1000)
-    other[3] = hashes[3]  # band 0 is equal in bytes, its hash is not; band 3 is shared
+    other[3], other[7] = hashes[3], hashes[7]
     s = np.arange(100, dtype=np.uint32).tobytes()
-    member = lambda label, h: {"side": 0, "node": label, "label": label, "sig": sig.tobytes(), "bands": h.tobytes(), "s": s}
-    assert near_duplicates.links([member(1, hashes), member(2, other)], 3, 0.8) == [(1, 2)]
-    assert near_duplicates.links([member(1, hashes), member(2, other)], 4, 0.8) == []
+    member = lambda label, h: {"side": 0, "node": label, "label": label, "sig": sig.tobytes(), "bands": h.tobytes(), "s": s, "c": b""}
+    pair = [member(1, hashes), member(2, other)]
+    assert near_duplicates.links(pair, 3, 0.8) == [(1, 2, 1.0)]
+    assert near_duplicates.links(pair, 7, 0.8) == []
+
+
+def test_probability_jaccard_and_its_estimate():
+    """The sum by ranks equals the definition, and slots that are equal estimate it, whatever the scale of the weights."""
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 200):
+        counts = rng.integers(1, 40, (2, n))
+        counts[0, : n // 4] = counts[1, n // 4 : n // 3] = 0
+        x, y = ({i: 1 + math.log(c) for i, c in enumerate(row) if c} for row in counts)
+        both = sorted(x.keys() & y.keys())
+        got = near_duplicates.probability_jaccard(np.array([x[i] for i in both]), np.array([y[i] for i in both]), sum(v for i, v in x.items() if i not in y), sum(v for i, v in y.items() if i not in x))
+        want = brute_probability_jaccard(x, y)
+        assert abs(got - want) < 1e-9
+        names = near_duplicates.words.mix(np.arange(n, dtype=np.uint64) + np.uint64(99))
+        sig = [near_duplicates.signatures(names[list(v)], np.zeros(len(v), np.int64), scale * np.array(list(v.values())), 1, 4000)[0] for v, scale in ((x, 1), (y, 3))]
+        assert abs((sig[0] == sig[1]).mean() - want) < 0.04
+
+
+def test_texts_that_weights_alone_link(spark):
+    """Texts that share lines said many times and differ in words said once: over the threshold by weights, under it without."""
+    rng = random.Random(29)
+    noise = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    rows, plain = [], 0
+    for i in range(60):
+        line, own = noise(40), (3, 9, 14, 30)[i % 4]
+        rows += [(2 * i + k, " ".join(line * (20, 20 + 10 * (i % 3))[k] + noise(own))) for k in (0, 1)]
+        x, y = (shingle_set(t) for _, t in rows[-2:])
+        plain += len(x & y) >= 0.8 * len(x | y)
+    found = near_duplicates.find(frame(spark, rows)).collect()
+    want = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in found} == want
+    assert 120 - len(set(want.values())) >= plain + 10 and len(set(want.values())) > 60
+    check_hold(found, dict(rows))
 
 
 def test_near_copies_with_unequal_repeats(spark):
@@ -262,8 +327,9 @@ def test_near_copies_with_unequal_repeats(spark):
     for i in range(120):
         own, line = noise(45 + i % 20), noise(15)
         rows += [(2 * i, " ".join(own + line)), (2 * i + 1, " ".join(own + line * (10, 30, 100, 300)[i % 4] + noise(25 * (i % 5 == 4))))]
-    got = {r.doc_id: r.class_id for r in near_duplicates.find(frame(spark, rows)).collect()}
-    want = brute_classes(rows)
+    found = near_duplicates.find(frame(spark, rows)).collect()
+    got, want = {r.doc_id: r.class_id for r in found}, brute_classes(rows)
+    check_hold(found, dict(rows))
     assert got == want and 120 < len(set(want.values())) < 160
 
 
