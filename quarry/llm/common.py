@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 50_000
 #: The same for tables of two or three numbers.
 NARROW_ROWS = 300_000
+#: Rows of 64 bits that a sketch of keys has at most.
+SKETCH_WORDS = 1 << 18
 #: Bytes of an Arrow batch in the registered queries and the pipeline.
 BATCH_BYTES = 3 << 20
 #: Narrow rows of a range of a sorted table.
@@ -83,6 +85,31 @@ def with_small(df: DataFrame, table: DataFrame, key: str | list[str], how: str =
     return df.join(F.broadcast(table) if rows <= most else table.hint("merge"), key, how)
 
 
+def _bit(key: str):
+    """(word, bit in it) of a key in a sketch."""
+    at = F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(64 * SKETCH_WORDS))
+    return F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+
+
+def sketch(keys: DataFrame, key: str) -> DataFrame:
+    """Stored (_word, _bits): one bit for every value of the whole number ``key``, in ``SKETCH_WORDS`` rows at most whatever the size of ``keys``."""
+    word, bit = _bit(key)
+    return stored(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+
+
+def parted(df: DataFrame, held: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose ``key`` may be in the sketch ``held``, rows whose key is not).
+
+    The second part has no partner in the sketch's table, so a join needs to shuffle the first alone; that has all rows with a
+    partner, and others by the share of bits that are set.
+    """
+    word, bit = _bit(key)
+    at, bits = unused(df, "_word"), unused(df, "_bits")
+    marked = df.withColumn(at, word).join(F.broadcast(held.toDF(at, bits)), at, "left")
+    there = F.coalesce(F.col(bits), F.lit(0)).bitwiseAND(bit) != 0
+    return marked.where(there).drop(at, bits), marked.where(~there).drop(at, bits)
+
+
 def sized(table: DataFrame, rows_each: int = NARROW_ROWS) -> DataFrame:
     """The stored narrow ``table`` in one partition for every ``rows_each`` of its counted rows."""
     return table.coalesce(max(1, -(-table.count() // rows_each)))

@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from quarry.llm import near_duplicates, queries, substrings
+from quarry.llm import common, near_duplicates, queries, substrings
 
 
 def shingle_set(text):
@@ -370,3 +370,45 @@ def test_hot_tiles_and_repeated_ids(spark, monkeypatch):
     assert left[0] == left[1] and len(left[0]) == 61
     chosen = [t for d, t in left[0] if d == 7]
     assert rows[-1][1] in chosen
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_passages_are_not_shuffled(spark, monkeypatch):
+    """Of texts of which few share a passage, no more than those and the seeds, once, go through shuffles, whatever the size of the tables."""
+    monkeypatch.setattr(substrings, "NARROW_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substrings, "with_small", lambda df, table, key, how="left", most=0, join=common.with_small: join(df, table, key, how, 0))
+    rng = random.Random(31)
+    noise = lambda n: [f"{rng.randrange(16**12):012x}" for _ in range(n)]
+    x = noise(60)
+    rows = [(i, " ".join(noise(150) + x * (i % 50 == 7) + noise(150))) for i in range(1000)] + [(None, " ".join(x))]
+    df, before = common.stored(frame(spark, rows)), shuffled(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = {r.doc_id: r.text for r in substrings.remove(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    texts = dict(rows)
+    for i, text in texts.items():
+        assert left[i] == (" ".join(text.split()[:150] + text.split()[210:]) if i and i % 50 == 7 and i > 7 else text)
+    assert shuffled(spark) - before < 0.5 * sum(len(t) for t in texts.values())
+
+
+def test_sketch_of_keys_loses_no_partner(spark, monkeypatch):
+    """Every key of the table is told as one that may be there, null and narrow keys too; few others are, until the bounded sketch is full."""
+    df = spark.range(-3000, 3000).selectExpr("CAST(nullif(id, 7) AS int) AS doc_id", "id AS _word", "'x' AS _bits")
+    keys = spark.range(-3000, 3000, 10).withColumnRenamed("id", "k")
+    for rows, most in ((1 << 18, 20), (64, 1500), (1, 5400)):
+        monkeypatch.setattr(common, "SKETCH_WORDS", rows)
+        held = common.sketch(keys, "k")
+        some, others = (p.collect() for p in common.parted(df, held, "doc_id"))
+        assert held.count() <= rows and some and set(some[0].asDict()) == {"doc_id", "_word", "_bits"}
+        assert sorted(r._word for r in some + others) == list(range(-3000, 3000))
+        assert {r.doc_id for r in some} >= {r.k for r in keys.collect()} and len(some) - 600 <= most
