@@ -86,6 +86,13 @@ def test_rescue_checks_what_it_asks_for(spark, sf, monkeypatch):
     assert sorted(f for f, _, _ in checked) == list(range(0, 150, 5)) and {t for _, _, t in checked} == {"mystery"}
 
 
+def test_status_checks_what_it_asks_for(spark, sf, monkeypatch):
+    checked = claims_checked(spark, sf, monkeypatch, "finding_status")
+    kept = lambda f, i, t: f % 5 == 0 if t == "mystery" else i % 12 == f % 12
+    assert {f for f, _, _ in checked} == set(range(150)) and all(kept(*r) for r in checked)
+    assert len(checked) == len(set(checked)) == sum(f % 5 == 0 for f in range(150)) + sum(i % 12 == f % 12 for f in range(150) for i in range(34))
+
+
 def test_rescue_of_equal_claims(spark, monkeypatch):
     """Findings that name the same entities have them looked up once, and each takes its first claim's first index."""
     said = [{"type": "what", "path": "nowhere"}, {"type": "pid", "pid": "7", "ip": "9.9.9.9"}, {"type": "what", "value": "spooler"}, {"type": "what", "pid": "7", "ip": "9.9.9.9"}]
