@@ -87,7 +87,7 @@ def test_rescue_checks_what_it_asks_for(spark, sf, monkeypatch):
     assert sorted(f for f, _, _ in checked) == list(range(0, 150, 5)) and {t for _, _, t in checked} == {"mystery"}
 
 
-@pytest.mark.parametrize("query", ["finding_status", "finding_status_strict"])
+@pytest.mark.parametrize("query", ["finding_status", "finding_status_strict", "validation_totals"])
 def test_status_checks_what_it_asks_for(spark, sf, monkeypatch, query):
     checked = claims_checked(spark, sf, monkeypatch, query)
     kept = lambda f, i, t: f % 5 == 0 if t == "mystery" else i % 12 == f % 12
